@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from storyloom.llm import decontaminate, line_dedup
+from storyloom.llm import decontaminate, line_dedup, packing, quality, simhash
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_simhash": simhash.op4_simhash,
+    "op5_packing": packing.op5_packing,
+    "op9_quality": quality.op9_quality,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
