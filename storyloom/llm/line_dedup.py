@@ -27,17 +27,20 @@ def line_key(line):
 
 
 def dedup_lines(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5
-) -> DataFrame:
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5,
+    carry: list[str] = (),
+) -> DataFrame:
     """Drops each line whose key has min_chars code points or more and is found in min_docs
     documents or more, except in the largest id that holds it.
 
-    Returns id_col, text_hash (tells rows of one id apart), text (what stays), n_lines, n_dropped.
+    Returns id_col, text_hash (tells rows of one id apart), text (what stays), n_lines, n_dropped,
+    and the columns of docs named in carry as they are.
     """
     base = docs.select(
         F.col(id_col).alias("id"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"),
         F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("lines"),
+        F.struct(F.lit(0).alias("_"), *carry).alias("carried"),
     )
     trimmed = F.btrim("line", F.lit(SPACES))
     occurrences = materialize(
@@ -72,6 +75,7 @@ def dedup_lines(
         .alias("text"),
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        *(F.col("carried").getField(c).alias(c) for c in carry),
     )
 
 

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from storyloom.llm import decontaminate, line_dedup, packing, quality, simhash
+from storyloom.llm import decontaminate, language, language_model, line_dedup, nearest, packing, quality, simhash, tool_calls, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op2_language_model": language_model.op2_language_model,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_simhash": simhash.op4_simhash,
     "op5_packing": packing.op5_packing,
+    "op6_language": language.op6_language,
+    "op7_nearest": nearest.op7_nearest,
+    "op8_tool_calls": tool_calls.op8_tool_calls,
     "op9_quality": quality.op9_quality,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 SQL = {
+    "op1_warc": warc.OP1_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
+    "op8_tool_calls": tool_calls.OP8_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
 }

@@ -225,8 +225,8 @@ def fingerprint_links(distinct: DataFrame, max_bucket: int = 64) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bucket: int = 64
 ) -> DataFrame:
-    """Per row of docs: id_col, text_hash (tells rows of one id apart), fp, component_id (the
-    smallest id reachable over links, itself included)."""
+    """Per row of docs: id_col, text_hash (tells rows of one id apart), fp, component_fp (tells groups
+    apart), component_id (the smallest id reachable over links, itself included)."""
     each = materialize(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
     classes = each.groupBy("fp").agg(F.min("id").alias("first"))
     found = connected_components(fingerprint_links(classes.select("fp"), max_bucket), "a", "b")
@@ -235,8 +235,8 @@ def near_duplicates(
         .select("fp", "first", F.coalesce("component", "fp").alias("component"))
     )
     smallest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_fp = labelled.join(smallest, "component").select("fp", "component_id")
-    return each.join(by_fp, "fp").select(F.col("id").alias(id_col), "text_hash", "fp", "component_id")
+    by_fp = labelled.join(smallest, "component").select("fp", F.col("component").alias("component_fp"), "component_id")
+    return each.join(by_fp, "fp").select(F.col("id").alias(id_col), "text_hash", "fp", "component_fp", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
