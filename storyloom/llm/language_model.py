@@ -61,34 +61,42 @@ def count_words(batches):
 
 @dataclass
 class Vocabulary:
-    """What codes need: common words' codes and counts, classes of endings, and corpus totals."""
+    """What codes need: common words by falling count, classes of endings, and corpus totals.
+
+    A word's index is its place among the common words, or their number plus the class of its
+    ending; ``codes`` and ``logs`` (of count + 0.1) are by index.
+    """
 
     shape: recurrent.Shape
-    codes: dict[bytes, int]
-    counts: dict[bytes, int]
+    index: dict[bytes, int]
     endings: dict[bytes, int]
+    codes: object
+    counts: object
     n: int  # training tokens, ends included
     v: int  # distinct training tokens
     ends: int  # training texts
     class_n: list[int] = field(default_factory=list)
     class_v: list[int] = field(default_factory=list)
 
-    def other(self, word: bytes) -> int:
-        """Code of a word that isn't common: its ending's class, or the last one."""
-        return self.endings.get(word[-2:], self.shape.codes - 1)
+    @property
+    def heads(self) -> int:
+        return self.shape.heads * self.shape.width
 
-    def coder(self):
-        vocabulary = self
+    def indexer(self):
+        """word -> index."""
+        common, endings, last = len(self.index), self.endings, self.shape.rest - 1
 
-        class Coder(dict):
+        class Index(dict):
             def __missing__(self, word):
-                return vocabulary.other(word)
+                return common + endings.get(word[-2:], last)
 
-        return Coder(self.codes).__getitem__
+        return Index(self.index).__getitem__
 
 
 def vocabulary(counts: DataFrame, ends: int, common_words: int, heads: int, width: int, rest: int, hidden: int) -> Vocabulary:
     """counts: (word, n) over the training rows. Sums over all words; only common ones are collected."""
+    import numpy as np
+
     total = counts.agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).first()
     # A histogram of 64 steps for each doubling tells the least count that few enough words have.
     step = F.floor(F.log2("n") * 64).cast("int")
@@ -103,17 +111,16 @@ def vocabulary(counts: DataFrame, ends: int, common_words: int, heads: int, widt
     pairs = sorted(zip(found["word"], found["n"], strict=True), key=lambda p: (-p[1], p[0]))
     shape = recurrent.Shape(heads, width, rest, hidden)
     n_head = heads * width
-    head = pairs[: n_head - 1]
     by_end: dict[bytes, int] = {}
     for w, n in pairs[n_head - 1 :]:
         by_end[w[-2:]] = by_end.get(w[-2:], 0) + n
     largest = sorted(by_end, key=lambda e: (-by_end[e], e))[: rest - 1]
-    out = Vocabulary(
-        shape, {}, dict(pairs), {e: n_head + k for k, e in enumerate(largest)}, (total.n or 0) + ends, total.v + (ends > 0), ends
-    )
-    out.codes = {w: k + 1 for k, (w, _) in enumerate(head)}
-    out.codes |= {w: out.other(w) for w, _ in pairs[n_head - 1 :]}
-    return out
+    endings = {e: k for k, e in enumerate(largest)}
+    codes = [k + 1 if k < n_head - 1 else n_head + endings.get(w[-2:], rest - 1) for k, (w, _) in enumerate(pairs)]
+    return Vocabulary(
+        shape, {w: k for k, (w, _) in enumerate(pairs)}, endings, np.array([*codes, *range(n_head, n_head + rest)], np.int16),
+        np.array([n for _, n in pairs] + [0] * rest, np.int64), (total.n or 0) + ends, total.v + (ends > 0), ends,
+    )
 
 
 def class_totals(held):
@@ -124,11 +131,10 @@ def class_totals(held):
         import pyarrow as pa
 
         vocab = received(held)
-        n_head = vocab.shape.heads * vocab.shape.width
         n, v = np.zeros(vocab.shape.rest, np.int64), np.zeros(vocab.shape.rest, np.int64)
-        code = vocab.coder()
+        index = vocab.indexer()
         for b in batches:
-            at = np.array([code(w) for w in b.column("word").to_pylist()], np.int64) - n_head
+            at = vocab.codes[np.array([index(w) for w in b.column("word").to_pylist()], np.int64)].astype(np.int64) - vocab.heads
             keep = at >= 0
             n += np.bincount(at[keep], b.column("n").to_numpy()[keep], len(n)).astype(np.int64)
             v += np.bincount(at[keep], minlength=len(v))
@@ -137,8 +143,8 @@ def class_totals(held):
     return run
 
 
-def coded(batches, code, columns=()):
-    """Blocks of (codes of each text with its end, the texts' words, other columns' values)."""
+def indexed(batches, index, columns=()):
+    """Blocks of (indices of each text's words, with columns: its words and other values)."""
     import numpy as np
 
     docs, held, others, size = [], [], [], 0
@@ -146,7 +152,7 @@ def coded(batches, code, columns=()):
         rest = list(zip(*(b.column(c).to_pylist() for c in columns), strict=True)) if columns else []
         for i, text in enumerate(b.column("text")):
             w = words(text.as_py())
-            docs.append(np.fromiter((*map(code, w), END), np.int16, len(w) + 1))
+            docs.append(np.fromiter(map(index, w), np.int32, len(w)))
             if columns:
                 held.append(w)
                 others.append(rest[i])
@@ -158,6 +164,12 @@ def coded(batches, code, columns=()):
         yield docs, held, others
 
 
+def with_end(codes, at):
+    import numpy as np
+
+    return np.append(codes[at], np.int16(END))
+
+
 def train_partition(held, rate: float):
     """Trains on all texts of the partition; yields the weights times the tokens seen, in chunks."""
 
@@ -167,9 +179,8 @@ def train_partition(held, rate: float):
 
         vocab, weights = received(held)
         trainer = recurrent.Trainer(weights, vocab.shape, rate)
-        code = vocab.coder()
-        for docs, _, _ in coded(batches, code):
-            trainer.learn(docs)
+        for docs, _, _ in indexed(batches, vocab.indexer()):
+            trainer.learn([with_end(vocab.codes, d) for d in docs])
         if trainer.tokens:
             flat = recurrent.pack(trainer.w).astype(np.float64) * trainer.tokens
             parts = [flat[k : k + CHUNK] for k in range(0, len(flat), CHUNK)]
@@ -197,13 +208,9 @@ def train(rows: DataFrame, vocab: Vocabulary, rounds: int, rate: float) -> dict:
     """rows: (key, text); key is the hash that deals rows to rounds."""
     import numpy as np
 
-    n_head = vocab.shape.heads * vocab.shape.width
     by_code = np.zeros(vocab.shape.codes)
-    by_code[END] = vocab.ends
-    for w, k in vocab.codes.items():
-        if k < n_head:
-            by_code[k] = vocab.counts[w]
-    by_code[n_head:] = vocab.class_n
+    head = vocab.counts[: min(vocab.heads - 1, len(vocab.index))]
+    by_code[END], by_code[1 : 1 + len(head)], by_code[vocab.heads :] = vocab.ends, head, vocab.class_n
     weights = recurrent.initial(vocab.shape, by_code)
     schema = "chunk int, sums array<double>, tokens long"
     for k in range(rounds):
@@ -231,28 +238,26 @@ def score_partition(held):
         import pyarrow as pa
 
         vocab, weights = received(held)
-        code, counts = vocab.coder(), vocab.counts
-        logs = {w: math.log10(n + ALPHA) for w, n in counts.items()}
-        n_head = vocab.shape.heads * vocab.shape.width
+        common, logs = len(vocab.index), np.log10(vocab.counts + ALPHA)
+        logs[common:] = 0.0
         end = math.log10(vocab.ends + ALPHA)
-        # What turns log10(c + 0.1) into a word's share of its class; nothing for head words.
+        # What turns log10(c + 0.1) into a word's share of its class; head words are predicted whole.
         norm = np.zeros(vocab.shape.codes)
-        norm[n_head:] = np.log10(np.array(vocab.class_n) + ALPHA * (np.array(vocab.class_v) + 1))
-        for docs, held_words, others in coded(batches, code, ("id", "held_out")):
-            ll = recurrent.log_likelihoods(weights, vocab.shape, docs) / math.log(10)
+        norm[vocab.heads :] = np.log10(np.array(vocab.class_n) + ALPHA * (np.array(vocab.class_v) + 1))
+        is_head = vocab.codes < vocab.heads
+        share = np.where(is_head, 0.0, logs - norm[vocab.codes])
+        for docs, held_words, others in indexed(batches, vocab.indexer(), ("id", "held_out")):
+            ll = recurrent.log_likelihoods(weights, vocab.shape, [with_end(vocab.codes, d) for d in docs]) / math.log(10)
             base, known, model, rare = [], [], [], []
-            for codes, ws, x in zip(docs, held_words, ll, strict=True):
-                got = list(map(logs.get, ws))
-                missing = Counter(w for w, g in zip(ws, got, strict=True) if g is None) if None in got else {}
-                values = np.array([0.0 if g is None else g for g in got])
-                other = codes[:-1] >= n_head
-                base.append(float(values.sum()) + end)
+            for at, ws, x in zip(docs, held_words, ll, strict=True):
+                missing = Counter(ws[k] for k in np.flatnonzero(at >= common).tolist())
+                base.append(float(logs[at].sum()) + end)
                 known.append(len(ws) - sum(missing.values()) + (vocab.ends > 0))
-                model.append(float(x) + float(values[other].sum()) - float(norm[codes].sum()))
+                model.append(float(x) + float(share[at].sum()))
                 rare.append([{"word": w, "n": n} for w, n in missing.items()])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[0] for o in others], pa.int64()), pa.array([o[1] for o in others], pa.bool_()),
-                 pa.array([len(d) for d in docs], pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(model),
+                 pa.array([len(d) + 1 for d in docs], pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(model),
                  pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
                 ["id", "held_out", "n_tokens", "known", "base", "model", "rare"],
             )
@@ -262,7 +267,7 @@ def score_partition(held):
 
 def log_likelihoods(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_out: int = 0, common_words: int = 200_000,
-    heads: int = 24, width: int = 32, rest: int = 64, hidden: int = 16, rounds: int = 3, rate: float = 0.01,
+    heads: int = 24, width: int = 32, rest: int = 40, hidden: int = 16, rounds: int = 3, rate: float = 0.01,
 ) -> DataFrame:
     """Per row: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession

@@ -82,14 +82,16 @@ class Slots:
         self.size = np.array([int(lengths[h].sum()) for h in held], np.int64)
         self.offset = np.cumsum(self.size) - self.size
 
-    def windows(self, steps: int):
+    def windows(self, steps: int, tokens: int):
         """(n, at, valid): the n slots that go on, positions (steps, n) of their tokens, and
-        which of these are tokens."""
-        for t in range(0, int(self.size[0]) if len(self.size) else 0, steps):
+        which of these are tokens. Where few slots go on, windows are longer (to that many tokens)."""
+        t, last = 0, int(self.size[0]) if len(self.size) else 0
+        while t < last:
             n = int(np.searchsorted(-self.size, -t, side="left"))
-            step = t + np.arange(min(steps, int(self.size[0]) - t))[:, None]
+            step = t + np.arange(min(max(steps, min(tokens // n, 20 * steps)), last - t))[:, None]
             valid = step < self.size[None, :n]
             yield n, np.where(valid, self.offset[None, :n] + step, self.offset[None, :n]), valid
+            t += len(step)
 
 
 def sigmoid(x):
@@ -122,17 +124,18 @@ def outputs(w: dict, shape: Shape, s, codes, grad: dict | None = None, weight=No
     n_head = shape.heads * shape.width
     is_head = codes < n_head
     cls = np.where(is_head, codes // shape.width, codes - n_head + shape.heads)
-    logits = s @ w["Wc"] + w["bc"]
-    logits -= logits.max(axis=1, keepdims=True)
-    e = np.exp(logits)
-    total = e.sum(axis=1)
+    # States are within -1 and 1, so logits are small numbers, and exp needs no shift.
+    e = s @ w["Wc"]
+    e += w["bc"]
     rows = np.arange(len(s))
-    out = logits[rows, cls] - np.log(total)
+    out = e[rows, cls]
+    np.exp(e, out=e)
+    total = e @ np.ones(e.shape[1], e.dtype)
+    out -= np.log(total)
     ds = None
     if grad is not None:
-        e /= total[:, None]
-        e[rows, cls] -= 1
-        e *= weight[:, None]
+        e *= (weight / total)[:, None]
+        e[rows, cls] -= weight
         grad["Wc"] += s.T @ e
         grad["bc"] += e.sum(axis=0)
         ds = e @ w["Wc"].T
@@ -144,16 +147,17 @@ def outputs(w: dict, shape: Shape, s, codes, grad: dict | None = None, weight=No
         if not len(at):
             continue
         sk, word = s[at], codes[at] - k * shape.width
-        lw = sk @ w["Ww"][k] + w["bw"][k]
-        lw -= lw.max(axis=1, keepdims=True)
-        p = np.exp(lw)
-        total = p.sum(axis=1)
+        p = sk @ w["Ww"][k]
+        p += w["bw"][k]
         here = np.arange(len(at))
-        out[at] += lw[here, word] - np.log(total)
+        got = p[here, word]
+        np.exp(p, out=p)
+        total = p @ np.ones(shape.width, p.dtype)
+        out[at] += got - np.log(total)
         if grad is not None:
-            p /= total[:, None]
-            p[here, word] -= 1
-            p *= weight[at][:, None]
+            share = weight[at]
+            p *= (share / total)[:, None]
+            p[here, word] -= share
             grad["Ww"][k] += sk.T @ p
             grad["bw"][k] += p.sum(axis=0)
             ds[at] += p @ w["Ww"][k].T
@@ -167,7 +171,7 @@ def log_likelihoods(w: dict, shape: Shape, docs: list, most: int = 512, steps: i
         return total
     slots = Slots(docs, most)
     h = np.zeros((len(slots.size), shape.hidden), np.float32)
-    for n, at, valid in slots.windows(steps):
+    for n, at, valid in slots.windows(steps, 16384):
         tokens = slots.tokens[at]
         s, _, _, h = states(w, tokens, slots.start[at], h[:n])
         keep = valid.ravel()
@@ -218,7 +222,7 @@ class Trainer:
             return
         slots = Slots(docs, self.most)
         h = np.zeros((len(slots.size), self.shape.hidden), np.float32)
-        for n, at, valid in slots.windows(self.steps):
+        for n, at, valid in slots.windows(self.steps, 6144):
             tokens = slots.tokens[at]
             grad, _, h = gradients(self.w, self.shape, tokens, slots.start[at], valid, h[:n])
             self.step(grad, int(valid.sum()))
