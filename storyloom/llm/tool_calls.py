@@ -4,10 +4,9 @@ Plan: calls and results are first reduced to one row per (conversation, call id)
 aggregation, the earliest row winning, so that both sides of the hash join have unique keys and
 an identifier that repeats without end costs no more than one row. Calls are ordered
 topologically by levels: a call's level is one more than the highest level of the calls it
-depends on. Every round is an equality join of the open dependencies with the calls placed so
-far, and is written to the shared folder; rounds end when nothing more can be placed, so there
-are as many rounds as the longest chain of dependencies has calls. No conversation is ever
-collected. Arguments are parsed to VARIANT, validated against the schemas by expressions built
+depends on. Chains of calls with one dependency each are followed by pointer doubling, so a long
+conversation takes few rounds; the other calls are placed level by level. Every round is an
+equality join whose result is written to the shared folder. No conversation is ever collected. Arguments are parsed to VARIANT, validated against the schemas by expressions built
 from these, and serialised as JSON with sorted keys and no spaces.
 
 Defined results: a call without an id is not linked and not returned; a null conversation is a
@@ -59,26 +58,56 @@ def validate(name: Column, arguments: Column, schemas: dict[str, dict]) -> Colum
     return F.when(name.isNull() | ~name.isin(*schemas), F.lit("unknown tool")).when(~is_object, F.lit("not an object")).otherwise(errors)
 
 
+def chains(single: DataFrame, n_calls: int) -> DataFrame:
+    """(conv, call_id, to, dist): where the chain from a call with one dependency leads.
+
+    single: (conv, call_id, to). Each round doubles the distance, so a chain of n calls takes
+    log2(n) rounds; what hasn't ended by then runs in a circle.
+    """
+    p = materialize(single.withColumn("dist", F.lit(1).cast("long")), "chains")
+    for _ in range(n_calls.bit_length() + 1):
+        ahead = p.select("conv", F.col("call_id").alias("to"), F.col("to").alias("to2"), F.col("dist").alias("dist2"))
+        step = p.join(ahead, ["conv", "to"], "left").select(
+            "conv", "call_id", F.coalesce("to2", "to").alias("to"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"),
+            F.col("to2").isNotNull().alias("moved"),
+        )
+        step = materialize(step, "chains")
+        p = step.drop("moved")
+        if step.where("moved").isEmpty():
+            break
+    return p
+
+
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """(conv, call_id, level) of calls that can be placed; edges: (conv, call_id, needs), known calls only."""
-    placed = materialize(
-        calls.select("conv", "call_id").join(edges.select("conv", "call_id").distinct(), ["conv", "call_id"], "left_anti")
-        .withColumn("level", F.lit(0)), "levels",
+    """(conv, call_id, level) of calls that can be placed; edges: (conv, call_id, needs), known calls only.
+
+    Calls with one dependency are passed over along their chains; rounds run over the others, so
+    there are as many as the longest path has calls with two dependencies or more.
+    """
+    degree = materialize(edges.groupBy("conv", "call_id").agg(F.count(F.lit(1)).alias("n"), F.min("needs").alias("to")), "degrees")
+    heads = chains(degree.where("n = 1").select("conv", "call_id", "to"), calls.count())
+    by_need = heads.select("conv", F.col("call_id").alias("needs"), "to", "dist")
+    several = edges.join(degree.where("n > 1").select("conv", "call_id"), ["conv", "call_id"], "left_semi")
+    waiting = materialize(
+        several.join(by_need, ["conv", "needs"], "left")
+        .select("conv", "call_id", F.coalesce("to", "needs").alias("needs"), F.coalesce("dist", F.lit(0)).alias("extra"), F.lit(None).cast("long").alias("at")),
+        "dependencies",
     )
-    out, newest, open_edges, level = placed, placed, edges, 0
-    while not open_edges.isEmpty():
-        # Dependencies on calls of the newest level are met; a call without others is placed.
-        met = newest.select("conv", F.col("call_id").alias("needs"), F.lit(True).alias("met"))
-        seen = materialize(open_edges.join(met, ["conv", "needs"], "left"), "dependencies")
-        level += 1
-        state = seen.groupBy("conv", "call_id").agg(F.count_if(F.col("met").isNull()).alias("n"))
-        ready = state.where("n = 0").select("conv", "call_id", F.lit(level).alias("level"))
-        newest = materialize(ready, "levels")
+    roots = calls.select("conv", "call_id").join(degree.select("conv", "call_id"), ["conv", "call_id"], "left_anti")
+    placed = newest = materialize(roots.withColumn("level", F.lit(0).cast("long")), "levels")
+    while not waiting.isEmpty():
+        met = newest.select("conv", F.col("call_id").alias("needs"), "level")
+        seen = waiting.join(met, ["conv", "needs"], "left").withColumn("at", F.coalesce("at", F.col("level") + F.col("extra"))).drop("level")
+        seen = materialize(seen, "dependencies")
+        state = seen.groupBy("conv", "call_id").agg(F.count_if(F.col("at").isNull()).alias("n"), (F.max("at") + 1).alias("level"))
+        newest = materialize(state.where("n = 0").drop("n"), "levels")
         if newest.isEmpty():
             break
-        out = out.unionAll(newest)
-        open_edges = seen.where(F.col("met").isNull()).select("conv", "call_id", "needs")
-    return out
+        placed = placed.unionAll(newest)
+        waiting = materialize(seen.join(newest.select("conv", "call_id"), ["conv", "call_id"], "left_anti"), "dependencies")
+    ends = placed.select("conv", F.col("call_id").alias("to"), "level")
+    chained = heads.join(ends, ["conv", "to"]).select("conv", "call_id", (F.col("level") + F.col("dist")).alias("level"))
+    return placed.unionAll(chained)
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -92,7 +121,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     conv = F.coalesce(F.col("conv").cast("string"), F.lit("")).alias("conv")
     c = materialize(
         calls.where(known).select(conv, "call_id", F.struct("turn", "name", "arguments", "depends_on").alias("s"))
-        .groupBy("conv", "call_id").agg(F.min("s").alias("s")).select("conv", "call_id", "s.*"), "calls",
+        .groupBy("conv", "call_id").agg(F.min("s").alias("s")).select("conv", "call_id", "s.*", F.lit(True).alias("is_call")), "calls",
     )
     r = (
         results.where(known).select(conv, "call_id", F.struct("turn", "content").alias("s"))
@@ -105,8 +134,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     unknown = wanted.where(F.col("known").isNull()).groupBy("conv", "call_id").agg(F.lit(True).alias("unknown"))
     place = levels(c, wanted.where("known").select("conv", "call_id", "needs"))
     linked = c.join(r, ["conv", "call_id"], "full").join(place, ["conv", "call_id"], "left").join(unknown, ["conv", "call_id"], "left")
-    is_call = F.col("depends_on").isNotNull()
-    parsed = linked.withColumn("v", F.try_parse_json("arguments")).withColumn("is_call", is_call)
+    parsed = linked.withColumn("v", F.try_parse_json("arguments")).withColumn("is_call", F.coalesce("is_call", F.lit(False)))
     errors = F.concat_ws(
         "; ", F.nullif(validate(F.col("name"), F.col("v"), schemas), F.lit("")), F.when(F.col("unknown"), F.lit("unknown dependency")),
         F.when(F.col("level").isNull(), F.lit("cycle")),
