@@ -65,3 +65,18 @@ def received(held):
     from pyspark import cloudpickle
 
     return cloudpickle.loads(held.value)
+
+
+def release() -> None:
+    """Gives memory that a worker has freed back to the system, for what runs beside it."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # only some C libraries have it

@@ -10,7 +10,7 @@
    its documents from the current weights, and the weights are averaged by tokens (summed in
    Spark in two levels). One pass over all training rows, truncated backpropagation.
 4. Scoring: one pass over all texts carries the state through each whole document. Words that
-   aren't common leave it as (row, word, number) and meet their counts by a join on the word.
+   aren't common leave it as (row, word) and meet their counts by a join on the word.
 
 Defined results: a null text is empty and has one token, the end. A null id counts as empty text
 for the split. Repeated rows are scored each by itself (and counted each in training). With no
@@ -25,16 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.llm import recurrent
-from storyloom.llm.common import received, remainder, send, table, words
+from storyloom.llm.common import received, release, remainder, send, table, words
 from storyloom.shared import materialize
 
 #: The code of the end of a text, the first head word.
 END = 0
 ALPHA = 0.1
 #: Distinct words that a counting partition holds before it hands them on.
-COUNTER_WORDS = 400_000
+COUNTER_WORDS = 300_000
 #: Tokens that are trained on or scored side by side.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 CHUNK = 4096
 
 
@@ -57,6 +57,8 @@ def count_words(batches):
                 counts.clear()
     if counts:
         yield out()
+    counts.clear()
+    release()
 
 
 @dataclass
@@ -83,14 +85,15 @@ class Vocabulary:
         return self.shape.heads * self.shape.width
 
     def indexer(self):
-        """word -> index."""
+        """word -> index; the table of words becomes the one that knows words it doesn't hold."""
         common, endings, last = len(self.index), self.endings, self.shape.rest - 1
 
         class Index(dict):
             def __missing__(self, word):
                 return common + endings.get(word[-2:], last)
 
-        return Index(self.index).__getitem__
+        self.index = Index(self.index)
+        return self.index.__getitem__
 
 
 def vocabulary(counts: DataFrame, ends: int, common_words: int, heads: int, width: int, rest: int, hidden: int) -> Vocabulary:
@@ -143,25 +146,37 @@ def class_totals(held):
     return run
 
 
-def indexed(batches, index, columns=()):
-    """Blocks of (indices of each text's words, with columns: its words and other values)."""
+def indexed(batches, vocab, columns=()):
+    """Blocks of (indices of each text's words, with columns: its words that aren't common, and the
+    columns' values)."""
     import numpy as np
 
-    docs, held, others, size = [], [], [], 0
+    index, common = vocab.indexer(), len(vocab.index)
+    docs, rare, others, size = [], [], [], 0
     for b in batches:
         rest = list(zip(*(b.column(c).to_pylist() for c in columns), strict=True)) if columns else []
         for i, text in enumerate(b.column("text")):
             w = words(text.as_py())
-            docs.append(np.fromiter(map(index, w), np.int32, len(w)))
+            at = np.fromiter(map(index, w), np.int32, len(w))
+            docs.append(at)
             if columns:
-                held.append(w)
+                rare.append([w[k] for k in np.flatnonzero(at >= common).tolist()])
                 others.append(rest[i])
             size += len(w) + 1
             if size >= BLOCK_TOKENS:
-                yield docs, held, others
-                docs, held, others, size = [], [], [], 0
+                yield docs, rare, others
+                docs, rare, others, size = [], [], [], 0
     if docs:
-        yield docs, held, others
+        yield docs, rare, others
+
+
+def sums(values, docs):
+    """Sum of values[indices] for each array of indices."""
+    import numpy as np
+
+    ends = np.cumsum([0, *map(len, docs)])
+    total = np.concatenate(([0.0], np.cumsum(values[np.concatenate(docs)] if docs else [])))
+    return total[ends[1:]] - total[ends[:-1]]
 
 
 def with_end(codes, at):
@@ -179,7 +194,7 @@ def train_partition(held, rate: float):
 
         vocab, weights = received(held)
         trainer = recurrent.Trainer(weights, vocab.shape, rate)
-        for docs, _, _ in indexed(batches, vocab.indexer()):
+        for docs, _, _ in indexed(batches, vocab):
             trainer.learn([with_end(vocab.codes, d) for d in docs])
         if trainer.tokens:
             flat = recurrent.pack(trainer.w).astype(np.float64) * trainer.tokens
@@ -188,6 +203,7 @@ def train_partition(held, rate: float):
                 [pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.list_(pa.float64())), pa.array([trainer.tokens] * len(parts), pa.int64())],
                 ["chunk", "sums", "tokens"],
             )
+        release()
 
     return run
 
@@ -232,7 +248,7 @@ def score_partition(held):
 
     def run(batches):
         import math
-        from collections import Counter
+        from itertools import chain
 
         import numpy as np
         import pyarrow as pa
@@ -246,28 +262,28 @@ def score_partition(held):
         norm[vocab.heads :] = np.log10(np.array(vocab.class_n) + ALPHA * (np.array(vocab.class_v) + 1))
         is_head = vocab.codes < vocab.heads
         share = np.where(is_head, 0.0, logs - norm[vocab.codes])
-        for docs, held_words, others in indexed(batches, vocab.indexer(), ("id", "held_out")):
+        for docs, missing, others in indexed(batches, vocab, ("id", "held_out")):
             ll = recurrent.log_likelihoods(weights, vocab.shape, [with_end(vocab.codes, d) for d in docs]) / math.log(10)
-            base, known, model, rare = [], [], [], []
-            for at, ws, x in zip(docs, held_words, ll, strict=True):
-                missing = Counter(ws[k] for k in np.flatnonzero(at >= common).tolist())
-                base.append(float(logs[at].sum()) + end)
-                known.append(len(ws) - sum(missing.values()) + (vocab.ends > 0))
-                model.append(float(x) + float(share[at].sum()))
-                rare.append([{"word": w, "n": n} for w, n in missing.items()])
+            base = sums(logs, docs) + end
+            model = ll + sums(share, docs)
+            known = [len(at) - len(m) + (vocab.ends > 0) for at, m in zip(docs, missing, strict=True)]
+            # The lists of words, without a Python list of all of them as objects of their own.
+            offsets = np.cumsum([0, *map(len, missing)])
+            rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(chain.from_iterable(missing), pa.binary()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[0] for o in others], pa.int64()), pa.array([o[1] for o in others], pa.bool_()),
                  pa.array([len(d) + 1 for d in docs], pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(model),
-                 pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
+                 rare],
                 ["id", "held_out", "n_tokens", "known", "base", "model", "rare"],
             )
+        release()
 
     return run
 
 
 def log_likelihoods(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_out: int = 0, common_words: int = 200_000,
-    heads: int = 24, width: int = 32, rest: int = 40, hidden: int = 16, rounds: int = 3, rate: float = 0.01,
+    heads: int = 8, width: int = 64, rest: int = 40, hidden: int = 16, rounds: int = 3, rate: float = 0.01,
 ) -> DataFrame:
     """Per row: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -285,17 +301,17 @@ def log_likelihoods(
     vocab.class_n = [by_class[k].n if k in by_class else 0 for k in range(rest)]
     vocab.class_v = [by_class[k].v if k in by_class else 0 for k in range(rest)]
     weights = train(training.select("key", "text"), vocab, rounds, rate)
-    schema = "id long, held_out boolean, n_tokens long, known long, base double, model double, rare array<struct<word:binary,n:bigint>>"
+    schema = "id long, held_out boolean, n_tokens long, known long, base double, model double, rare array<binary>"
     scored = materialize(
         rows.select("id", "held_out", "text").mapInArrow(score_partition(send(spark, (vocab, weights))), schema)
         .withColumn("row", F.monotonically_increasing_id()), "scored",
     )
     rare = (
-        scored.select("row", F.explode("rare").alias("w")).select("row", "w.word", F.col("w.n").alias("times"))
+        scored.select("row", F.explode("rare").alias("word"))
         .join(counts, "word", "left")
         .groupBy("row").agg(
-            F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(ALPHA))).alias("log_sum"),
-            F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("seen"),
+            F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(ALPHA))).alias("log_sum"),
+            F.count("n").alias("seen"),
         )
     )
     log_sum, seen = F.coalesce("log_sum", F.lit(0.0)), F.coalesce("seen", F.lit(0))

@@ -94,10 +94,6 @@ class Slots:
             t += len(step)
 
 
-def sigmoid(x):
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 def states(w: dict, tokens, start, h):
     """Over a window: the states that predict each token, the gates, and the last state."""
     steps, n = tokens.shape
@@ -107,14 +103,24 @@ def states(w: dict, tokens, start, h):
     z_all, r_all, c_all, g_all = (np.empty((steps, n, hid), np.float32) for _ in range(4))
     carry = (~start).astype(np.float32)
     for t in range(steps):
-        s = h * carry[t][:, None]
+        s = s_all[t]
+        np.multiply(h, carry[t][:, None], out=s)
         g = s @ w["U"]
-        zr = sigmoid(x[t, :, : 2 * hid] + g[:, : 2 * hid])
-        z, r = zr[:, :hid], zr[:, hid:]
-        gc = g[:, 2 * hid :]
-        c = np.tanh(x[t, :, 2 * hid :] + r * gc)
-        h = s + z * (c - s)
-        s_all[t], z_all[t], r_all[t], c_all[t], g_all[t] = s, z, r, c, gc
+        zr = x[t, :, : 2 * hid]
+        zr += g[:, : 2 * hid]
+        # A sigmoid by the hyperbolic tangent, in place.
+        zr *= 0.5
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
+        z, r, gc, c = z_all[t], r_all[t], g_all[t], c_all[t]
+        z[:], r[:], gc[:] = zr[:, :hid], zr[:, hid:], g[:, 2 * hid :]
+        np.multiply(r, gc, out=c)
+        c += x[t, :, 2 * hid :]
+        np.tanh(c, out=c)
+        h = c - s
+        h *= z
+        h += s
     return s_all, (z_all, r_all, c_all, g_all), carry, h
 
 
@@ -190,16 +196,24 @@ def gradients(w: dict, shape: Shape, tokens, start, valid, h):
     got, ds_out = outputs(w, shape, flat, codes, grad, weight)
     ds_out = ds_out.reshape(s.shape)
     steps, n = tokens.shape
+    # What doesn't depend on the gradient from later steps is worked out for the whole window.
+    stay = 1 - z
+    by_c, by_z, by_r = z * (1 - c * c), (c - s) * z * stay, gc * r * (1 - r)
     dg = np.empty((steps, n, 3 * hid), np.float32)
     dx = np.empty((steps, n, 3 * hid), np.float32)
-    dh = np.zeros((n, hid), np.float32)
+    dh, back = np.zeros((n, hid), np.float32), np.ascontiguousarray(w["U"].T)
     for t in range(steps - 1, -1, -1):
-        dc = dh * z[t] * (1 - c[t] * c[t])
-        dz = dh * (c[t] - s[t]) * z[t] * (1 - z[t])
-        dr = dc * gc[t] * r[t] * (1 - r[t])
-        dx[t, :, :hid], dx[t, :, hid : 2 * hid], dx[t, :, 2 * hid :] = dz, dr, dc
-        dg[t, :, : 2 * hid], dg[t, :, 2 * hid :] = dx[t, :, : 2 * hid], dc * r[t]
-        dh = (dh * (1 - z[t]) + dg[t] @ w["U"].T + ds_out[t]) * carry[t][:, None]
+        dc = dh * by_c[t]
+        row = dx[t]
+        np.multiply(dh, by_z[t], out=row[:, :hid])
+        np.multiply(dc, by_r[t], out=row[:, hid : 2 * hid])
+        row[:, 2 * hid :] = dc
+        dg[t, :, : 2 * hid] = row[:, : 2 * hid]
+        np.multiply(dc, r[t], out=dg[t, :, 2 * hid :])
+        dh *= stay[t]
+        dh += dg[t] @ back
+        dh += ds_out[t]
+        dh *= carry[t][:, None]
     grad["U"] += flat.T @ dg.reshape(-1, 3 * hid)
     order = np.argsort(codes, kind="stable")
     first = np.flatnonzero(np.concatenate(([True], np.diff(codes[order]) > 0)))
@@ -210,7 +224,7 @@ def gradients(w: dict, shape: Shape, tokens, start, valid, h):
 class Trainer:
     """Adam over the windows of documents, in the order they come."""
 
-    def __init__(self, weights: dict, shape: Shape, rate: float, most: int = 512, steps: int = 12) -> None:
+    def __init__(self, weights: dict, shape: Shape, rate: float, most: int = 512, steps: int = 16) -> None:
         self.w = {k: v.copy() for k, v in weights.items()}
         self.shape, self.rate, self.most, self.steps = shape, rate, most, steps
         self.m = {k: np.zeros_like(v) for k, v in weights.items()}
@@ -222,7 +236,7 @@ class Trainer:
             return
         slots = Slots(docs, self.most)
         h = np.zeros((len(slots.size), self.shape.hidden), np.float32)
-        for n, at, valid in slots.windows(self.steps, 6144):
+        for n, at, valid in slots.windows(self.steps, 8192):
             tokens = slots.tokens[at]
             grad, _, h = gradients(self.w, self.shape, tokens, slots.start[at], valid, h[:n])
             self.step(grad, int(valid.sum()))
