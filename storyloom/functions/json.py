@@ -40,7 +40,7 @@ def _valid(text: str | None) -> bool:
     return True
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _repaired(s: pd.Series) -> pd.Series:
     def one(text):
         if text is None:
@@ -65,8 +65,14 @@ def tolerant_json(reply: Column) -> Column:
     fenced = F.regexp_replace(F.regexp_replace(text, r"^```(?:json)?\s*", ""), r"\s*```$", "")
     text = F.when(text.startswith("```"), fenced).otherwise(text)
     span = outermost(text)
-    ok = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
-    return F.coalesce(ok(text), ok(span), F.when(span.isNotNull() & F.try_parse_json(span).isNull(), _repaired(span)))
+
+    def ok(c: Column) -> Column:
+        # The parser stops after one value; as an array's only element, it must be the whole text.
+        alone = F.concat(F.lit("["), c, F.lit("]"))
+        whole = F.try_parse_json(alone).isNotNull() & (F.json_array_length(alone) == 1)
+        return F.when(F.try_parse_json(c).isNotNull() & whole, c)
+
+    return F.coalesce(ok(text), ok(span), F.when(ok(span).isNull(), _repaired(span)))
 
 
 def leaves(schema: T.StructType, row: Column | None = None) -> Column:

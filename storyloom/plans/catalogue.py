@@ -406,12 +406,16 @@ RULES = (
 MARKERS = ("with", "from", "avec", "nicht")
 
 #: A record with nesting, made of the first turns of a conversation.
-RECORD = T.StructType.fromDDL(
+RECORD_DDL = (
     "headline string, hook string, gist array<string>, what_happened string, bull_case struct<argument:string,depends_on:array<string>>, "
     "bear_case struct<argument:string,depends_on:array<string>>, variables_to_watch array<struct<variable:string,when:string>>, market_reaction string"
 )
 
 
+def record_type() -> T.StructType:
+    return T.StructType.fromDDL(RECORD_DDL)
+
+
 def records(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("turn < 4").groupBy("conv_id").agg(*(F.max(F.when(F.col("turn") == k, F.col("text"))).alias(f"t{k}") for k in range(4)))
     t = lambda k, n: F.array_join(F.slice(text.tokens(F.coalesce(f"t{k}", F.lit("none"))), 1, n), " ")
@@ -440,7 +444,7 @@ WITH c AS (SELECT conv_id, max(text) FILTER (WHERE turn = 0) AS t0, max(text) FI
 
 @query(RECORD_SQL + "SELECT conv_id, path, text FROM leaves", staged=False)
 def flatten_leaves(spark, sf_dir):
-    return records(spark, sf_dir).select("conv_id", F.explode(json.leaves(RECORD)).alias("x")).select("conv_id", "x.*")
+    return records(spark, sf_dir).select("conv_id", F.explode(json.leaves(record_type())).alias("x")).select("conv_id", "x.*")
 
 
 _RULES_SQL = sql_values([(s, p.replace(r"\w", r"[\pL\pN_]"), r) for s, p, r in RULES], "severity, pattern, rule").replace("\\b", "\\b")
@@ -456,7 +460,7 @@ _RULES_SQL = sql_values([(s, p.replace(r"\w", r"[\pL\pN_]"), r) for s, p, r in R
     staged=False,
 )
 def compliance_scan(spark, sf_dir):
-    return compliance.scan(records(spark, sf_dir), "conv_id", json.leaves(RECORD), RULES)
+    return compliance.scan(records(spark, sf_dir), "conv_id", json.leaves(record_type()), RULES)
 
 
 @query(
@@ -518,7 +522,7 @@ def enforce_pipeline(spark, sf_dir):
         "*", F.array(F.struct(severity.alias("severity"))).alias("violations"), F.when(c % 4 == 1, F.create_map(F.lit("headline"), F.lit("A plain headline"), F.lit("a.b.c"), F.lit("no"))).alias("rewrites")
     )
     # The prefix holds no marker of this query, so that a case without one stays blocked.
-    return compliance.enforce(rows, RECORD, RULES, MARKERS).select("conv_id", "blocked_by")
+    return compliance.enforce(rows, record_type(), RULES, MARKERS).select("conv_id", "blocked_by")
 
 
 # --- ledger -------------------------------------------------------------------------------------

@@ -1,26 +1,28 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from pyspark.sql import SparkSession  # noqa: E402
+
+# Started before the tests are read, since columns and schemas at their top need it.
+SESSION = (
+    SparkSession.builder.master("local[4]")
+    .config("spark.sql.shuffle.partitions", "4")
+    .config("spark.default.parallelism", "4")
+    .config("spark.driver.memory", "4g")
+    .config("spark.sql.session.timeZone", "UTC")
+    .config("spark.ui.enabled", "false")
+    .config("spark.ui.showConsoleProgress", "false")
+    .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="warehouse-"))
+    .getOrCreate()
+)
+SESSION.sparkContext.setLogLevel("OFF")
 
-@pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    from pyspark.sql import SparkSession
 
-    session = (
-        SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.default.parallelism", "4")
-        .config("spark.driver.memory", "4g")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
-        .getOrCreate()
-    )
-    session.sparkContext.setLogLevel("ERROR")
-    yield session
-    session.stop()
+@pytest.fixture(scope="session")
+def spark():
+    return SESSION
