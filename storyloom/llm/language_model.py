@@ -34,7 +34,7 @@ ALPHA = 0.1
 #: Distinct words that a counting partition holds before it hands them on.
 COUNTER_WORDS = 300_000
 #: Tokens that are trained on or scored side by side.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 4_000_000
 CHUNK = 4096
 
 
@@ -157,7 +157,7 @@ def indexed(batches, vocab, columns=()):
         rest = list(zip(*(b.column(c).to_pylist() for c in columns), strict=True)) if columns else []
         for i, text in enumerate(b.column("text")):
             w = words(text.as_py())
-            at = np.fromiter(map(index, w), np.int32, len(w))
+            at = np.array(list(map(index, w)), np.int32)
             docs.append(at)
             if columns:
                 rare.append([w[k] for k in np.flatnonzero(at >= common).tolist()])

@@ -38,8 +38,9 @@ def initial(shape: Shape, counts, seed: int = 5) -> dict:
     head = n[: shape.heads * shape.width].reshape(shape.heads, shape.width)
     by_class = np.concatenate([head.sum(axis=1), n[shape.heads * shape.width :]])
     weights = {
-        "E": rng.normal(0, 0.3, (shape.codes, 3 * h)),
-        "U": rng.normal(0, h**-0.5, (h, 3 * h)),
+        # By gate: update, reset, candidate. Every array of a step is then one piece of memory.
+        "E": rng.normal(0, 0.3, (3, shape.codes, h)),
+        "U": rng.normal(0, h**-0.5, (3, h, h)),
         "Wc": rng.normal(0, 0.05, (h, shape.classes)),
         "bc": np.log(by_class / by_class.sum()),
         "Ww": rng.normal(0, 0.05, (shape.heads, h, shape.width)),
@@ -76,7 +77,7 @@ class Slots:
         held.sort(key=lambda h: -int(lengths[h].sum()))
         order = [i for h in held for i in h]
         self.tokens = np.concatenate([docs[i] for i in order]).astype(np.int32)
-        self.doc = np.repeat(np.array(order, np.int64), lengths[order])
+        self.doc = np.repeat(np.array(order, np.int32), lengths[order])
         self.start = np.zeros(len(self.tokens), bool)
         self.start[np.cumsum(lengths[order]) - lengths[order]] = True
         self.size = np.array([int(lengths[h].sum()) for h in held], np.int64)
@@ -97,31 +98,31 @@ class Slots:
 def states(w: dict, tokens, start, h):
     """Over a window: the states that predict each token, the gates, and the last state."""
     steps, n = tokens.shape
-    hid = w["U"].shape[0]
-    x = w["E"][tokens]
-    s_all = np.empty((steps, n, hid), np.float32)
-    z_all, r_all, c_all, g_all = (np.empty((steps, n, hid), np.float32) for _ in range(4))
-    carry = (~start).astype(np.float32)
+    hid = w["U"].shape[-1]
+    x = np.empty((steps, 3, n, hid), np.float32)
+    for k in range(3):
+        x[:, k] = np.take(w["E"][k], tokens, axis=0)
+    s_all, c_all, g_all = (np.empty((steps, n, hid), np.float32) for _ in range(3))
+    zr_all = np.empty((steps, 2, n, hid), np.float32)
+    carry = (~start).astype(np.float32)[:, :, None]
     for t in range(steps):
-        s = s_all[t]
-        np.multiply(h, carry[t][:, None], out=s)
-        g = s @ w["U"]
-        zr = x[t, :, : 2 * hid]
-        zr += g[:, : 2 * hid]
+        s, zr, c = s_all[t], zr_all[t], c_all[t]
+        np.multiply(h, carry[t], out=s)
+        g = np.matmul(s, w["U"])
+        np.add(g[:2], x[t, :2], out=zr)
         # A sigmoid by the hyperbolic tangent, in place.
         zr *= 0.5
         np.tanh(zr, out=zr)
         zr *= 0.5
         zr += 0.5
-        z, r, gc, c = z_all[t], r_all[t], g_all[t], c_all[t]
-        z[:], r[:], gc[:] = zr[:, :hid], zr[:, hid:], g[:, 2 * hid :]
-        np.multiply(r, gc, out=c)
-        c += x[t, :, 2 * hid :]
+        g_all[t] = g[2]
+        np.multiply(zr[1], g[2], out=c)
+        c += x[t, 2]
         np.tanh(c, out=c)
         h = c - s
-        h *= z
+        h *= zr[0]
         h += s
-    return s_all, (z_all, r_all, c_all, g_all), carry, h
+    return s_all, (zr_all, c_all, g_all), carry, h
 
 
 def outputs(w: dict, shape: Shape, s, codes, grad: dict | None = None, weight=None):
@@ -146,7 +147,7 @@ def outputs(w: dict, shape: Shape, s, codes, grad: dict | None = None, weight=No
         grad["bc"] += e.sum(axis=0)
         ds = e @ w["Wc"].T
     heads = np.flatnonzero(is_head)
-    order = heads[np.argsort(cls[heads], kind="stable")]
+    order = heads[np.argsort(cls[heads].astype(np.int16), kind="stable")]
     edges = np.searchsorted(cls[order], np.arange(shape.heads + 1))
     for k in range(shape.heads):
         at = order[edges[k] : edges[k + 1]]
@@ -189,7 +190,7 @@ def log_likelihoods(w: dict, shape: Shape, docs: list, most: int = 512, steps: i
 def gradients(w: dict, shape: Shape, tokens, start, valid, h):
     """Gradients over one window, the sum of log probabilities, and the last state."""
     hid = shape.hidden
-    s, (z, r, c, gc), carry, last = states(w, tokens, start, h)
+    s, (zr, c, gc), carry, last = states(w, tokens, start, h)
     flat, codes = s.reshape(-1, hid), tokens.ravel()
     weight = valid.ravel().astype(np.float32) / max(1, valid.sum())
     grad = {k: np.zeros_like(v) for k, v in w.items()}
@@ -197,27 +198,30 @@ def gradients(w: dict, shape: Shape, tokens, start, valid, h):
     ds_out = ds_out.reshape(s.shape)
     steps, n = tokens.shape
     # What doesn't depend on the gradient from later steps is worked out for the whole window.
+    z, r = zr[:, 0], zr[:, 1]
     stay = 1 - z
     by_c, by_z, by_r = z * (1 - c * c), (c - s) * z * stay, gc * r * (1 - r)
-    dg = np.empty((steps, n, 3 * hid), np.float32)
-    dx = np.empty((steps, n, 3 * hid), np.float32)
-    dh, back = np.zeros((n, hid), np.float32), np.ascontiguousarray(w["U"].T)
+    # Gradients before the gates: update, reset, candidate; and the candidate's through its gate.
+    d, through = np.empty((3, steps, n, hid), np.float32), np.empty((steps, n, hid), np.float32)
+    dh, back = np.zeros((n, hid), np.float32), np.ascontiguousarray(w["U"].transpose(0, 2, 1)).astype(np.float32)
     for t in range(steps - 1, -1, -1):
-        dc = dh * by_c[t]
-        row = dx[t]
-        np.multiply(dh, by_z[t], out=row[:, :hid])
-        np.multiply(dc, by_r[t], out=row[:, hid : 2 * hid])
-        row[:, 2 * hid :] = dc
-        dg[t, :, : 2 * hid] = row[:, : 2 * hid]
-        np.multiply(dc, r[t], out=dg[t, :, 2 * hid :])
+        dz, dr, dc = d[0, t], d[1, t], d[2, t]
+        np.multiply(dh, by_z[t], out=dz)
+        np.multiply(dh, by_c[t], out=dc)
+        np.multiply(dc, by_r[t], out=dr)
+        np.multiply(dc, r[t], out=through[t])
         dh *= stay[t]
-        dh += dg[t] @ back
+        dh += dz @ back[0]
+        dh += dr @ back[1]
+        dh += through[t] @ back[2]
         dh += ds_out[t]
-        dh *= carry[t][:, None]
-    grad["U"] += flat.T @ dg.reshape(-1, 3 * hid)
-    order = np.argsort(codes, kind="stable")
+        dh *= carry[t]
+    order = np.argsort(codes.astype(np.int16), kind="stable")
     first = np.flatnonzero(np.concatenate(([True], np.diff(codes[order]) > 0)))
-    grad["E"][codes[order[first]]] += np.add.reduceat(dx.reshape(-1, 3 * hid)[order], first, axis=0)
+    for k in range(3):
+        rows = d[k].reshape(-1, hid)
+        grad["U"][k] += flat.T @ (rows if k < 2 else through.reshape(-1, hid))
+        grad["E"][k][codes[order[first]]] += np.add.reduceat(rows[order], first, axis=0)
     return grad, float(got @ valid.ravel()), last
 
 
@@ -236,7 +240,7 @@ class Trainer:
             return
         slots = Slots(docs, self.most)
         h = np.zeros((len(slots.size), self.shape.hidden), np.float32)
-        for n, at, valid in slots.windows(self.steps, 8192):
+        for n, at, valid in slots.windows(self.steps, 2048):
             tokens = slots.tokens[at]
             grad, _, h = gradients(self.w, self.shape, tokens, slots.start[at], valid, h[:n])
             self.step(grad, int(valid.sum()))
@@ -246,8 +250,8 @@ class Trainer:
         self.tokens += tokens
         norm = sum(float((g * g).sum()) for g in grad.values()) ** 0.5
         scale = min(1.0, 1.0 / (norm + 1e-12))
-        # Small windows (few slots left) move the weights less.
-        rate = self.rate * min(1.0, self.t / 20) * min(1.0, tokens / 1000)
+        # Small windows (few slots left) move the weights less: one long text mustn't undo the others.
+        rate = self.rate * min(1.0, self.t / 20) * min(1.0, tokens / 2048)
         fix = rate * (1 - 0.99**self.t) ** 0.5 / (1 - 0.9**self.t)
         for k, g in grad.items():
             g *= scale
