@@ -50,11 +50,14 @@ def dedup_lines(
         .select("id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")),
         "lines",
     )
-    repeated = (
+    # Written, so that the join below has plain shuffles on both sides and a hot line's occurrences
+    # can be split between tasks.
+    repeated = materialize(
         occurrences.groupBy("h1", "h2")
         .agg(F.countDistinct("id").alias("n_docs"), F.max("id").alias("keeper"))
         .where(F.col("n_docs") >= min_docs)
-        .select("h1", "h2", "keeper")
+        .select("h1", "h2", "keeper"),
+        "repeated",
     )
     dropped = (
         occurrences.join(repeated, ["h1", "h2"])
