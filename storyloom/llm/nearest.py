@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by balanced posting lists (cosine).
 
 1. A bounded sample (``sample_rows``) is split into balanced cells by repeated median cuts, whose
-   means, refined with a penalty on full cells, are the centroids: one per ``list_rows`` vectors,
+   medians are the centroids: one per ``list_rows`` vectors,
    ``max_lists`` at most. What is broadcast (centroids and their neighbour graph) is bounded.
 2. Every vector goes to the posting list of its nearest centroid, and boundary vectors also to
    others that are nearly as near (``closure`` times the distance) and that no chosen centroid is
@@ -69,14 +69,11 @@ class Index:
                 axis /= np.linalg.norm(axis) + 1e-30
             by = np.argsort(part @ axis, kind="stable")
             cells += [rows[by[: len(by) // 2]], rows[by[len(by) // 2 :]]]
-        centres = self._means(x, cells, x)
-        for _ in range(5):
-            sizes = np.array([len(c) for c in cells])
-            cost = -(x @ centres.T) + 0.1 * np.maximum(0, sizes * len(cells) / len(x) - 1)[None, :]
-            nearest = cost.argmin(axis=1)
-            cells = [np.flatnonzero(nearest == k) for k in range(len(centres))]
-            centres = self._means(x, cells, centres)
-        self.centres = centres.astype(np.float32)
+        # Medians, not means: a few scattered vectors in a crowded cell mustn't draw its centre away.
+        centres = np.stack([np.median(x[c], axis=0) for c in cells])
+        norms = np.linalg.norm(centres, axis=1, keepdims=True)
+        centres = np.where(norms > 1e-9, centres / np.maximum(norms, 1e-9), np.stack([x[c[0]] for c in cells]))
+        self.centres = centres
         near = np.argsort(-(centres @ centres.T), axis=1, kind="stable")
         self.graph = near[:, 1 : degree + 1].astype(np.int32)
         # Entry points far from each other, so that every part of the graph is reached.
@@ -86,27 +83,21 @@ class Index:
         self.entries = np.array(entries)
         self.ratio = float("inf")
 
-    @staticmethod
-    def _means(x, cells, otherwise):
-        import numpy as np
-
-        means = np.stack([x[c].mean(axis=0) if len(c) else otherwise[k] for k, c in enumerate(cells)])
-        norms = np.linalg.norm(means, axis=1, keepdims=True)
-        return np.where(norms > 1e-9, means / np.maximum(norms, 1e-9), x[: len(cells)] if len(x) >= len(cells) else means)
-
     def search(self, x, width: int):
         """Best-first search with a beam: (lists, distances), nearest first, for unit rows x."""
         import numpy as np
 
+        if len(x) > 2048:  # the centroids that are looked at take a multiple of x's memory
+            parts = [self.search(x[i : i + 2048], width) for i in range(0, len(x), 2048)]
+            return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
         k = len(self.centres)
-        x = x.astype(np.float32)
         if k <= width or self.graph.shape[1] == 0:
             d = np.sqrt(np.maximum(0, 2 - 2 * x @ self.centres.T))
             at = np.argsort(d, axis=1, kind="stable")[:, :width]
             return at, np.take_along_axis(d, at, 1)
         n = len(x)
         seen = np.zeros((n, k), bool)
-        dist = np.full((n, k), np.inf, np.float32)
+        dist = np.full((n, k), np.inf)
         opened = np.zeros((n, k), bool)
         rows = np.arange(n)
 
@@ -166,17 +157,19 @@ class Index:
         q = x[:: max(1, len(x) // queries)]
         if len(x) <= k + 1:
             return
-        s = q @ x.T
-        true = np.argpartition(-s, k, axis=1)[:, : k + 1]
         rows, lists = self.postings(x, replicas, closure)
         member = np.zeros((len(x), len(self.centres)), bool)
         member[rows, lists] = True
-        at, d = self.search(q, min(width, len(self.centres)))
-        relative = np.full((len(q), len(self.centres)), np.inf)
-        np.put_along_axis(relative, at, d / np.maximum(d[:, :1], 1e-6), 1)
-        # The ratio at which each true neighbour is first reached.
-        need = np.where(member[true], relative[:, None, :], np.inf).min(axis=2).ravel()
-        self.ratio = float(np.quantile(need, target, method="higher"))
+        need = []
+        for i in range(0, len(q), 32):  # few at a time: similarities to the whole sample are large
+            part = q[i : i + 32]
+            true = np.argpartition(-(part @ x.T), k, axis=1)[:, : k + 1]
+            at, d = self.search(part, min(width, len(self.centres)))
+            relative = np.full((len(part), len(self.centres)), np.inf)
+            np.put_along_axis(relative, at, d / np.maximum(d[:, :1], 1e-6), 1)
+            # The ratio at which each true neighbour is first reached.
+            need.append(np.where(member[true], relative[:, None, :], np.inf).min(axis=2).ravel())
+        self.ratio = float(np.quantile(np.concatenate(need), target, method="higher"))
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
