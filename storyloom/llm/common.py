@@ -34,6 +34,14 @@ def words(text: str | None) -> list[bytes]:
     return utf8(text).lower().split()
 
 
+def words_of(column):
+    """words() of each text of an Arrow column, without decoding it."""
+    import pyarrow as pa
+
+    for raw in column.cast(pa.binary()):
+        yield (raw.as_py() or b"").lower().split()
+
+
 def utf8(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.llm import recurrent
-from storyloom.llm.common import received, release, remainder, send, table, words
+from storyloom.llm.common import received, release, remainder, send, table, words_of
 from storyloom.shared import materialize
 
 #: The code of the end of a text, the first head word.
@@ -34,7 +34,7 @@ ALPHA = 0.1
 #: Distinct words that a counting partition holds before it hands them on.
 COUNTER_WORDS = 300_000
 #: Tokens that are trained on or scored side by side.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 5_000_000
 CHUNK = 4096
 
 
@@ -50,8 +50,8 @@ def count_words(batches):
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), n], ["word", "n"])
 
     for b in batches:
-        for text in b.column("text"):
-            counts.update(words(text.as_py()))
+        for w in words_of(b.column("text")):
+            counts.update(w)
             if len(counts) >= COUNTER_WORDS:
                 yield out()
                 counts.clear()
@@ -155,8 +155,7 @@ def indexed(batches, vocab, columns=()):
     docs, rare, others, size = [], [], [], 0
     for b in batches:
         rest = list(zip(*(b.column(c).to_pylist() for c in columns), strict=True)) if columns else []
-        for i, text in enumerate(b.column("text")):
-            w = words(text.as_py())
+        for i, w in enumerate(words_of(b.column("text"))):
             at = np.array(list(map(index, w)), np.int32)
             docs.append(at)
             if columns:

@@ -222,7 +222,7 @@ WITH RECURSIVE w AS (
     ELSE CASE WHEN n % 11 = 0 THEN '[1,2]' ELSE '{"note":"' || w || '","value":' || n || '}' END END AS args
   FROM k
 ), e AS (SELECT v.*, concat_ws('; ', nullif(bad, ''), CASE WHEN needs IS NOT NULL AND NOT known THEN 'unknown dependency' END) AS errs FROM v)
-SELECT coalesce(e.conv_id, r.conv_id) AS conv_id, coalesce(e.call_id, r.call_id) AS call_id, e.turn AS turn, lv.level AS level, e.name AS name,
+SELECT coalesce(e.conv_id, r.conv_id) AS conv_id, coalesce(e.call_id, r.call_id) AS call_id, e.turn AS turn, CAST(lv.level AS BIGINT) AS level, e.name AS name,
        CASE WHEN e.call_id IS NULL THEN 'orphan result' ELSE e.errs END AS errors,
        e.call_id IS NOT NULL AND e.errs = '' AS valid, r.result_turn AS result_turn,
        CASE WHEN e.call_id IS NOT NULL THEN '{"arguments":' || e.args || ',"id":"' || e.call_id || '","name":"' || e.name || '"'
