@@ -6,7 +6,7 @@ import json as _json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,3 +144,8 @@ def ranked_rows(reply: Column) -> Column:
     bare = F.when(F.ltrim(reply).startswith("["), F.from_json(reply, row))
     rows = F.coalesce(inner, bare, F.array().cast(row))
     return F.filter(rows, lambda r: r.isNotNull() & r["cluster_id"].isNotNull())
+
+
+def rows_as_json(rows: DataFrame) -> DataFrame:
+    """(j): each row as a JSON object that keeps its nulls, in the order of the rows."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j"))

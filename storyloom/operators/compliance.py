@@ -115,7 +115,7 @@ def enforce(rows: DataFrame, schema: T.StructType, rules=RULES, markers=MARKERS)
     names = schema.fieldNames()
     others = [c for c in rows.columns if c not in names]
     look = lambda: blocked(json.leaves(schema), rules)
-    reviewer = F.exists(F.coalesce("violations", F.array().cast("array<struct<severity:string>>")), lambda v: v["severity"] == "blocking")
+    reviewer = F.coalesce(F.exists("violations", lambda v: v["severity"] == "blocking"), F.lit(False))
     step = rows.withColumn("blocked_by", F.when(look(), "regex").when(reviewer, "reviewer"))
     mapped = F.coalesce("rewrites", F.create_map().cast("map<string,string>"))
     step = step.withColumn("rewrites", mapped).select(*json.rewrite(schema), *others, "blocked_by")

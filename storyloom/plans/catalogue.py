@@ -295,7 +295,7 @@ def watchlist_tags(spark, sf_dir):
     return tagged(spark, sf_dir).select("story_id", *_joined("themes", "entities", "sectors", "tickers"))
 
 
-@query("SELECT story_id, round(macro, 6) AS macro, round(entity_term, 6) AS entities, round(sector_term, 6) AS sectors FROM terms")
+@query("SELECT story_id, round(macro::DOUBLE, 6) AS macro, round(entity_term::DOUBLE, 6) AS entities, round(sector_term::DOUBLE, 6) AS sectors FROM terms")
 def tag_weights(spark, sf_dir):
     d = stories.DEFAULT_WEIGHTS
     return tagged(spark, sf_dir).select(
@@ -714,7 +714,7 @@ def json_tolerant(spark, sf_dir):
 
 
 @query(
-    """SELECT story_id, s AS score FROM (VALUES ('x', 1.5), ('y', 2.0), ('z', NULL)) AS v(story_id, s)""", staged=False
+    """SELECT story_id, s::DOUBLE AS score FROM (VALUES ('x', 1.5), ('y', 2.0), ('z', NULL)) AS v(story_id, s)""", staged=False
 )
 def triage_rows(spark, sf_dir):
     replies = [('{"ranked": [{"cluster_id": "x", "score": 1.5}, {"score": 3}]}',), ('[{"cluster_id": "y", "score": 2.0}, {"cluster_id": "z"}]',), ("nothing",)]

@@ -52,5 +52,5 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     and a lost executor costs no more than its running tasks."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

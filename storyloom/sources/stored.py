@@ -65,6 +65,20 @@ def write_items(items: DataFrame, path: str) -> None:
     items.withColumn("item", F.col("cluster_id")).write.mode("overwrite").partitionBy("item").json(path)
 
 
+def write_dump(feeds: DataFrame, dumped: DataFrame, summary: DataFrame, folder: str) -> None:
+    """Three documents to look into a run: each feed's status, each story in order of score, and
+    one row of totals. Meant for one run's stories; larger tables belong in write_items()."""
+    from storyloom.functions.json import rows_as_json
+
+    os.makedirs(folder, exist_ok=True)
+    status = feeds.select(F.col("source_id").alias("id"), "status", F.size("entries").alias("entries"), "error").orderBy("id")
+    for name, rows in (("sources", status), ("clusters", dumped.orderBy(F.desc("score"), "id"))):
+        with open(f"{folder}/{name}.json", "w", encoding="utf-8") as f:
+            f.write("[" + ",\n".join(r.j for r in rows_as_json(rows).toLocalIterator()) + "]\n")
+    with open(f"{folder}/summary.json", "w", encoding="utf-8") as f:
+        f.write(rows_as_json(summary).first().j + "\n")
+
+
 PAGE = "<!doctype html><html lang=\"en\"><head><meta charset=\"utf-8\"><title>{title}</title><meta name=\"description\" content=\"{description}\"></head><body>{body}</body></html>\n"
 
 

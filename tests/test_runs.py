@@ -75,3 +75,44 @@ def test_items_are_merged_as_they_arrive(spark, tmp_path):
         q = arrivals.publish_items(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*"), table, check, AS_OF)
         q.awaitTermination(120)
     assert sorted(r.cluster_id for r in spark.read.parquet(table).collect()) == ["b", "c"]
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from storyloom import __main__ as cli
+    from storyloom.sources import inference
+    from tests.test_sources import ATOM, RSS
+
+    conf = tmp_path / "settings"
+    conf.mkdir()
+    (tmp_path / "s1.xml").write_bytes(RSS)
+    (tmp_path / "s2.xml").write_bytes(ATOM)
+    (conf / "sources.yml").write_text("defaults: {max_entries: 40, snippet_max_words: 40, default_tz: UTC}\nsources:\n- {id: s1, name: S1, tier: wire, url: u}\n- {id: s2, name: S2, tier: major, url: u}\n")
+    (conf / "watchlist.yml").write_text("macro_themes:\n- {label: Interest Rates, weight: 10, aliases: [one]}\n")
+    (conf / "compliance.yml").write_text("disclaimer: {short: No advice}\n")
+    (conf / "providers.yml").write_text("quality: [{name: p, base_url: u, model: q, key_env: KEY}]\ncheap: [{name: p, base_url: u, model: c, key_env: KEY}]\n")
+    for n in ("analysis", "triage", "review"):
+        (conf / f"{n}.txt").write_text(n)
+    (conf / ".env").write_text("KEY=x\n")
+    base = ["--settings", str(conf), "--landed", f"{tmp_path}/*.xml", "--as-of", "2026-08-11 12:00:00", "--site", f"{tmp_path}/site", "--ledger", f"{tmp_path}/ledger"]
+    assert cli.main([*base, "--no-llm", "--dump", f"{tmp_path}/dump"]) == 0
+    assert json.loads(capsys.readouterr().out) == {"ok": True, "articles": 3, "clusters": 3, "selected": 3}
+    assert [x["entries"] for x in json.loads((tmp_path / "dump/sources.json").read_text())] == [2, 1]
+    clusters = json.loads((tmp_path / "dump/clusters.json").read_text())
+    assert clusters[0]["tags"]["macro_themes"] == ["Interest Rates"] and clusters[0]["score"] >= clusters[1]["score"]
+    assert json.loads((tmp_path / "dump/summary.json").read_text())["multi_article_clusters"] == 0
+    analysis = json.dumps(BASE | {"what_happened": "a cut of 25 bps"})
+
+    class Fake(inference.Router):
+        def call(self, p, system, user, max_tokens, temperature, json_mode):
+            if system == "triage":
+                return 200, '{"ranked": []}'
+            return 200, analysis if system == "analysis" else '{"pass": true, "violations": [], "rewritten_fields": {"hook": "A new hook"}}'
+
+    monkeypatch.setattr(inference, "Router", Fake)
+    assert cli.main(base) == 0
+    out = json.loads(capsys.readouterr().out)
+    assert out["published"] == 3 and out["blocked_by_compliance"] == 0
+    feed = json.loads((tmp_path / "site/api/v1/feed.json").read_text())
+    assert feed["count"] == 3 and {i["hook"] for i in feed["items"]} == {"A new hook"}
+    assert [r.value for r in spark.read.parquet(f"{tmp_path}/ledger").collect()] == ["25bps"]
+    assert inference.probe(Fake([inference.Provider("p", "u", "m", "KEY"), inference.Provider("q", "u", "m", "NONE")])) == [("p", "m", "OK"), ("q", "m", "no key")]
