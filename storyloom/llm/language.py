@@ -33,6 +33,11 @@ HAS_LETTER = re.compile(r"[^\W\d_]")
 BLOCK_WORDS = 400_000
 
 
+def has_letter(text: str) -> bool:
+    # The pattern also finds numerals that aren't digits, such as fractions.
+    return any(m[0].isalpha() for m in HAS_LETTER.finditer(text))
+
+
 def letters(text: str) -> bytes:
     """The text's words of letters, lower-cased, a space before and after each."""
     words = text.lower().encode("utf-8", "surrogatepass").translate(LETTERS).split()
@@ -203,7 +208,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
             for i, text in enumerate(b.column("text")):
                 text = text.as_py()
-                if not text or not own.languages or not HAS_LETTER.search(text):
+                if not text or not own.languages or not has_letter(text):
                     continue
                 raw = letters(text)
                 at.append(i)

@@ -21,7 +21,7 @@ def test_learns_predicts_and_estimates_shares(spark):
     assert model.languages == ["aa", "bb", "cc"]
     new = rows(rng, 50)
     mixed = (500, text(rng, "aa", 60) + " " + text(rng, "bb", 30), "aa")
-    odd = [(600, None, ""), (601, "", ""), (602, "12 $$$ –", ""), (603, "A", ""), (604, "É", ""), (None, new[0][1], ""), (0, new[0][1], ""), (605, text(rng, "cc", 50_000), "cc")]
+    odd = [(600, None, ""), (601, "", ""), (602, "12 ½² $$$ –", ""), (603, "A", ""), (604, "É", ""), (None, new[0][1], ""), (0, new[0][1], ""), (605, text(rng, "cc", 50_000), "cc")]
     d = spark.createDataFrame(new + [mixed] + odd, "doc_id long, text string, lang string").selectExpr("doc_id", "text", "'x' AS lang_pred", "0 AS score").repartition(3)
     got = {}
     for r in m.predict(d, model).collect():
