@@ -41,7 +41,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("published_at"))
     n = F.substring("source", 4, 9).cast("int")
-    words = text.tokens(F.col("text"))
+    words = text.tokens(F.col("text"), 12)
     return d.join(e, "doc_id").select(
         F.col("doc_id").alias("id"), F.array_join(F.slice(words, 1, 12), " ").alias("title"), text.cap_words(F.col("text"), 40).alias("snippet"),
         F.concat(F.lit("https://pub"), (n % 8).cast("string"), F.lit(".example/a/"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("source_id"),

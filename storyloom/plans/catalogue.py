@@ -400,7 +400,7 @@ def triage_payload(spark, sf_dir):
 RULES = (
     ("blocking", r"\bthe that\b", "first rule"),
     ("blocking", r"(^|[.!?;]\s+)(and|of)\s+(the|a)\b", "second rule"),
-    ("minor", r"\b(of|in|to|is|and) (the|a|on|er)\b", "third rule"),
+    ("minor", r"\b(of|in|to|is|and) the\b", "third rule"),
     ("minor", r"\b\w+tion and\b", "fourth rule"),
 )
 MARKERS = ("with", "from", "avec", "nicht")
@@ -418,7 +418,7 @@ def record_type() -> T.StructType:
 
 def records(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("turn < 4").groupBy("conv_id").agg(*(F.max(F.when(F.col("turn") == k, F.col("text"))).alias(f"t{k}") for k in range(4)))
-    t = lambda k, n: F.array_join(F.slice(text.tokens(F.coalesce(f"t{k}", F.lit("none"))), 1, n), " ")
+    t = lambda k, n: F.array_join(F.slice(text.tokens(F.coalesce(f"t{k}", F.lit("none")), n), 1, n), " ")
     case = lambda k: F.struct(t(k, 12).alias("argument"), F.array(t(k, 2), t(k, 3)).alias("depends_on"))
     return c.select(
         "conv_id", t(0, 8).alias("headline"), t(1, 9).alias("hook"), F.array(t(0, 3), F.concat(F.lit("Why it matters: "), t(1, 4)), t(2, 5)).alias("gist"), t(1, 30).alias("what_happened"),
@@ -494,7 +494,7 @@ def _acronyms_sql(x: str) -> str:
 )
 def casing_repair(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("lang = 'en'")
-    t = F.concat(F.lit("the ai and api of "), F.lower(F.array_join(F.slice(text.tokens(F.col("text")), 1, 12), " ")))
+    t = F.concat(F.lit("the ai and api of "), F.lower(F.array_join(F.slice(text.tokens(F.col("text"), 12), 1, 12), " ")))
     d = d.select("doc_id", t.alias("t"))
     bullet = F.concat(F.when(F.col("doc_id") % 3 == 0, "What to watch: ").otherwise(""), "t")
     return d.select("doc_id", text.currency_and_capital(text.upper_acronyms(F.col("t"))).alias("fixed"), text.strip_gist_label(bullet).alias("bullet"))
