@@ -451,9 +451,10 @@ _RULES_SQL = sql_values([(s, p.replace(r"\w", r"[\pL\pN_]"), r) for s, p, r in R
 
 
 @query(
-    RECORD_SQL + f""", hit AS (SELECT l.conv_id, l.path AS field, v.severity, v.rule, regexp_extract(l.text, '(?i)' || v.pattern) AS quote, l.text
+    RECORD_SQL + f""", hit AS (SELECT l.conv_id, l.path AS field, v.severity, v.rule, regexp_extract(l.text, '(?i)' || v.pattern) AS quote, l.text,
+      length(regexp_extract(l.text, '(?is)^(.*?)(?:' || v.pattern || ')', 1)) + 1 AS p
       FROM leaves l JOIN {_RULES_SQL} ON regexp_matches(l.text, '(?i)' || v.pattern)),
-    spot AS (SELECT *, strpos(text, quote) AS p FROM hit)
+    spot AS (SELECT * FROM hit)
     SELECT conv_id, field, severity, rule, quote,
       CASE WHEN greatest(0, p - 1 - 70) > 0 THEN '…' ELSE '' END || trim(substr(text, greatest(0, p - 71) + 1, least(length(text), p - 1 + length(quote) + 70) - greatest(0, p - 71)))
       || CASE WHEN p - 1 + length(quote) + 70 < length(text) THEN '…' ELSE '' END AS context FROM spot""",
