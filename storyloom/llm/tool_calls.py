@@ -1,8 +1,9 @@
 """Tool-call linking for chat formatting, by DataFrame functions only.
 
-Plan: calls and results are first reduced to one row per (conversation, call id) by partial
-aggregation, the earliest row winning, so that both sides of the hash join have unique keys and
-an identifier that repeats without end costs no more than one row. Calls are ordered
+Plan: the earliest call and the earliest result of each (conversation, call id) are found by
+partial aggregation, so that both sides of the hash join have unique keys. Further rows of an
+identifier are told by row numbers, not by the identifier, and returned one by one beside the
+join, so an identifier that repeats without end makes no pairs and no large group. Calls are ordered
 topologically by levels: a call's level is one more than the highest level of the calls it
 depends on. Chains of calls with one dependency each are followed by pointer doubling, so a long
 conversation takes few rounds; the other calls are placed level by level. Every round is an
@@ -10,7 +11,9 @@ equality join whose result is written to the shared folder. No conversation is e
 from these, and serialised as JSON with sorted keys and no spaces.
 
 Defined results: a call without an id is not linked and not returned; a null conversation is a
-conversation of its own. Calls that depend on themselves through others have a null level and
+conversation of its own. The earliest call of an identifier has its earliest result. Further calls
+have a row each, with the error ``duplicate id``, a level by their own dependencies, and no
+result; further results have a row each, ``duplicate result``. Dependencies mean the earliest call. Calls that depend on themselves through others have a null level and
 the error ``cycle``; unknown dependencies give ``unknown dependency`` and don't delay the call.
 Arguments that aren't a JSON object give ``not an object``; a tool without a schema gives
 ``unknown tool``. Results without a call are returned as orphans. Only the named columns are
@@ -110,34 +113,54 @@ def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     return placed.unionAll(chained)
 
 
+def again(calls: DataFrame, first: DataFrame, place: DataFrame) -> DataFrame:
+    """Calls whose identifier an earlier call has (with their row numbers), with a level one over
+    those of the calls they depend on, null if one of these can't be placed."""
+    ids = first.select("conv", F.col("call_id").alias("needs"), F.lit(True).alias("known"))
+    ids = ids.join(place.select("conv", F.col("call_id").alias("needs"), F.col("level").alias("below")), ["conv", "needs"], "left")
+    needs = calls.select("row", "conv", F.explode("depends_on").alias("needs")).where(F.col("needs").isNotNull())
+    state = needs.join(ids, ["conv", "needs"], "left").groupBy("row").agg(
+        F.count_if(F.col("known") & F.col("below").isNull()).alias("stuck"), (F.max("below") + 1).alias("level_"),
+        F.max(F.col("known").isNull()).alias("unknown"),
+    )
+    level = F.when(F.coalesce("stuck", F.lit(0)) == 0, F.coalesce("level_", F.lit(0).cast("long")))
+    return calls.join(state, "row", "left").select(
+        "conv", "call_id", "turn", "name", "arguments", F.lit(True).alias("is_call"), F.lit(True).alias("again"), level.alias("level"), "unknown"
+    )
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """Links calls (conv, call_id, turn, name, arguments JSON, depends_on array) with results
     (conv, call_id, turn, content).
 
     A row per call: conv, call_id, turn, level, name, errors, valid, result_turn, record (canonical
-    JSON of the call with its result); and a row without name per result that has no call.
+    JSON of the call with its result); and a row without name per result that has no call of its own.
     """
     known = F.col("call_id").isNotNull()
     conv = F.coalesce(F.col("conv").cast("string"), F.lit("")).alias("conv")
+    row = F.monotonically_increasing_id().alias("row")  # written at once, so that it stays
+    all_c = materialize(calls.where(known).select(conv, "call_id", "turn", "name", "arguments", "depends_on", row), "all-calls")
+    all_r = materialize(results.where(known).select(conv, "call_id", "turn", "content", row), "all-results")
     c = materialize(
-        calls.where(known).select(conv, "call_id", F.struct("turn", "name", "arguments", "depends_on").alias("s"))
-        .groupBy("conv", "call_id").agg(F.min("s").alias("s")).select("conv", "call_id", "s.*", F.lit(True).alias("is_call")), "calls",
-    )
-    r = (
-        results.where(known).select(conv, "call_id", F.struct("turn", "content").alias("s"))
-        .groupBy("conv", "call_id").agg(F.min("s").alias("s"))
-        .select("conv", "call_id", F.col("s.turn").alias("result_turn"), "s.content", F.lit(True).alias("has_result"))
+        all_c.groupBy("conv", "call_id").agg(F.min(F.struct("turn", "name", "arguments", "depends_on", "row")).alias("s"))
+        .select("conv", "call_id", "s.*", F.lit(True).alias("is_call")), "calls",
     )
+    first_r = materialize(all_r.groupBy("conv", "call_id").agg(F.min(F.struct("turn", "content", "row")).alias("s")).select("conv", "call_id", "s.*"), "results")
+    r = first_r.select("conv", "call_id", F.col("turn").alias("result_turn"), "content", F.lit(True).alias("has_result"))
     wanted = c.select("conv", "call_id", F.explode("depends_on").alias("needs")).where(F.col("needs").isNotNull()).distinct()
     ids = c.select("conv", F.col("call_id").alias("needs"), F.lit(True).alias("known"))
     wanted = materialize(wanted.join(ids, ["conv", "needs"], "left"), "dependencies")
     unknown = wanted.where(F.col("known").isNull()).groupBy("conv", "call_id").agg(F.lit(True).alias("unknown"))
     place = levels(c, wanted.where("known").select("conv", "call_id", "needs"))
-    linked = c.join(r, ["conv", "call_id"], "full").join(place, ["conv", "call_id"], "left").join(unknown, ["conv", "call_id"], "left")
-    parsed = linked.withColumn("v", F.try_parse_json("arguments")).withColumn("is_call", F.coalesce("is_call", F.lit(False)))
+    linked = c.drop("row").join(r, ["conv", "call_id"], "full").join(place, ["conv", "call_id"], "left").join(unknown, ["conv", "call_id"], "left")
+    linked = linked.withColumn("is_call", F.coalesce("is_call", F.lit(False))).withColumn("again", F.lit(False)).drop("depends_on")
+    more = again(all_c.join(c.select("row"), "row", "left_anti"), c, place)
+    more_r = all_r.join(first_r.select("row"), "row", "left_anti").join(c.select("conv", "call_id", "is_call"), ["conv", "call_id"], "left")
+    more_r = more_r.select("conv", "call_id", F.col("turn").alias("result_turn"), F.lit(False).alias("is_call"), F.col("is_call").isNotNull().alias("again"))
+    parsed = more.unionByName(more_r, allowMissingColumns=True).unionByName(linked, allowMissingColumns=True).withColumn("v", F.try_parse_json("arguments"))
     errors = F.concat_ws(
         "; ", F.nullif(validate(F.col("name"), F.col("v"), schemas), F.lit("")), F.when(F.col("unknown"), F.lit("unknown dependency")),
-        F.when(F.col("level").isNull(), F.lit("cycle")),
+        F.when(F.col("level").isNull(), F.lit("cycle")), F.when(F.col("again"), F.lit("duplicate id")),
     )
     record = F.to_json(
         F.struct(
@@ -145,9 +168,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
             F.when(F.col("has_result"), F.struct("content", F.col("result_turn").alias("turn"))).alias("result"), "turn",
         )
     )
+    lone = F.when(F.col("again"), "duplicate result").otherwise("orphan result")
     return parsed.select(
         "conv", "call_id", "turn", F.when(F.col("is_call"), F.col("level")).alias("level"), "name",
-        F.when(F.col("is_call"), errors).otherwise("orphan result").alias("errors"),
+        F.when(F.col("is_call"), errors).otherwise(lone).alias("errors"),
         (F.col("is_call") & (errors == "")).alias("valid"), "result_turn", F.when(F.col("is_call"), record).alias("record"),
     )
 
@@ -178,7 +202,8 @@ def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     lookup = F.concat(F.lit('{"fields":["b", "a"]'), F.when(F.col("n") % 7 != 0, F.concat(F.lit(', "id":'), n)).otherwise(""), F.lit("}"))
     rate = F.when(F.col("n") % 11 == 0, F.lit("[1, 2]")).otherwise(F.concat(F.lit('{"value": '), n, F.lit(', "note": "'), "w", F.lit('"}')))
     arguments = F.when(name == "search", search).when(name == "lookup", lookup).otherwise(rate)
-    call = lambda turn: F.concat(F.lit("call-"), F.col("conv").cast("string"), F.lit("-"), turn.cast("string"))
+    known = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    call = lambda turn: F.concat(F.lit("call-"), known(F.col("conv")), F.lit("-"), known(turn))
     calls = w.where("role = 'assistant'").select(
         "conv", call(F.col("turn")).alias("call_id"), "turn", name.alias("name"), arguments.alias("arguments"),
         F.when(F.col("turn") >= 2, F.array(call(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
@@ -191,7 +216,7 @@ def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = from_conversations(table(spark, sf_dir, "conversations"))
-    return link(calls, results, SCHEMAS).select(F.col("conv").cast("long").alias("conv_id"), "call_id", "turn", "level", "name", "errors", "valid", "result_turn", "record")
+    return link(calls, results, SCHEMAS).select(F.nullif(F.col("conv"), F.lit("")).cast("long").alias("conv_id"), "call_id", "turn", "level", "name", "errors", "valid", "result_turn", "record")
 
 
 OP8_SQL = """

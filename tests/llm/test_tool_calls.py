@@ -58,3 +58,29 @@ def test_hot_identifier_and_empty_tables(spark):
     got = link(spark, [("a", "1", k, "rate", '{"value":1}', []) for k in range(500)], [("a", "1", k, f"r{k}") for k in range(500)])
     assert len(got) == 1 and json.loads(got["a", "1"].record)["result"] == {"content": "r0", "turn": 0}
     assert link(spark, []) == {}
+
+
+def test_every_row_of_a_repeated_identifier_is_returned(spark):
+    calls = [("a", "1", k, "rate", '{"value":1}', []) for k in range(50)] + [
+        ("a", "2", 1, "rate", '{"value":1}', ["1"]), ("a", "2", 2, "rate", "[]", ["2", "gone"]), ("a", "2", 2, "rate", "[]", ["2", "gone"]),
+        ("a", "3", 1, "rate", '{"value":1}', ["3"]), ("a", "3", 2, "rate", '{"value":1}', ["3"]),
+    ]
+    results = [("a", "1", k, "r") for k in range(40)] + [("a", "9", 1, "r"), ("a", "9", 2, "r")]
+    rows = t.link(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), t.SCHEMAS).collect()
+    ones = [r for r in rows if r.call_id == "1"]
+    assert sorted(r.turn for r in ones if r.name) == list(range(50)) and sorted(r.result_turn for r in ones if not r.name) == list(range(1, 40))
+    assert {(r.turn == 0, r.errors, r.valid, r.result_turn) for r in ones if r.name} == {(True, "", True, 0), (False, "duplicate id", False, None)}
+    assert {r.errors for r in ones if not r.name} == {"duplicate result"}
+    seen = sorted((r.call_id, r.turn or 0, r.level, r.errors) for r in rows if r.call_id == "2")
+    assert seen == [("2", 1, 1, "")] + [("2", 2, 2, "not an object; unknown dependency; duplicate id")] * 2
+    assert sorted(r.errors for r in rows if r.call_id == "3") == ["cycle", "cycle; duplicate id"]
+    assert sorted((r.errors, r.result_turn) for r in rows if r.call_id == "9") == [("orphan result", 1), ("orphan result", 2)]
+
+
+def test_query_keeps_repeated_turns_and_null_conversations(spark, tmp_path):
+    rows = [(1, 1, "assistant", "one two three")] * 3 + [(1, 2, "user", "a")] * 2 + [(None, 1, "assistant", "one"), (None, 2, "user", "b"), (2, None, "assistant", "one")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = t.op8_tool_calls(spark, str(tmp_path)).collect()
+    assert sorted((r.conv_id or 0, r.turn or 0, r.result_turn or 0, r.errors.split("; ")[-1]) for r in got) == [
+        (0, 1, 2, ""), (1, 0, 2, "duplicate result"), (1, 1, 0, "duplicate id"), (1, 1, 0, "duplicate id"), (1, 1, 2, ""), (2, 0, 0, ""),
+    ]
