@@ -464,6 +464,38 @@ def compliance_scan(spark, sf_dir):
     return compliance.scan(records(spark, sf_dir), "conv_id", json.leaves(record_type()), RULES)
 
 
+#: A whole conversation: its first turns under a record's names, all others in order.
+WHOLE_DDL = "headline string, hook string, bull_case struct<argument:string>, bear_case struct<argument:string>, turns array<string>"
+
+
+def whole_type() -> T.StructType:
+    return T.StructType.fromDDL(WHOLE_DDL)
+
+
+def whole_records(spark, sf_dir):
+    """A record per conversation, of the whole text of every turn."""
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(ordered, lambda x: x["text"]).alias("all_"))
+    case = lambda k: F.struct(F.coalesce(F.get("all_", F.lit(k)), F.lit("none")).alias("argument"))
+    return c.select(
+        "conv_id", F.get("all_", F.lit(0)).alias("headline"), F.get("all_", F.lit(1)).alias("hook"), case(2).alias("bull_case"), case(3).alias("bear_case"),
+        F.slice("all_", F.lit(5), F.size("all_")).alias("turns"),
+    )
+
+
+@query()
+def flatten_leaves_whole(spark, sf_dir):
+    return whole_records(spark, sf_dir).select("conv_id", F.explode(json.leaves(whole_type())).alias("x")).select("conv_id", "x.*")
+
+
+@query()
+def compliance_scan_whole(spark, sf_dir):
+    c = compliance.scan(whole_records(spark, sf_dir), "conv_id", json.leaves(whole_type()), RULES).withColumnRenamed("conv_id", "id")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    d = compliance.scan(d, "id", json.leaves(T.StructType.fromDDL("text string")), RULES)
+    return c.select(F.lit("conversations").alias("source"), "*").unionByName(d.select(F.lit("documents").alias("source"), "*"))
+
+
 @query(
     f"""SELECT conv_id, turn, {" OR ".join(f"contains(lower(text), '{m}')" for m in MARKERS)} AS attributed,
     CASE WHEN {" OR ".join(f"contains(lower(text), '{m}')" for m in MARKERS)} OR trim(text) = '' THEN text
@@ -517,13 +549,22 @@ def casing_contextual(spark, sf_dir):
     staged=False,
 )
 def enforce_pipeline(spark, sf_dir):
+    return _enforced(records(spark, sf_dir), record_type())
+
+
+@query()
+def enforce_pipeline_whole(spark, sf_dir):
+    return _enforced(whole_records(spark, sf_dir), whole_type())
+
+
+def _enforced(rows, schema):
     c = F.col("conv_id")
     severity = F.when(c % 10 == 3, "blocking").otherwise("minor")
-    rows = records(spark, sf_dir).select(
+    rows = rows.select(
         "*", F.array(F.struct(severity.alias("severity"))).alias("violations"), F.when(c % 4 == 1, F.create_map(F.lit("headline"), F.lit("A plain headline"), F.lit("a.b.c"), F.lit("no"))).alias("rewrites")
     )
     # The prefix holds no marker of this query, so that a case without one stays blocked.
-    return compliance.enforce(rows, record_type(), RULES, MARKERS).select("conv_id", "blocked_by")
+    return compliance.enforce(rows, schema, RULES, MARKERS).select("conv_id", "blocked_by")
 
 
 # --- ledger -------------------------------------------------------------------------------------
