@@ -527,8 +527,17 @@ def _acronyms_sql(x: str) -> str:
 )
 def casing_repair(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("lang = 'en'")
-    t = F.concat(F.lit("the ai and api of "), F.lower(F.array_join(F.slice(text.tokens(F.col("text"), 12), 1, 12), " ")))
-    d = d.select("doc_id", t.alias("t"))
+    return _repaired(d, F.lower(F.array_join(F.slice(text.tokens(F.col("text"), 12), 1, 12), " ")))
+
+
+@query()
+def casing_repair_whole(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("lang = 'en'")
+    return _repaired(d, F.lower("text"))
+
+
+def _repaired(d, low):
+    d = d.select("doc_id", F.concat(F.lit("the ai and api of "), low).alias("t"))
     bullet = F.concat(F.when(F.col("doc_id") % 3 == 0, "What to watch: ").otherwise(""), "t")
     return d.select("doc_id", text.currency_and_capital(text.upper_acronyms(F.col("t"))).alias("fixed"), text.strip_gist_label(bullet).alias("bullet"))
 

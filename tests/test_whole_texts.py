@@ -36,3 +36,12 @@ def test_scan_reads_all_turns_and_documents(spark, tables):
 def test_chain_blocks_by_what_stands_late(spark, tables):
     got = {r.conv_id: r.blocked_by for r in catalogue.enforce_pipeline_whole(spark, tables[0]).collect()}
     assert got == {1: "regex", 2: None, 4: "unattributed"}
+
+
+def test_casing_is_repaired_to_the_end(spark, tables):
+    path, _, docs = tables
+    got = {r.doc_id: r for r in catalogue.casing_repair_whole(spark, path).collect()}
+    late = next(t for k, t, _ in docs if k == 12).lower()
+    assert set(got) == {7, 8, 12} and got[8].fixed is None
+    assert got[12].fixed == "The AI and API of " + late.replace(" ai api", " AI API")
+    assert got[12].bullet == "the ai and api of " + late
