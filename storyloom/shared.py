@@ -53,4 +53,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._storyloom_path = path
+    return written
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that materialize() wrote, which nothing may read any more."""
+    delete_path(df.sparkSession, df._storyloom_path)
