@@ -7,14 +7,16 @@
    the shared folder. A file's name holds a random part, and only names in the written
    manifest count, so files of failed or repeated tasks are never read.
 3. ``index_archives``: every archive is read back from start to end; payloads are digested
-   again, and each task writes its captures, sorted by (URL key, timestamp, id), as one run with
-   a sparse table of keys and byte offsets.
-4. ``merge_runs``: a loser tree merges the runs. While there are more than ``fan_in`` runs,
-   groups of that many are merged to longer runs; the last pass is cut into key ranges, whose
-   bounds come from the sparse tables, so that every task merges its range of all runs, seeking
-   past what lies before it. A bound is a whole (key, timestamp, id), so the captures of one
-   host or URL may be split between tasks. Ranges in order are the capture histories in global
-   order. Open files and memory are bounded by fan_in.
+   again, and each task writes the captures of its archives, sorted by (URL key, timestamp, id), as runs
+   of ``run_captures`` with a sparse table of keys and byte offsets. Small archives share a task.
+4. ``merge_runs``: a loser tree merges the runs, ``fan_in`` at once, in as many passes as that takes.
+   In every pass, the last one and those before, each group of runs is cut into key ranges of about
+   ``range_captures``, whose bounds come from the sparse tables, and every task merges one range of
+   its group, seeking past what lies before it: no task reads more than its range and the rows between
+   two marks of each run, however long the runs have become. A pass before the last writes a file for
+   each range; these together are the longer run. A bound is a whole (key, timestamp, id), so the
+   captures of one host or URL may be split between tasks. Ranges in order are the capture histories
+   in global order. Open files and memory are bounded by fan_in.
 
 Files are written and read through pyarrow.fs, for which the shared folder's address must be
 one that it knows (file, hdfs, s3, gs).
@@ -22,8 +24,10 @@ one that it knows (file, hdfs, s3, gs).
 Defined results: a null payload is empty, a null URL has the empty key. Rows that repeat an id
 and payload are all responses where that id is the smallest. A null id is larger than any
 other: such a row revisits a row with an id, and is a response if there is none. Captures
-without timestamps get one that counts seconds from the epoch given by their ids. Only the
-named columns are read, and an empty table gives an empty index.
+without timestamps get one that counts seconds from ``epoch``, by the id modulo 4 * 10**9 (or by the
+CRC-32 of a string id). Timestamps are kept within the years 1 to 9999; a null one is the epoch of
+1970. Ids are integers or strings. Only the named columns are read, and an empty table gives an empty
+index.
 """
 
 from __future__ import annotations
@@ -32,12 +36,16 @@ import json
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom.llm.common import table
 from storyloom.shared import materialize, new_path
 
+#: Ids stand for seconds modulo this.
+ID_SECONDS = 4_000_000_000
+#: The first second of year 1 and the last of year 9999, as dates of records have four digits for it.
+FIRST, LAST = -62_135_596_800, 253_402_300_799
 VERSION = b"WARC/1.1"
 END = b"\r\n"
 
@@ -115,10 +123,12 @@ def read_records(stream, chunk: int = 1 << 20):
 
 def decide(pages: DataFrame, id_col: str, url_col: str, payload_col: str, time_col: str | None, min_bytes: int) -> DataFrame:
     """id, url, payload, seconds, digest and refers_to of each row."""
+    text = dict(pages.dtypes)[id_col] == "string"
+    own = F.crc32(F.col(id_col)) if text else F.pmod(F.col(id_col).cast("long"), F.lit(ID_SECONDS))
     base = pages.select(
-        F.col(id_col).alias("id"), F.col(url_col).alias("url"),
+        F.col(id_col).cast("string" if text else "long").alias("id"), F.col(url_col).alias("url"),
         F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"),
-        (F.unix_seconds(F.col(time_col).cast("timestamp")) if time_col else F.col(id_col).cast("long")).alias("seconds"),
+        (F.unix_seconds(F.col(time_col).cast("timestamp")) if time_col else own).alias("seconds"),
     ).withColumn("digest", F.sha2("payload", 256))
     light = base.where(F.octet_length("payload") >= min_bytes).select("id", "digest")
     first = light.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
@@ -137,7 +147,8 @@ def decide(pages: DataFrame, id_col: str, url_col: str, payload_col: str, time_c
 def iso(seconds: int | None) -> str:
     from datetime import UTC, datetime, timedelta
 
-    return (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(seconds=seconds or 0)).strftime("%Y-%m-%dT%H:%M:%SZ")
+    at = min(max(seconds or 0, FIRST), LAST)
+    return (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(seconds=at)).replace(tzinfo=None).isoformat() + "Z"
 
 
 def archive_writer(uri: str, epoch: int, roll_bytes: int, level: int):
@@ -198,20 +209,20 @@ def capture(archive: str, offset: int, length: int, headers: dict, block: bytes)
 
 def order(c) -> tuple:
     """Sort key of a capture; null ids come last."""
-    return c[0], c[1], c[2] is None, c[2] or 0
+    return c[0], c[1], c[2] is None, 0 if c[2] is None else c[2]
 
 
 class RunWriter:
-    """Writes captures in order as lines, and keeps each ``every``-th one's key and offset.
+    """Writes captures in order as lines, and keeps each ``every``-th one's key and offset and the last key.
 
-    A run never has more than MARKS of these: beyond, every other one is dropped.
+    A file never has more than MARKS of these: beyond, every other one is dropped.
     """
 
     MARKS = 512
 
     def __init__(self, fs, path: str, every: int) -> None:
         self.out, self.every, self.n, self.marks = fs.open_output_stream(path), every, 0, []
-        self.size, self.lines = 0, []
+        self.size, self.lines, self.last = 0, [], None
 
     def add(self, c) -> None:
         line = json.dumps(c, ensure_ascii=True).encode() + b"\n"
@@ -222,27 +233,29 @@ class RunWriter:
                 self.marks.append([list(c[:3]), self.size])
         self.n += 1
         self.size += len(line)
+        self.last = list(c[:3])
         self.lines.append(line)
         if len(self.lines) >= 512:
             self.out.write(b"".join(self.lines))
             self.lines = []
 
-    def close(self) -> list:
+    def close(self) -> dict:
         self.out.write(b"".join(self.lines))
         self.out.close()
-        return self.marks
+        return {"marks": self.marks, "last": self.last}
 
 
-def run_row(name: str, writer: RunWriter):
+def file_row(run: str, name: str, writer: RunWriter):
     import pyarrow as pa
 
-    marks = writer.close()
+    marks = json.dumps(writer.close())
     return pa.RecordBatch.from_arrays(
-        [pa.array([name]), pa.array([writer.n], pa.int64()), pa.array([json.dumps(marks)])], ["run", "captures", "marks"]
+        [pa.array([run]), pa.array([name]), pa.array([writer.n], pa.int64()), pa.array([marks])], ["run", "file", "captures", "marks"]
     )
 
 
-RUN = "run string, captures long, marks string"
+#: A run is one file, or several with a key range each.
+RUN = "run string, file string, captures long, marks string"
 
 
 def archive_indexer(uri: str, run_captures: int, every: int):
@@ -257,7 +270,7 @@ def archive_indexer(uri: str, run_captures: int, every: int):
             for c in held:
                 w.add(c)
             held.clear()
-            return run_row(name, w)
+            return file_row(name, name, w)
 
         for b in batches:
             for name in b.column("archive").to_pylist():
@@ -274,7 +287,10 @@ def archive_indexer(uri: str, run_captures: int, every: int):
 
 def index_archives(manifest: DataFrame, uri: str, *, run_captures: int = 200_000, every: int = 512) -> DataFrame:
     """Reads every archive back and writes sorted capture runs; the runs are a written table."""
-    n = max(1, manifest.count())
+    found = manifest.agg(F.count(F.lit(1)).alias("n"), F.sum("records").alias("records")).first()
+    # As many tasks as there are runs to write, but enough of them for the cluster's cores.
+    full = -(-(found.records or 0) // run_captures)
+    n = max(1, min(found.n, max(full, 4 * manifest.sparkSession.sparkContext.defaultParallelism)))
     spread = manifest.select("archive").repartitionByRange(n, "archive")
     return materialize(spread.mapInArrow(archive_indexer(uri, run_captures, every), RUN), "runs")
 
@@ -334,40 +350,82 @@ class LoserTree:
 
 
 HISTORY = (
-    "part int, seq long, url_key string, timestamp string, id long, url string, record_type string, payload_digest string, "
-    "payload_bytes long, refers_to long, archive string, offset long, length long"
+    "part int, seq long, url_key string, timestamp string, id {id}, url string, record_type string, payload_digest string, "
+    "payload_bytes long, refers_to {id}, archive string, offset long, length long"
 )
+RANGE = "g long, part int, low string, high string, starts string"
+
+
+def plan_ranges(range_captures: int):
+    """For the files of a group of runs: its key ranges of about range_captures, and for each the files that
+    reach into it with the offset to start from."""
+
+    def plan(rows):
+        import bisect
+
+        import pyarrow as pa
+
+        files, weights = [], []
+        for r in rows.select(["file", "captures", "marks"]).to_pylist():
+            held = json.loads(r["marks"])
+            marks = [(order(k), k, at) for k, at in held["marks"]]
+            files.append((r["file"], [m[0] for m in marks], [m[2] for m in marks], order(held["last"])))
+            weights += [(m[0], r["captures"] / len(marks), m[1]) for m in marks]
+        weights.sort(key=lambda w: w[0])
+        bounds, size = [], 0.0
+        for key, n, plain in weights:
+            if size >= range_captures and (not bounds or key > bounds[-1][0]):
+                bounds.append((key, plain))
+                size = 0.0
+            size += n
+        g = rows.column("g")[0].as_py()
+        out = []
+        for p in range(len(bounds) + 1):
+            low, high = (bounds[p - 1] if p else None), (bounds[p] if p < len(bounds) else None)
+            starts = []
+            for name, keys, offsets, last in files:
+                if (high is None or keys[0] < high[0]) and (low is None or last >= low[0]):
+                    starts.append((name, offsets[max(bisect.bisect_left(keys, low[0]) - 1, 0)] if low else offsets[0]))
+            out.append((g, p, low and json.dumps(low[1]), high and json.dumps(high[1]), json.dumps(starts)))
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["g", "part", "low", "high", "starts"])
+
+    return plan
+
+
+def merged(fs, root: str, row: dict):
+    """(key, capture) of a range in order."""
+    low, high = (None if x is None else order(json.loads(x)) for x in (row["low"], row["high"]))
+    return LoserTree([read_run(fs, f"{root}/{name}", at, low, high) for name, at in json.loads(row["starts"])])
 
 
 def group_merger(uri: str, every: int):
-    """Merges the runs of each row's list to one longer run."""
+    """Merges the range of each row to a file of its group's longer run."""
 
     def run(batches):
         fs, root = file_system(uri)
         for b in batches:
-            for names in b.column("names").to_pylist():
+            for row in b.to_pylist():
                 name = f"{uuid.uuid4().hex}.run"
                 w = RunWriter(fs, f"{root}/{name}", every)
-                for _, c in LoserTree([read_run(fs, f"{root}/{x}", 0, None, None) for x in names]):
+                for _, c in merged(fs, root, row):
                     w.add(c)
-                yield run_row(name, w)
+                found = file_row(str(row["g"]), name, w)
+                if w.n:
+                    yield found
 
     return run
 
 
-def range_merger(uri: str):
-    """Merges a key range of all runs; each row has the range and where to start in each run."""
+def range_merger(uri: str, schema: str):
+    """Merges the range of each row to rows of the histories."""
 
     def run(batches):
-        import pyarrow as pa
-
         fs, root = file_system(uri)
         for b in batches:
             for row in b.to_pylist():
-                low, high = (None if x is None else order(json.loads(x)) for x in (row["low"], row["high"]))
-                tree = LoserTree([read_run(fs, f"{root}/{name}", at, low, high) for name, at in json.loads(row["starts"])])
                 rows, n = [], 0
-                for _, (key, time, i, rest) in tree:
+                for _, (key, time, i, rest) in merged(fs, root, row):
                     url, kind, digest, size, refers, archive, offset, length = rest
                     rows.append((row["part"], n, key, time, i, url, kind, digest, size, refers, archive, offset, length))
                     n += 1
@@ -380,78 +438,88 @@ def range_merger(uri: str):
     def batch_of(rows):
         import pyarrow as pa
 
-        names = [x.split()[0] for x in HISTORY.split(", ")]
-        kinds = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[x.split()[1]] for x in HISTORY.split(", ")]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names
-        )
+        names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+        kinds = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[k] for k in kinds]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return run
 
 
-def merge_runs(runs: DataFrame, uri: str, *, fan_in: int = 64, range_captures: int = 50_000, every: int = 512) -> DataFrame:
+def merge_runs(
+    runs: DataFrame, uri: str, *, fan_in: int = 64, range_captures: int = 50_000, every: int = 512, id_type: str = "long"
+) -> DataFrame:
     """The captures of all runs in global order: by (part, seq)."""
-    import bisect
-
-    spark = runs.sparkSession
-    total = runs.agg(F.sum("captures")).first()[0] or 0
-    while (n := runs.count()) > fan_in:
+    schema = HISTORY.format(id=id_type)
+    while True:
+        names = runs.select("run").distinct()
+        n = names.count()
+        if not n:
+            return runs.sparkSession.createDataFrame([], schema)
         groups = -(-n // fan_in)
-        # Which run goes to which group doesn't matter; a hash of its name repeats on retries.
-        named = runs.select("run", F.pmod(F.xxhash64("run"), F.lit(groups)).alias("g"))
-        lists = materialize(
-            named.withColumn("k", F.floor((F.row_number().over(_by("g", "run")) - 1) / fan_in))
-            .groupBy("g", "k").agg(F.sort_array(F.collect_list("run")).alias("names")), "groups",
-        )
-        runs = materialize(lists.repartitionByRange(groups, "g", "k").mapInArrow(group_merger(uri, every), RUN), "runs")
-    # The driver holds at most fan_in runs' names and RunWriter.MARKS marks of each.
-    marks = {r.run: json.loads(r.marks) for r in runs.collect()}
-    parts = max(1, min(-(-total // range_captures), 64 * len(marks)))
-    keys = sorted((m[0] for found in marks.values() for m in found), key=order)
-    bounds = [keys[len(keys) * p // parts] for p in range(1, parts)] if keys else []
-    rows = []
-    for p in range(len(bounds) + 1):
-        low, high = (bounds[p - 1] if p else None), (bounds[p] if p < len(bounds) else None)
-        starts = []
-        for name, found in marks.items():
-            k = bisect.bisect_left(found, order(low), key=lambda m: order(m[0])) - 1 if low else 0
-            starts.append((name, found[max(k, 0)][1]))
-        rows.append((p, low and json.dumps(low), high and json.dumps(high), json.dumps(starts)))
-    ranges = spark.createDataFrame(rows, "part int, low string, high string, starts string")
-    return ranges.repartitionByRange(len(rows), "part").mapInArrow(range_merger(uri), HISTORY)
+        # Which run goes to which group doesn't matter; a hash of its name repeats on retries. A group that
+        # gets too many is divided.
+        named = names.select("run", F.pmod(F.xxhash64("run"), F.lit(groups)).alias("h"))
+        rank = F.floor((F.row_number().over(_by("h", "run")) - 1) / fan_in) if groups > 1 else F.lit(0)
+        grouped = materialize(runs.join(named.select("run", (F.col("h") + groups * rank).cast("long").alias("g")), "run"), "groups")
+        plan = materialize(grouped.groupBy("g").applyInArrow(plan_ranges(range_captures), RANGE), "ranges")
+        tasks = plan.repartitionByRange(plan.count(), "g", "part")
+        if groups == 1:
+            return tasks.mapInArrow(range_merger(uri, schema), schema)
+        runs = materialize(tasks.mapInArrow(group_merger(uri, every), RUN), "runs")
+
+
+def in_order(histories: DataFrame) -> DataFrame:
+    """The histories with ``position``, a capture's place (from 0) among all; only the sizes of parts are added up."""
+    rows = materialize(histories, "histories")
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    return rows.join(sizes, "part").withColumn("position", F.col("before") + F.col("seq")).drop("before")
 
 
 def _by(group: str, order_by: str):
-    from pyspark.sql import Window
-
     return Window.partitionBy(group).orderBy(order_by)
 
 
 def capture_histories(
     pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", time_col: str | None = None,
-    epoch: int = 1_700_000_000, min_bytes: int = 100, fan_in: int = 64, run_captures: int = 200_000, uri: str | None = None,
+    epoch: int = 1_700_000_000, min_bytes: int = 100, fan_in: int = 64, run_captures: int = 200_000, range_captures: int = 50_000,
+    uri: str | None = None,
 ) -> DataFrame:
     """Archives every row of pages and returns the merged index of the archives read back."""
     uri = uri or new_path(pages.sparkSession, "warc")
     decided = decide(pages, id_col, url_col, payload_col, time_col, min_bytes)
     manifest = write_archives(decided, uri, epoch=0 if time_col else epoch)
     runs = index_archives(manifest, uri, run_captures=run_captures)
-    return merge_runs(runs, uri, fan_in=fan_in)
+    id_type = "string" if dict(pages.dtypes)[id_col] == "string" else "long"
+    return merge_runs(runs, uri, fan_in=fan_in, range_captures=range_captures, id_type=id_type)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return capture_histories(table(spark, sf_dir, "pages")).select(
-        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    return in_order(capture_histories(table(spark, sf_dir, "pages"))).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "position"
     )
 
 
-OP1_SQL = """
+OP1_SQL = r"""
 WITH p AS (
-  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+         coalesce(url, '') AS url, '^([A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)([^#]*)' AS form,
+         strftime(make_timestamp((1700000000 + (page_id % 4000000000 + 4000000000) % 4000000000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS timestamp
   FROM pages
+), u AS (
+  SELECT *, regexp_matches(url, form) AS whole, regexp_extract(url, form, 3) AS path,
+         regexp_replace(regexp_replace(lower(regexp_extract(url, form, 2)), '^.*@', ''), '^www\d*\.', '') AS site
+  FROM p
+), k AS (
+  SELECT *, CASE WHEN NOT whole THEN lower(split_part(url, '#', 1)) ELSE
+           array_to_string(list_reverse(string_split(split_part(site, ':', 1), '.')), ',')
+           || CASE WHEN regexp_replace(site, '^[^:]*:?', '') IN ('', '80', '443') THEN '' ELSE ':' || regexp_replace(site, '^[^:]*:?', '') END
+           || ')' || lower(CASE WHEN path = '' THEN '/' ELSE path END) END AS url_key
+  FROM u
 ), f AS (SELECT payload_digest, min(page_id) AS first FROM p GROUP BY payload_digest)
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
-FROM p JOIN f USING (payload_digest)
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to,
+       url_key, timestamp, row_number() OVER (ORDER BY url_key, timestamp, page_id) - 1 AS position
+FROM k JOIN f USING (payload_digest)
 """

@@ -1,6 +1,7 @@
 import hashlib
 import io
 import random
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -43,6 +44,44 @@ def test_round_trip_in_global_order(spark, tmp_path):
     assert keys == sorted(keys) and len({r.part for r in got}) >= 1
 
 
+def test_ids_of_any_size_and_strings(spark):
+    rows = [(10**12, "http://a/", "x"), (-1, "http://a/", "y"), (None, "http://a/", None), (2**63 - 1, "http://a/", "z")]
+    got = m.in_order(m.capture_histories(spark.createDataFrame(rows, SCHEMA))).orderBy("position").collect()
+    assert [(r.id, r.position) for r in got] == [(10**12, 0), (None, 1), (2**63 - 1, 2), (-1, 3)]
+    d = spark.createDataFrame([("b", "http://a/", "x" * 200), ("a", "http://a/", "x" * 200)], "page_id string, url string, html string")
+    assert {(r.id, r.refers_to) for r in m.capture_histories(d).collect()} == {("a", None), ("b", "a")}
+
+
+def test_dates_have_four_digits_for_the_year():
+    assert m.iso(-(10**15)) == "0001-01-01T00:00:00Z" and m.iso(10**15) == "9999-12-31T23:59:59Z" and m.iso(None) == "1970-01-01T00:00:00Z"
+
+
+def test_a_thousand_runs_are_merged_by_ranges(spark, tmp_path, monkeypatch):
+    uri = f"file://{tmp_path}"
+    rng = random.Random(4)
+    fs, root = m.file_system(uri)
+    every, rows, want = 4, [], []
+    for k in range(1000):
+        w = m.RunWriter(fs, f"{root}/{k}.run", every)
+        held = sorted((("k%03d" % rng.randrange(400), "t", k * 100 + j) for j in range(rng.randint(1, 12))), key=m.order)
+        for c in held:
+            w.add([*c, ["u", "response", "d", 1, None, "a", 0, 1]])
+        want += held
+        rows.append((f"{k}.run", f"{k}.run", w.n, m.json.dumps(w.close())))
+    runs = spark.createDataFrame(rows, m.RUN).repartition(4)
+    plans = []
+    kept = m.materialize
+    monkeypatch.setattr(m, "materialize", lambda df, name: plans.append((name, out := kept(df, name))) or out)
+    got = m.merge_runs(runs, uri, fan_in=4, range_captures=100, every=every).collect()
+    got.sort(key=lambda r: (r.part, r.seq))
+    assert [(r.url_key, r.timestamp, r.id) for r in got] == sorted(want, key=m.order)
+    passes = [df for name, df in plans if name == "runs"]
+    assert len(passes) >= 4
+    # No task wrote more than its range and what lies between two marks of each run; later passes have many files.
+    assert max(r.captures for df in passes for r in df.collect()) <= 100 + 5 * 4 * every
+    assert max(Counter(r.run for r in passes[-1].collect()).values()) > 10
+
+
 def test_empty_table(spark):
     assert m.capture_histories(spark.createDataFrame([], SCHEMA)).count() == 0
 
