@@ -1,9 +1,11 @@
 """Benchmark decontamination by a broadcast hash set of normalised word windows.
 
 Plan: the benchmark's windows of 13 words become a hash set that is broadcast; one pass over
-the documents scans every window of every whole text. The set is broadcast in blocks of at
-most ``block_windows`` windows: a benchmark of any size is scanned in as many passes as it has
-blocks, so what is broadcast has a fixed bound, and the hits of the passes are merged.
+the documents scans every window of every whole text. A benchmark of more than ``block_windows``
+windows is streamed and scanned block by block: a block's hits are written before the next block
+is made, and its broadcast is destroyed, so that one block of fixed size is held at a time, on the
+driver and on executors. Only the first pass returns all documents, the others those with hits, and
+the hits are merged. An item of more windows than a block is split between blocks.
 
 A scan looks at the runs of words that the block's vocabulary knows, finds candidates by a
 rolling hash over the run, and verifies each candidate against the window's words.
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.llm.common import received, send, table, utf8
+from storyloom.shared import materialize
 
 #: A-Z to a-z; bytes below 0x80 that are neither letters nor digits to spaces.
 FOLD = bytes(
@@ -35,45 +38,56 @@ def folded_words(text: str | None) -> list[bytes]:
 
 
 class WindowSet:
-    """Windows of one block of the benchmark, and the items that hold each."""
+    """Windows of one block of the benchmark, by hash, and the item that each is from."""
 
     def __init__(self) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        self.items: dict[tuple[int, ...], set[str]] = {}
-        self.hashes: dict[int, object] = {}
+        self.names: list[str] = []
+        self.parts: dict[int, list] = {}
+        self.windows: dict[int, tuple] = {}  # by length: hashes in order, word numbers, items
+        self.size = 0
 
-    def add(self, item: str, window: list[bytes]) -> None:
-        ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in window)
-        self.items.setdefault(ids, set()).add(item)
+    def add(self, item: str, words: list[bytes], n: int) -> None:
+        """The windows of n words (or the whole, if there are fewer)."""
+        import numpy as np
+
+        ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int32)
+        found = np.lib.stride_tricks.sliding_window_view(ids, min(n, len(ids)))
+        self.parts.setdefault(found.shape[1], []).append((found, len(self.names)))
+        self.names.append(item)
+        self.size += len(found)
 
     def freeze(self) -> "WindowSet":
         import numpy as np
 
-        by_length: dict[int, list[tuple[int, ...]]] = {}
-        for ids in self.items:
-            by_length.setdefault(len(ids), []).append(ids)
-        for n, windows in by_length.items():
-            self.hashes[n] = np.unique(rolling(np.array(windows, dtype=np.uint64), n)[:, 0])
+        for n, parts in self.parts.items():
+            rows = np.concatenate([p for p, _ in parts])
+            items = np.repeat(np.array([k for _, k in parts], np.int32), [len(p) for p, _ in parts])
+            hashes = np.concatenate([rolling(rows[k : k + 65536].astype(np.uint64), n)[:, 0] for k in range(0, len(rows), 65536)])
+            order = np.argsort(hashes, kind="stable")
+            self.windows[n] = hashes[order], rows[order], items[order]
+        self.parts = {}
         return self
 
     def scan(self, words: list[bytes]):
         """(start, length, items) of each occurrence of a window."""
         import numpy as np
 
-        ids = np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int64, len(words))
+        ids = np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int32, len(words))
         known = np.concatenate(([0], (ids > 0).view(np.int8), [0]))
         edges = np.flatnonzero(np.diff(known))
         for start, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            run = ids[start:end].astype(np.uint64)
-            for n, hashes in self.hashes.items():
+            run = ids[start:end]
+            for n, (hashes, rows, items) in self.windows.items():
                 if end - start < n:
                     continue
-                found = rolling(run[None, :], n)[0]
+                found = rolling(run[None, :].astype(np.uint64), n)[0]
                 at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
                 for p in np.flatnonzero(hashes[at] == found).tolist():
-                    held = self.items.get(tuple(run[p : p + n].tolist()))
-                    if held:
-                        yield start + p, n, held
+                    last = np.searchsorted(hashes, found[p], side="right")
+                    same = (rows[at[p] : last] == run[p : p + n]).all(axis=1)
+                    if same.any():
+                        yield start + p, n, {self.names[k] for k in np.unique(items[at[p] : last][same]).tolist()}
 
 
 def rolling(rows, n: int):
@@ -90,20 +104,21 @@ def rolling(rows, n: int):
 
 
 def window_blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, block_windows: int):
-    """Window sets of at most block_windows windows (or one item's), read as a stream of items."""
-    block, size = WindowSet(), 0
+    """Window sets of at most block_windows windows, read as a stream of items; there is always one."""
+    block, blocks = WindowSet(), 0
     for item, text in benchmark.select(F.col(item_col).cast("string"), text_col).toLocalIterator():
         words = folded_words(text)
-        if not words:
-            continue
-        windows = [words[i : i + n] for i in range(max(1, len(words) - n + 1))]
-        if size and size + len(windows) > block_windows:
-            yield block.freeze()
-            block, size = WindowSet(), 0
-        for w in windows:
-            block.add("" if item is None else item, w)
-        size += len(windows)
-    yield block.freeze()
+        last = max(1, len(words) - n + 1) if words else 0  # the item's windows
+        first = 0
+        while first < last:
+            if block.size == block_windows:
+                yield block.freeze()
+                block, blocks = WindowSet(), blocks + 1
+            take = min(last - first, block_windows - block.size)
+            block.add("" if item is None else item, words[first : first + take + n - 1], n)
+            first += take
+    if block.size or not blocks:
+        yield block.freeze()
 
 
 SCHEMA = "id {id}, text_hash long, n_words long, starts array<int>, ends array<int>, items array<string>"
@@ -125,13 +140,18 @@ def benchmark_hits(
         F.col(text_col).alias("text"),
     )
     schema = SCHEMA.format(id=dict(source.dtypes)["id"])
-    passes = []
-    for block in window_blocks(benchmark, item_col, item_text_col, n, block_windows):
-        held = send(spark, block)
-        passes.append(source.mapInArrow(scanner(held), schema))
-    if len(passes) == 1:
-        out = passes[0]
-    else:
+    blocks = window_blocks(benchmark, item_col, item_text_col, n, block_windows)
+    held, following = send(spark, next(blocks)), next(blocks, None)
+    out = source.mapInArrow(scanner(held), schema)
+    if following is not None:
+        passes = [materialize(out, "hits").withColumn("is_first", F.lit(True))]
+        while following is not None:
+            held.destroy()
+            held = send(spark, following)
+            hits = source.mapInArrow(scanner(held), schema).where(F.size("starts") > 0)
+            passes.append(materialize(hits, "hits").withColumn("is_first", F.lit(False)))
+            following = next(blocks, None)
+        held.destroy()
         both = passes[0]
         for p in passes[1:]:
             both = both.unionAll(p)
@@ -139,7 +159,7 @@ def benchmark_hits(
         # their number keeps each of them.
         merged = both.groupBy("id", "text_hash").agg(
             F.max("n_words").alias("n_words"),
-            (F.count(F.lit(1)) / len(passes)).cast("int").alias("copies"),
+            F.count_if("is_first").cast("int").alias("copies"),
             F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("starts", "ends")))).alias("spans"),
             F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
         )

@@ -48,6 +48,28 @@ def test_matches_plain_version(spark, block):
     assert run(spark, docs, items, block_windows=block) == plain(docs, items)
 
 
+def test_blocks_are_bounded_and_one_broadcast_lives(spark, monkeypatch):
+    words = [f"w{k}" for k in range(60)]
+    items = [(1, " ".join(words)), (2, " ".join(words[5:25])), (3, "x y")]  # 48 windows, 8 and 1
+    docs = [(1, " ".join(["a", *words[3:30], "b"])), (2, " ".join(words[40:52])), (3, "x y")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    sizes = [b.size for b in m.window_blocks(table, "item_id", "text", 13, 10)]
+    assert sizes == [10, 10, 10, 10, 10, 7]
+    alive, most, kept = set(), [], m.send
+
+    def send(session, value):
+        held = kept(session, value)
+        alive.add(held)
+        most.append(len(alive))
+        destroy = held.destroy
+        held.destroy = lambda *a: (alive.discard(held), destroy(*a))
+        return held
+
+    monkeypatch.setattr(m, "send", send)
+    assert run(spark, docs, items, block_windows=10) == plain(docs, items)
+    assert len(most) == 6 and max(most) == 1 and not alive
+
+
 def test_no_benchmark_and_no_documents(spark):
     assert run(spark, [(1, "a b")], []) == [(1, 2, 0, [])]
     assert run(spark, [], [(1, "a b")]) == []
