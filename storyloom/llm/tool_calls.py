@@ -1,32 +1,36 @@
 """Tool-call linking for chat formatting, by DataFrame functions only.
 
 Plan: the earliest call and the earliest result of each (conversation, call id) are found by
-partial aggregation, so that both sides of the hash join have unique keys. Further rows of an
+partial aggregation, so that both sides of the shuffled hash join have unique keys. Further rows of an
 identifier are told by row numbers, not by the identifier, and returned one by one beside the
 join, so an identifier that repeats without end makes no pairs and no large group. Calls are ordered
 topologically by levels: a call's level is one more than the highest level of the calls it
 depends on. Chains of calls with one dependency each are followed by pointer doubling, so a long
 conversation takes few rounds; the other calls are placed level by level. Every round is an
-equality join whose result is written to the shared folder. No conversation is ever collected. Arguments are parsed to VARIANT, validated against the schemas by expressions built
-from these, and serialised as JSON with sorted keys and no spaces.
+equality join whose result is written to the shared folder, and a round's tables go when the next
+has been written. A call's place in its conversation's topological order comes from a sort of all
+rows over ranges, not one of a conversation, so a conversation of any length is sorted by many tasks. No
+conversation is ever collected. Arguments are parsed to VARIANT, validated against the schemas by
+expressions built from these, and serialised as JSON with sorted keys and no spaces.
 
 Defined results: a call without an id is not linked and not returned; a null conversation is a
 conversation of its own. The earliest call of an identifier has its earliest result. Further calls
 have a row each, with the error ``duplicate id``, a level by their own dependencies, and no
 result; further results have a row each, ``duplicate result``. Dependencies mean the earliest call. Calls that depend on themselves through others have a null level and
-the error ``cycle``; unknown dependencies give ``unknown dependency`` and don't delay the call.
-Arguments that aren't a JSON object give ``not an object``; a tool without a schema gives
-``unknown tool``. Results without a call are returned as orphans. Only the named columns are
+the error ``cycle`` and no place; unknown dependencies give ``unknown dependency`` and don't delay the
+call. Calls of a level are in the order of their turns and ids.
+Arguments that aren't a JSON object give ``not an object``, and those that don't parse stand in the
+record as ``arguments_text``; a tool without a schema gives ``unknown tool``. Results without a call are returned as orphans. Only the named columns are
 read, and empty tables give an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom.llm.common import table
-from storyloom.shared import materialize
+from storyloom.shared import discard, materialize
 
 #: JSON type names of a schema, as schema_of_variant tells them.
 KINDS = {
@@ -68,6 +72,7 @@ def chains(single: DataFrame, n_calls: int) -> DataFrame:
     log2(n) rounds; what hasn't ended by then runs in a circle.
     """
     p = materialize(single.withColumn("dist", F.lit(1).cast("long")), "chains")
+    last = p
     for _ in range(n_calls.bit_length() + 1):
         ahead = p.select("conv", F.col("call_id").alias("to"), F.col("to").alias("to2"), F.col("dist").alias("dist2"))
         step = p.join(ahead, ["conv", "to"], "left").select(
@@ -75,7 +80,8 @@ def chains(single: DataFrame, n_calls: int) -> DataFrame:
             F.col("to2").isNotNull().alias("moved"),
         )
         step = materialize(step, "chains")
-        p = step.drop("moved")
+        discard(last)
+        p, last = step.drop("moved"), step
         if step.where("moved").isEmpty():
             break
     return p
@@ -102,12 +108,14 @@ def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
         met = newest.select("conv", F.col("call_id").alias("needs"), "level")
         seen = waiting.join(met, ["conv", "needs"], "left").withColumn("at", F.coalesce("at", F.col("level") + F.col("extra"))).drop("level")
         seen = materialize(seen, "dependencies")
+        discard(waiting)
         state = seen.groupBy("conv", "call_id").agg(F.count_if(F.col("at").isNull()).alias("n"), (F.max("at") + 1).alias("level"))
         newest = materialize(state.where("n = 0").drop("n"), "levels")
         if newest.isEmpty():
             break
         placed = placed.unionAll(newest)
         waiting = materialize(seen.join(newest.select("conv", "call_id"), ["conv", "call_id"], "left_anti"), "dependencies")
+        discard(seen)
     ends = placed.select("conv", F.col("call_id").alias("to"), "level")
     chained = heads.join(ends, ["conv", "to"]).select("conv", "call_id", (F.col("level") + F.col("dist")).alias("level"))
     return placed.unionAll(chained)
@@ -129,12 +137,26 @@ def again(calls: DataFrame, first: DataFrame, place: DataFrame) -> DataFrame:
     )
 
 
+def placed_in_order(rows: DataFrame) -> DataFrame:
+    """rows with ``position``: the place (from 0) of each call with a level in its conversation, by level, turn
+    and id. Sorted by ranges; only the calls of a conversation in each range are counted."""
+    ordered = rows.withColumn("lost", F.col("level").isNull()).repartitionByRange("conv", "lost", "level", "turn", "call_id")
+    ordered = ordered.sortWithinPartitions("conv", "lost", "level", "turn", "call_id")
+    ordered = materialize(ordered.withColumn("range", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "ordered")
+    held = ordered.where("not lost").groupBy("conv", "range").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("conv").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    held = held.select("conv", "range", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    out = ordered.join(held, ["conv", "range"], "left").withColumn("position", F.when(~F.col("lost"), F.col("at") + F.col("shift")))
+    return out.drop("range", "at", "shift", "lost")
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """Links calls (conv, call_id, turn, name, arguments JSON, depends_on array) with results
     (conv, call_id, turn, content).
 
-    A row per call: conv, call_id, turn, level, name, errors, valid, result_turn, record (canonical
-    JSON of the call with its result); and a row without name per result that has no call of its own.
+    A row per call: conv, call_id, turn, level, position (in the topological order of its
+    conversation), name, errors, valid, result_turn, record (canonical JSON of the call with its
+    result); and a row without name per result that has no call of its own.
     """
     known = F.col("call_id").isNotNull()
     conv = F.coalesce(F.col("conv").cast("string"), F.lit("")).alias("conv")
@@ -152,7 +174,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     wanted = materialize(wanted.join(ids, ["conv", "needs"], "left"), "dependencies")
     unknown = wanted.where(F.col("known").isNull()).groupBy("conv", "call_id").agg(F.lit(True).alias("unknown"))
     place = levels(c, wanted.where("known").select("conv", "call_id", "needs"))
-    linked = c.drop("row").join(r, ["conv", "call_id"], "full").join(place, ["conv", "call_id"], "left").join(unknown, ["conv", "call_id"], "left")
+    linked = c.drop("row").join(r.hint("shuffle_hash"), ["conv", "call_id"], "full").join(place, ["conv", "call_id"], "left").join(unknown, ["conv", "call_id"], "left")
     linked = linked.withColumn("is_call", F.coalesce("is_call", F.lit(False))).withColumn("again", F.lit(False)).drop("depends_on")
     more = again(all_c.join(c.select("row"), "row", "left_anti"), c, place)
     more_r = all_r.join(first_r.select("row"), "row", "left_anti").join(c.select("conv", "call_id", "is_call"), ["conv", "call_id"], "left")
@@ -164,16 +186,18 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     )
     record = F.to_json(
         F.struct(
-            F.col("v").alias("arguments"), F.col("call_id").alias("id"), "name",
+            F.col("v").alias("arguments"), F.when(F.col("v").isNull(), F.col("arguments")).alias("arguments_text"),
+            F.col("call_id").alias("id"), "name",
             F.when(F.col("has_result"), F.struct("content", F.col("result_turn").alias("turn"))).alias("result"), "turn",
         )
     )
     lone = F.when(F.col("again"), "duplicate result").otherwise("orphan result")
-    return parsed.select(
+    out = parsed.select(
         "conv", "call_id", "turn", F.when(F.col("is_call"), F.col("level")).alias("level"), "name",
         F.when(F.col("is_call"), errors).otherwise(lone).alias("errors"),
         (F.col("is_call") & (errors == "")).alias("valid"), "result_turn", F.when(F.col("is_call"), record).alias("record"),
     )
+    return placed_in_order(out)
 
 
 #: Tools of the query on ``conversations``.
@@ -216,7 +240,7 @@ def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = from_conversations(table(spark, sf_dir, "conversations"))
-    return link(calls, results, SCHEMAS).select(F.nullif(F.col("conv"), F.lit("")).cast("long").alias("conv_id"), "call_id", "turn", "level", "name", "errors", "valid", "result_turn", "record")
+    return link(calls, results, SCHEMAS).select(F.nullif(F.col("conv"), F.lit("")).cast("long").alias("conv_id"), "call_id", "turn", "level", "position", "name", "errors", "valid", "result_turn", "record")
 
 
 OP8_SQL = """
@@ -236,22 +260,40 @@ WITH RECURSIVE w AS (
 ), lv AS (
   SELECT conv_id, call_id, 0 AS level FROM k WHERE NOT known
   UNION ALL SELECT k.conv_id, k.call_id, lv.level + 1 FROM k JOIN lv ON k.conv_id = lv.conv_id AND k.needs = lv.call_id
-), v AS (
+), a AS (
   SELECT k.*, CASE name
-    WHEN 'search' THEN CASE WHEN n % 5 = 0 THEN 'type of limit' ELSE '' END
-    WHEN 'lookup' THEN CASE WHEN n % 7 = 0 THEN 'missing id' ELSE '' END
-    ELSE CASE WHEN n % 11 = 0 THEN 'not an object' ELSE '' END END AS bad,
-    CASE name
-    WHEN 'search' THEN '{"exact":true,"limit":' || CASE WHEN n % 5 = 0 THEN '"' || n || '"' ELSE '' || n END || ',"query":"' || w || '"}'
-    WHEN 'lookup' THEN '{"fields":["b","a"]' || CASE WHEN n % 7 = 0 THEN '' ELSE ',"id":' || n END || '}'
-    ELSE CASE WHEN n % 11 = 0 THEN '[1,2]' ELSE '{"note":"' || w || '","value":' || n || '}' END END AS args
+    WHEN 'search' THEN '{ "query": "' || w || '", "limit": ' || CASE WHEN n % 5 = 0 THEN '"' || n || '"' ELSE '' || n END || ', "exact": true }'
+    WHEN 'lookup' THEN '{"fields":["b", "a"]' || CASE WHEN n % 7 <> 0 THEN ', "id":' || n ELSE '' END || '}'
+    ELSE CASE WHEN n % 11 = 0 THEN '[1, 2]' ELSE '{"value": ' || n || ', "note": "' || w || '"}' END END AS raw
   FROM k
-), e AS (SELECT v.*, concat_ws('; ', nullif(bad, ''), CASE WHEN needs IS NOT NULL AND NOT known THEN 'unknown dependency' END) AS errs FROM v)
-SELECT coalesce(e.conv_id, r.conv_id) AS conv_id, coalesce(e.call_id, r.call_id) AS call_id, e.turn AS turn, CAST(lv.level AS BIGINT) AS level, e.name AS name,
+), rule(name, place, property, kinds, required) AS (VALUES
+  ('search', 1, 'query', ['VARCHAR'], true), ('search', 2, 'limit', ['UBIGINT', 'BIGINT'], true), ('search', 3, 'exact', ['BOOLEAN'], false),
+  ('lookup', 1, 'id', ['UBIGINT', 'BIGINT'], true), ('lookup', 2, 'fields', ['ARRAY'], false),
+  ('rate', 1, 'value', ['UBIGINT', 'BIGINT', 'DOUBLE'], true), ('rate', 2, 'note', ['VARCHAR'], false)
+), tests AS (
+  SELECT a.conv_id, a.call_id, rule.place, CASE
+           WHEN json_type(raw, '$.' || property) IS NULL THEN CASE WHEN required THEN 'missing ' || property END
+           WHEN NOT list_contains(kinds, json_type(raw, '$.' || property)) THEN 'type of ' || property END AS bad
+  FROM a JOIN rule ON rule.name = a.name WHERE json_type(raw) = 'OBJECT'
+  UNION ALL
+  SELECT a.conv_id, a.call_id, 9, 'unknown ' || key FROM (SELECT *, unnest(json_keys(raw)) AS key FROM a WHERE name = 'search') a
+  WHERE key NOT IN (SELECT property FROM rule WHERE name = 'search')
+  UNION ALL SELECT conv_id, call_id, 0, 'not an object' FROM a WHERE json_type(raw) <> 'OBJECT'
+), bad AS (SELECT conv_id, call_id, string_agg(bad, '; ' ORDER BY place) AS bad FROM tests GROUP BY conv_id, call_id
+), members AS (
+  SELECT conv_id, call_id, '{' || string_agg('"' || key || '":' || json(json_extract(raw, '$.' || key)), ',' ORDER BY key) || '}' AS args
+  FROM (SELECT *, unnest(json_keys(raw)) AS key FROM a WHERE json_type(raw) = 'OBJECT') GROUP BY conv_id, call_id
+), e AS (
+  SELECT a.*, coalesce(m.args, json(raw)) AS args, lv.level, row_number() OVER (PARTITION BY a.conv_id ORDER BY lv.level, a.turn, a.call_id) - 1 AS place,
+         concat_ws('; ', bad.bad, CASE WHEN needs IS NOT NULL AND NOT known THEN 'unknown dependency' END) AS errs
+  FROM a LEFT JOIN bad USING (conv_id, call_id) LEFT JOIN members m USING (conv_id, call_id) LEFT JOIN lv USING (conv_id, call_id)
+)
+SELECT coalesce(e.conv_id, r.conv_id) AS conv_id, coalesce(e.call_id, r.call_id) AS call_id, e.turn AS turn, CAST(e.level AS BIGINT) AS level,
+       CASE WHEN e.call_id IS NOT NULL THEN e.place END AS position, e.name AS name,
        CASE WHEN e.call_id IS NULL THEN 'orphan result' ELSE e.errs END AS errors,
        e.call_id IS NOT NULL AND e.errs = '' AS valid, r.result_turn AS result_turn,
        CASE WHEN e.call_id IS NOT NULL THEN '{"arguments":' || e.args || ',"id":"' || e.call_id || '","name":"' || e.name || '"'
          || CASE WHEN r.call_id IS NOT NULL THEN ',"result":{"content":"' || r.content || '","turn":' || r.result_turn || '}' ELSE '' END
          || ',"turn":' || e.turn || '}' END AS record
-FROM e FULL JOIN r ON e.conv_id = r.conv_id AND e.call_id = r.call_id LEFT JOIN lv ON lv.conv_id = e.conv_id AND lv.call_id = e.call_id
+FROM e FULL JOIN r ON e.conv_id = r.conv_id AND e.call_id = r.call_id
 """

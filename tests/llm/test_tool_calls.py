@@ -18,7 +18,8 @@ def plain_levels(needs):
 
 def link(spark, calls, results=()):
     rows = t.link(spark.createDataFrame(list(calls), CALLS), spark.createDataFrame(list(results), RESULTS), t.SCHEMAS).collect()
-    return {(r.conv, r.call_id): r for r in rows}
+    # Rows have no order; a repeated identifier's earliest call stands for it.
+    return {(r.conv, r.call_id): r for r in sorted(rows, key=lambda r: "duplicate" not in r.errors)}
 
 
 def test_levels_of_random_graphs_with_chains_and_circles(spark):
@@ -30,6 +31,8 @@ def test_levels_of_random_graphs_with_chains_and_circles(spark):
     got = link(spark, [("a", c, 1, "rate", '{"value":1}', ds) for c, ds in needs.items()])
     want = plain_levels(needs)
     assert {c: got["a", c].level for c in needs} == {c: want.get(c) for c in needs}
+    order = sorted(want, key=lambda c: (want[c], c))
+    assert [got["a", c].position for c in order] == list(range(len(order))) and got["a", "x"].position is None
     assert got["a", "z"].errors == "cycle" and not got["a", "z"].valid and got["a", "c69"].valid
 
 
@@ -51,6 +54,8 @@ def test_links_validates_and_writes_canonical_json(spark):
     first = got["a", "1"]
     assert first.record == '{"arguments":{"exact":false,"limit":3,"query":"x y"},"id":"1","name":"search","result":{"content":"first","turn":4},"turn":0}'
     assert first.result_turn == 4 and got["a", "2"].level == 1 and json.loads(got["a", "7"].record)["arguments"] == {"value": 1.5}
+    assert json.loads(got["a", "6"].record)["arguments_text"] == '{"value": 1.5e0' and "arguments" not in json.loads(got["a", "6"].record)
+    assert {c: got["a", c].position for c in "1234567"} == {"1": 0, "4": 1, "5": 2, "6": 3, "7": 4, "2": 6, "3": 7} and got["a", "9"].position is None
     assert got["a", "9"].record is None and got["a", "9"].result_turn == 4
 
 
