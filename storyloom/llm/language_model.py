@@ -34,7 +34,7 @@ ALPHA = 0.1
 #: Distinct words that a counting partition holds before it hands them on.
 COUNTER_WORDS = 300_000
 #: Tokens that are trained on or scored side by side.
-BLOCK_TOKENS = 5_000_000
+BLOCK_TOKENS = 3_000_000
 CHUNK = 4096
 
 
@@ -282,7 +282,7 @@ def score_partition(held):
 
 def log_likelihoods(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_out: int = 0, common_words: int = 200_000,
-    heads: int = 8, width: int = 64, rest: int = 40, hidden: int = 16, rounds: int = 3, rate: float = 0.01,
+    heads: int = 24, width: int = 32, rest: int = 64, hidden: int = 16, rounds: int = 3, rate: float = 0.01,
 ) -> DataFrame:
     """Per row: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
