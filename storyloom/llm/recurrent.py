@@ -125,48 +125,63 @@ def states(w: dict, tokens, start, h):
     return s_all, (zr_all, c_all, g_all), carry, h
 
 
-def outputs(w: dict, shape: Shape, s, codes, grad: dict | None = None, weight=None):
+def outputs(w: dict, shape: Shape, s, codes, grad: dict | None = None, weight=None, block: int = 1024):
     """Log probability of each code after its state s; with grad, adds the gradients of the mean
-    negative log probability over weight's ones, and returns that of s, too."""
-    n_head = shape.heads * shape.width
+    negative log probability over weight's ones, and returns that of s, too.
+
+    Works in blocks of rows whose logits stay in the processor's cache; biases are the weights of a
+    constant beside the states, so they take no passes of their own.
+    """
+    n_head, hid = shape.heads * shape.width, s.shape[1]
     is_head = codes < n_head
     cls = np.where(is_head, codes // shape.width, codes - n_head + shape.heads)
-    # States are within -1 and 1, so logits are small numbers, and exp needs no shift.
-    e = s @ w["Wc"]
-    e += w["bc"]
-    rows = np.arange(len(s))
-    out = e[rows, cls]
-    np.exp(e, out=e)
-    total = e @ np.ones(e.shape[1], e.dtype)
-    out -= np.log(total)
-    ds = None
+    one = np.ones((len(s), hid + 1), s.dtype)
+    one[:, :hid] = s
+    by_class = np.concatenate([w["Wc"], w["bc"][None, :]])
+    back = np.ascontiguousarray(w["Wc"].T)
+    sums = np.ones(max(shape.classes, shape.width), by_class.dtype)
+    out = np.empty(len(s), np.result_type(s, by_class))
+    ds = np.empty_like(s) if grad is not None else None
+    d_class = np.zeros_like(by_class)
+    for i in range(0, len(s), block):
+        part, at = one[i : i + block], cls[i : i + block]
+        rows = np.arange(len(part))
+        # States are within -1 and 1, so logits are small numbers, and exp needs no shift.
+        e = part @ by_class
+        got = e[rows, at]
+        np.exp(e, out=e)
+        total = e @ sums[: shape.classes]
+        out[i : i + block] = got - np.log(total)
+        if grad is not None:
+            share = weight[i : i + block]
+            e *= (share / total)[:, None]
+            e[rows, at] -= share
+            d_class += part.T @ e
+            np.matmul(e, back, out=ds[i : i + block])
     if grad is not None:
-        e *= (weight / total)[:, None]
-        e[rows, cls] -= weight
-        grad["Wc"] += s.T @ e
-        grad["bc"] += e.sum(axis=0)
-        ds = e @ w["Wc"].T
+        grad["Wc"] += d_class[:-1]
+        grad["bc"] += d_class[-1]
     heads = np.flatnonzero(is_head)
     order = heads[np.argsort(cls[heads].astype(np.int16), kind="stable")]
     edges = np.searchsorted(cls[order], np.arange(shape.heads + 1))
+    sorted_one, word = one[order], codes[order] - cls[order] * shape.width
     for k in range(shape.heads):
-        at = order[edges[k] : edges[k + 1]]
-        if not len(at):
+        i, j = edges[k], edges[k + 1]
+        if i == j:
             continue
-        sk, word = s[at], codes[at] - k * shape.width
-        p = sk @ w["Ww"][k]
-        p += w["bw"][k]
-        here = np.arange(len(at))
-        got = p[here, word]
+        at, sk, here = order[i:j], sorted_one[i:j], np.arange(j - i)
+        p = sk @ np.concatenate([w["Ww"][k], w["bw"][k][None, :]])
+        got = p[here, word[i:j]]
         np.exp(p, out=p)
-        total = p @ np.ones(shape.width, p.dtype)
+        total = p @ sums[: shape.width]
         out[at] += got - np.log(total)
         if grad is not None:
             share = weight[at]
             p *= (share / total)[:, None]
-            p[here, word] -= share
-            grad["Ww"][k] += sk.T @ p
-            grad["bw"][k] += p.sum(axis=0)
+            p[here, word[i:j]] -= share
+            d_word = sk.T @ p
+            grad["Ww"][k] += d_word[:-1]
+            grad["bw"][k] += d_word[-1]
             ds[at] += p @ w["Ww"][k].T
     return out, ds
 
