@@ -1,11 +1,12 @@
 """A whole run from the command line.
 
     python -m storyloom --settings DIR [--no-llm] [--dump DIR] [--limit N] [--site DIR] [--ledger PATH]
-                        [--push REMOTE --branch NAME] [--landed GLOB]
+                        [--push REMOTE --branch NAME] [--landed GLOB] [--state PATH]
 
 DIR holds sources.yml and watchlist.yml, and for more than a ranking compliance.yml, providers.yml
-(tiers quality and cheap) and the prompts analysis.txt, triage.txt and review.txt; .env beside it
-sets keys. Prints one JSON object and exits with 0 if the run went well.
+(tiers quality and cheap) and the prompts analysis.txt, triage.txt and review.txt; stopwords.txt, if it is
+there, holds words that don't tell stories apart; .env beside it sets keys. PATH keeps what feeds told to
+ask them with, so that unchanged ones aren't sent again. Prints one JSON object and exits with 0 if the run went well.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--push")
     p.add_argument("--branch", default="site")
     p.add_argument("--landed", help="read feed documents from files instead of the network")
+    p.add_argument("--state", default="feed-state")
     p.add_argument("--as-of", help="a UTC time instead of now")
     args = p.parse_args(argv)
     settings.dotenv(os.path.join(args.settings, ".env"))
@@ -48,12 +50,16 @@ def main(argv: list[str] | None = None) -> int:
         rows = feeds.read_landed(spark, args.landed)
     else:
         spark.dataSource.register(feeds.FeedSource)
-        rows = spark.read.format("feeds").option("sources", json.dumps(conf["sources"])).load()
+        state = json.dumps(stored.read_state(spark, args.state))
+        rows = spark.read.format("feeds").option("sources", json.dumps(conf["sources"])).option("state", state).load()
     rows = materialize(rows, "feeds")  # so that feeds are asked once
     previous = materialize(stored.load_previous(spark, args.site, as_of, args.push, args.branch), "previous")
     got = run.rank_feeds(
-        rows, settings.sources(spark, conf), as_of, labels, excludes=excludes, noise=noise, weights=settings.weights(labels), previous=previous, limit=args.limit
-    )
+        rows, settings.sources(spark, conf), as_of, labels, excludes=excludes, noise=noise, weights=settings.weights(labels), previous=previous, limit=args.limit,
+        stop_words=settings.words(os.path.join(args.settings, "stopwords.txt")),
+    )
+    if not args.landed:  # an unchanged feed's row holds what it was asked with
+        stored.replace_table(feeds.next_state(rows), args.state)
     n = got.articles.count()
     if not n:
         return report({"ok": False, "reason": "no articles"})

@@ -11,25 +11,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: An escape, or a quote with the first character after it that isn't white space.
+_MARKS = re.compile(r'\\.|"(?=\s*(?P<following>\S?))', re.S)
+
+
 def repair(text: str) -> str:
     """Quotes inside a string value escaped, commas before a closing bracket dropped.
 
-    A quote closes a string only if the next character that isn't white space is one of ``,:}]`` or
-    there is none.
+    A fixed rule: a quote closes a string only if the next character that isn't white space is one of
+    ``,:}]`` or there is none.
     """
-    pieces = re.split(r'(\\.|")', text, flags=re.S)
-    out, inside = [], False
-    for k, piece in enumerate(pieces):
-        if piece == '"':
-            rest = "".join(pieces[k + 1 : k + 3]).lstrip() or "".join(pieces[k + 1 :]).lstrip()
-            if not inside:
-                inside = True
-            elif rest == "" or rest[0] in ",:}]":
-                inside = False
-            else:
-                piece = '\\"'
-        out.append(piece)
-    return re.sub(r",(\s*[}\]])", r"\1", "".join(out))
+    inside = False
+
+    def mark(m: re.Match) -> str:
+        nonlocal inside
+        if m[0] != '"':
+            return m[0]
+        if inside and m["following"] not in ("", ",", ":", "}", "]"):
+            return '\\"'
+        inside = not inside
+        return m[0]
+
+    return re.sub(r",(?=\s*[}\]])", "", _MARKS.sub(mark, text))
 
 
 def _valid(text: str | None) -> bool:
@@ -60,7 +63,8 @@ def outermost(text: Column) -> Column:
 
 def tolerant_json(reply: Column) -> Column:
     """The JSON in a model's reply as text, or null: without fences, else the outermost object,
-    else that object repaired. Only what the built-in parser refuses goes through the repair."""
+    else that object repaired. Only what the built-in parser refuses is handed to the repair, other rows
+    as nulls."""
     text = F.regexp_replace(reply, r"(?U)^\s+|\s+$", "")
     fenced = F.regexp_replace(F.regexp_replace(text, r"^```(?:json)?\s*", ""), r"\s*```$", "")
     text = F.when(text.startswith("```"), fenced).otherwise(text)
@@ -72,7 +76,7 @@ def tolerant_json(reply: Column) -> Column:
         whole = F.try_parse_json(alone).isNotNull() & (F.json_array_length(alone) == 1)
         return F.when(F.try_parse_json(c).isNotNull() & whole, c)
 
-    return F.coalesce(ok(text), ok(span), F.when(ok(span).isNull(), _repaired(span)))
+    return F.coalesce(ok(text), ok(span), _repaired(F.when(ok(text).isNull() & ok(span).isNull(), span)))
 
 
 def leaves(schema: T.StructType, row: Column | None = None) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.shared import materialize
+from storyloom.shared import discard, materialize
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     )
     before = signature(e)
     while before[0]:
-        e = materialize(small_star(large_star(e)), "edges")
+        old, e = e, materialize(small_star(large_star(e)), "edges")
+        discard(old)
         now = signature(e)
         if now == before:
             break

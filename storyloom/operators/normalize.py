@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import dates, text
+from storyloom.shared import materialize
 
 #: Titles that never become stories (any case, anywhere in the title).
 HARD_EXCLUDES = (
@@ -109,6 +110,8 @@ def judge(entries: DataFrame, as_of: Column, excludes=HARD_EXCLUDES) -> DataFram
     canon = text.canonical_url(F.col("link"))
     body = text.clean_text(F.coalesce(F.nullif("summary", F.lit("")), "description"))
     base = base.withColumns({"drop_reason": reason, "url": canon, "id": text.article_id(canon), "body": body})
+    # Written once: texts and dates are read twice below.
+    base = materialize(base, "entries")
     first = F.min_by(F.struct(*order), F.struct(*order)).alias("first_")
     firsts = base.where(F.col("drop_reason").isNull()).groupBy("id").agg(first)
     judged = base.join(firsts, "id", "left")
@@ -130,6 +133,13 @@ def normalize(entries: DataFrame, as_of: Column, excludes=HARD_EXCLUDES, limit:
     return publisher_cap(kept.drop("drop_reason", "undated", "entry_pos", "source_ord"), limit)
 
 
+def cap_counts(judged: DataFrame, limit: int = MAX_PER_PUBLISHER) -> DataFrame:
+    """Kept entries of each masthead, and how many of them the cap drops."""
+    masthead = text.masthead(F.col("publisher"), F.col("source_id")).alias("masthead")
+    n = judged.where(F.col("drop_reason").isNull()).groupBy(masthead).agg(F.count(F.lit(1)).alias("n_kept"))
+    return n.withColumn("n_capped", F.greatest(F.col("n_kept") - limit, F.lit(0)))
+
+
 def drop_counts(judged: DataFrame) -> DataFrame:
     """Entries by reason, kept ones among them, and how many of these had no date."""
     return judged.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("reason")).agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text
@@ -78,21 +78,36 @@ def jaccard_pairs(rows: DataFrame, threshold: float, hours: int | None = None) -
 def cosine_pairs(rows: DataFrame, threshold: float, hours: int | None = None, block_rows: int = 2048) -> DataFrame:
     """(a, b, sim) of rows (id, v: array, and with hours published_at) with a < b.
 
-    Exact: rows are dealt to blocks, within time slots where there is a window, and each task
-    multiplies two blocks. A zero vector has similarity 0 with all.
+    Exact: rows are dealt to blocks, as many as their time slot's rows need, and each task multiplies two
+    blocks, once for each two blocks of a slot and for each two of neighbouring slots. A zero
+    vector has similarity 0 with all; null vectors, such with null components and those that differ in
+    length from most take no part.
     """
-    n = rows.count()
-    blocks = max(1, -(-n // block_rows))
     ts = F.unix_micros(F.col("published_at").cast("timestamp")) if hours else F.lit(0).cast("long")
     slot = F.floor(ts / (hours * 3_600_000_000)).cast("long") if hours else F.lit(0).cast("long")
-    base = rows.select("id", F.col("v").cast("array<double>").alias("v"), ts.alias("ts"), slot.alias("slot"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("k"))
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = base.select("id", "v", "ts", F.col("slot").alias("home"), F.explode(F.array("slot", F.col("slot") + 1) if hours else F.array("slot")).alias("slot"), "k").select(
-        "*", F.explode(others).alias("j")
-    )
+    base = rows.select("id", F.col("v").cast("array<double>").alias("v"), ts.alias("ts"), slot.alias("slot"))
+    base = base.where(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
+    common = base.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
+    if common is None:
+        return rows.sparkSession.createDataFrame([], "a long, b long, sim double")
+    base = base.where(F.size("v") == common.d)
+    slots = base.groupBy("slot").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    near = lambda by, name: slots.select((F.col("slot") + by).alias("slot"), F.col("blocks").alias(name))
+    base = base.join(slots, "slot").join(near(-1, "after"), "slot", "left").join(near(1, "before"), "slot", "left")
+    base = base.withColumn("k", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    upto = lambda first, last: F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    deal = lambda first, last: F.explode(upto(first, last))
+    zero, none = F.lit(0), F.lit(-1)
+    # Within a slot, block k meets the blocks j >= k; of the next slot, all.
+    left = base.select("id", "v", "ts", "slot", F.lit(False).alias("later"), "k", deal(F.col("k"), F.col("blocks") - 1).alias("j"))
+    right = base.select("id", "v", "ts", "slot", F.lit(False).alias("later"), F.col("k").alias("j"), deal(zero, F.col("k")).alias("k"))
+    if hours:
+        left = left.unionByName(base.select("id", "v", "ts", "slot", F.lit(True).alias("later"), "k", deal(zero, F.coalesce("after", zero) + none).alias("j")))
+        right = right.unionByName(
+            base.select("id", "v", "ts", (F.col("slot") - 1).alias("slot"), F.lit(True).alias("later"), F.col("k").alias("j"), deal(zero, F.coalesce("before", zero) + none).alias("k"))
+        )
     # New names for the right side's columns: a cogroup of one table with itself needs them.
-    right = base.select(F.col("id").alias("id_b"), F.col("v").alias("v_b"), F.col("ts").alias("ts_b"), F.col("slot").alias("slot_b"), F.col("k").alias("j_b"))
-    right = right.select("*", F.explode(others).alias("k_b"))
+    right = right.select(*(F.col(c).alias(f"{c}_b") for c in ("id", "v", "ts", "slot", "later", "k", "j")))
     span = hours * 3_600_000_000 if hours else None
 
     def pairs(a, b):
@@ -108,12 +123,13 @@ def cosine_pairs(rows: DataFrame, threshold: float, hours: int | None = None, bl
             ok = ia != ib
             if span:
                 ok &= np.abs(a.column("ts").to_numpy()[i] - b.column("ts_b").to_numpy()[j]) <= span
-            same = a.column("home").to_numpy()[i] == b.column("slot_b").to_numpy()[j]
-            ok &= ~same | (ia < ib)
+            if not a.column("later")[0].as_py() and a.column("k")[0].as_py() == a.column("j")[0].as_py():
+                ok &= ia < ib  # a block with itself
             out = np.minimum(ia, ib)[ok], np.maximum(ia, ib)[ok], s[i, j][ok]
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["a", "b", "sim"])
 
-    return left.groupBy("slot", "k", "j").cogroup(right.groupBy("slot_b", "k_b", "j_b")).applyInArrow(pairs, "a long, b long, sim double")
+    keys = ["slot", "later", "k", "j"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*(f"{c}_b" for c in keys))).applyInArrow(pairs, "a long, b long, sim double")
 
 
 def _unit(x):
@@ -123,14 +139,27 @@ def _unit(x):
     return x / np.where(norms == 0, 1, norms)
 
 
-def tfidf(rows: DataFrame, *, stop_words=(), extra_stop_words=(), max_df: float = 0.6, bigrams: bool = True) -> DataFrame:
+def without_accents(value: Column) -> Column:
+    """Latin letters without their accents, by Unicode's decompositions, and no combining marks."""
+    import unicodedata
+
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    pairs = [(a, b) for a, b in pairs if a != b]
+    plain = F.translate(value, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
+    return F.regexp_replace(plain, r"\p{M}+", "")
+
+
+def tfidf(
+    rows: DataFrame, *, stop_words=(), extra_stop_words=(), max_df: float = 0.6, bigrams: bool = True, strip_accents: bool = False
+) -> DataFrame:
     """(id, term, w): sublinear term frequency, smooth inverse document frequency, unit length.
 
     rows: (id, text). Terms are words of two or more characters less the stop words, and pairs of
     these; terms in more than max_df of the rows go. Extra stop words go after rows have been made
     unit length, so such a row is shorter; pairs that hold them stay.
     """
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    low = F.lower("text")
+    words = F.regexp_extract_all(without_accents(low) if strip_accents else low, F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     if stop_words:
         words = F.filter(words, lambda x: ~x.isin(*stop_words))
     base = materialize(rows.select("id", words.alias("w")), "words")
@@ -149,9 +178,35 @@ def tfidf(rows: DataFrame, *, stop_words=(), extra_stop_words=(), max_df: float
     return out.where(~F.col("term").isin(*extra_stop_words)) if extra_stop_words else out
 
 
-def tfidf_pairs(weights: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, sim) by joining on terms and adding products; terms in one row only drop out."""
-    a = weights.select(F.col("id").alias("a"), "term", F.col("w").alias("wa"))
-    b = weights.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
-    sums = a.join(b, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
+def tfidf_pairs(weights: DataFrame, threshold: float, times: DataFrame | None = None, hours: int = WINDOW_HOURS) -> DataFrame:
+    """(a, b, sim) of rows of weights (id, term, w), of length 1 at most, with a < b; with times (id,
+    published_at), of those no further apart than the hours.
+
+    Exact, by prefix filter: in an order of terms, the rarest first, a row's prefix ends where what follows is
+    shorter than the threshold. Two rows that share no term of both prefixes have less in common
+    than that, so only prefixes are joined on, with the time slot, and candidates are added up.
+    """
+    df = weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rest = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term"))
+    tail = F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    keys = weights.join(df.where("df > 1"), "term").withColumn("tail", tail).where(F.col("tail") >= threshold - 1e-9).select("id", "term")
+    if times is None:
+        keys = materialize(keys.withColumn("slot", F.lit(0).cast("long")), "prefixes")
+        later = F.array("slot")
+    else:
+        at = F.unix_micros(F.col("published_at").cast("timestamp"))
+        times = times.select("id", at.alias("at"))
+        keys = materialize(keys.join(times, "id").select("id", "term", F.floor(F.col("at") / (hours * 3_600_000_000)).cast("long").alias("slot")), "prefixes")
+        later = F.array("slot", F.col("slot") + 1)
+    left = keys.select(F.col("id").alias("x"), "term", F.col("slot").alias("home"), F.explode(later).alias("slot"))
+    met = left.join(keys.select(F.col("id").alias("y"), "term", "slot"), ["term", "slot"])
+    # Neighbouring slots are joined one way; pairs of one slot once.
+    met = met.where((F.col("x") != F.col("y")) & ((F.col("home") < F.col("slot")) | (F.col("x") < F.col("y"))))
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    if times is not None:
+        side = lambda k: times.select(F.col("id").alias(k), F.col("at").alias(f"t{k}"))
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(F.abs(F.col("ta") - F.col("tb")) <= hours * 3_600_000_000).select("a", "b")
+    wa = weights.select(F.col("id").alias("a"), "term", F.col("w").alias("wa"))
+    wb = weights.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
+    sums = pairs.join(wa, "a").join(wb, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
     return sums.where(F.col("sim") >= threshold)

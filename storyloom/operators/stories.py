@@ -155,7 +155,8 @@ def shortlist(rows: DataFrame, limit: int | None = None, candidates: int = SHORT
 
 
 def upper_median(rows: DataFrame, column: str = "score") -> DataFrame:
-    """The value at n // 2 of the falling order; 0 for no rows. By exact ranks, not by a sort in one task."""
+    """The value at n // 2 of the falling order; 0 for no rows. Equal values are counted first; one task adds up the
+    counts of distinct values, which are few for scores of two decimals."""
     n = rows.agg(F.count(column).alias("n"))
     by_value = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("c"))
     run = by_value.withColumn("upto", F.sum("c").over(Window.orderBy(F.desc(column))))

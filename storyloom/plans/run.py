@@ -24,10 +24,10 @@ class Ranked:
 def rank_feeds(
     feeds: DataFrame, sources: DataFrame, as_of: Column, watchlist: list[stories.Label], *, excludes=normalize.HARD_EXCLUDES,
     noise=stories.NOISE_PHRASES, weights: dict | None = None, previous: DataFrame | None = None, vectors: DataFrame | None = None,
-    threshold: float | None = None, limit: int | None = None,
+    threshold: float | None = None, limit: int | None = None, stop_words=(), extra_stop_words=(),
 ) -> Ranked:
     """Feeds (sources.feeds.SCHEMA) to ranked stories; vectors (id, v) are embeddings of articles,
-    without which stories are found by TF-IDF."""
+    without which stories are found by TF-IDF, less stop words and accents."""
     found = normalize.normalize(normalize.flatten(feeds, sources), as_of, excludes)
     articles = materialize(similarity.near_duplicates(materialize(found, "articles")), "kept")
     number = articles.withColumn("n_", F.monotonically_increasing_id())
@@ -37,9 +37,8 @@ def rank_feeds(
         pairs = similarity.cosine_pairs(rows, threshold or 0.78, similarity.WINDOW_HOURS)
     else:
         rows = number.select(F.col("n_").alias("id"), F.concat_ws(" ", "title", "title", "snippet").alias("text"))
-        alike = similarity.tfidf_pairs(similarity.tfidf(rows), threshold or 0.42)
-        at = lambda k: number.select(F.col("n_").alias(k), F.col("published_at").alias(f"t{k}"))
-        pairs = alike.join(at("a"), "a").join(at("b"), "b").where(similarity.within(F.col("ta"), F.col("tb")))
+        weights_of = similarity.tfidf(rows, stop_words=stop_words, extra_stop_words=extra_stop_words, strip_accents=True)
+        pairs = similarity.tfidf_pairs(weights_of, threshold or 0.42, number.select(F.col("n_").alias("id"), "published_at"))
     grouped = stories.stories(stories.assign_stories(number, pairs.select("a", "b"), "n_"))
     tagged = materialize(stories.tag(grouped, watchlist, stories.story_text(F.col("articles"))), "tagged")
     if previous is not None:

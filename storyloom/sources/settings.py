@@ -66,3 +66,11 @@ def dotenv(path: str, environment: dict | None = None) -> None:
             key, eq, value = line.strip().partition("=")
             if eq and key and not key.startswith("#"):
                 environment.setdefault(key.strip(), value.strip())
+
+
+def words(path: str) -> tuple[str, ...]:
+    """The words of a text file, lower-cased, each once; none if there is no file."""
+    if not os.path.exists(path):
+        return ()
+    with open(path, encoding="utf-8") as f:
+        return tuple(dict.fromkeys(f.read().lower().split()))

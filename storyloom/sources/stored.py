@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from storyloom import schemas
 from storyloom.operators import archive
-from storyloom.shared import delete_path
 
 
 def _fs(spark: SparkSession, path: str):
@@ -47,17 +46,54 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """A ledger table (Parquet folder) or document (JSON file)."""
     if path.endswith(".json"):
         return read_json(spark, path, schemas.LEDGER, ["date", "event_type", "entity", "cluster_id"])
+    recover(spark, path)
     return spark.read.schema(schemas.LEDGER).parquet(path) if exists(spark, path) else spark.createDataFrame([], schemas.LEDGER)
 
 
+def _rename(fs, a, b) -> None:
+    if not fs.rename(a, b):
+        raise OSError(f"can't rename {a} to {b}")
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Ends a swap that was broken off: a missing table is the complete new one, else the old one."""
+    base = path.rstrip("/")
+    fs, p = _fs(spark, base)
+    new, old, done = (_fs(spark, base + x)[1] for x in (".new", ".old", ".new/_SUCCESS"))
+    if fs.exists(p):
+        return
+    if fs.exists(old) and fs.exists(done):
+        _rename(fs, new, p)
+    elif fs.exists(old):
+        _rename(fs, old, p)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes beside the path and swaps, so a table may be made from its own earlier state."""
-    spark = df.sparkSession
-    fresh = path.rstrip("/") + ".new"
-    df.write.mode("overwrite").parquet(fresh)
-    fs, p = _fs(spark, path)
-    delete_path(spark, path)
-    fs.rename(_fs(spark, fresh)[1], p)
+    """Writes beside the path and swaps, so a table may be made from its own earlier state.
+
+    At every moment the old table or the whole new one is there, under its name or where recover()
+    finds it; a step that fails raises. One writer at a time. On stores whose renames copy, the swap
+    takes as long as the copy, and stays safe.
+    """
+    spark, base = df.sparkSession, path.rstrip("/")
+    recover(spark, path)
+    fs, p = _fs(spark, base)
+    new, old = (_fs(spark, base + x)[1] for x in (".new", ".old"))
+    df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(base + ".new")
+    if fs.exists(p):
+        if fs.exists(old) and not fs.delete(old, True):
+            raise OSError(f"can't delete {old}")
+        _rename(fs, p, old)
+    _rename(fs, new, p)
+    fs.delete(old, True)
+
+
+def read_state(spark: SparkSession, path: str) -> dict:
+    """What feeds told at the last run to ask them with: {source_id: {etag, last_modified}}, a row for each feed."""
+    recover(spark, path)
+    if not exists(spark, path):
+        return {}
+    return {r.source_id: {"etag": r.etag, "last_modified": r.last_modified} for r in spark.read.parquet(path).collect()}
 
 
 def write_items(items: DataFrame, path: str) -> None:

@@ -32,6 +32,7 @@ def publish_items(items: DataFrame, table: str, checkpoint: str, as_of: F.Column
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         now = as_of if as_of is not None else F.current_timestamp()
+        stored.recover(spark, table)
         previous = spark.read.parquet(table) if stored.exists(spark, table) else batch.limit(0)
         merged = archive.merge(batch, archive.carry_forward(previous.select(*batch.columns), now))
         stored.replace_table(merged, table)

@@ -193,7 +193,7 @@ def test_triage_and_analysis(spark, monkeypatch):
         def post(url, headers, body, timeout):
             seen.append(body)
             text = body["messages"][1]["content"]
-            content = '{"ok": 1}' if "failed validation" in text or text == "good" else '{"ok": 0}' if text == "second" else "no"
+            content = '{"ok": 1}' if "ok is 0" in text or text == "good" else '{"ok": 0}' if text == "second" else "no"
             return 200, j.dumps({"choices": [{"message": {"content": content}}]})
 
         return inference.Router([inference.Provider("p", "u", "m", "K")], post, lambda s: None)
@@ -207,3 +207,43 @@ def test_provider_tables(spark):
     rows = spark.createDataFrame([("m1", "p1", "K1", "x", "0", "0", 8), ("m2", "p2", "K2", None, "0", "0", 9), ("m3", "p3", "K1", "y", "a", "0", 9)], "model string, provider string, key_env string, key string, prompt string, completion string, context int")
     none = spark.createDataFrame([], "provider string")
     assert [r.model for r in providers.zero_cost(providers.live(rows, none)).collect()] == ["m1"] and providers.key_status(rows).first().status == "K1=set K2=MISSING"
+
+
+def test_a_swap_that_was_broken_off_loses_no_table(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/ledger"
+    rows = lambda *d: spark.createDataFrame([(x, "policy_rate", "e", None, x) for x in d], schemas.LEDGER)
+    dates = lambda: sorted(r.date for r in stored.read_ledger(spark, path).collect())
+    stored.replace_table(rows("1"), path)
+    kept = stored._rename
+    for step, want in ((1, ["1"]), (2, ["1", "2"])):  # before the first rename, and between the two
+        calls = []
+
+        def broken(fs, a, b, step=step, calls=calls):
+            calls.append(a)
+            if len(calls) == step:
+                raise OSError("killed")
+            kept(fs, a, b)
+
+        monkeypatch.setattr(stored, "_rename", broken)
+        with pytest.raises(OSError, match="killed"):
+            stored.replace_table(rows("1", "2"), path)
+        monkeypatch.setattr(stored, "_rename", kept)
+        assert dates() == want
+        stored.replace_table(rows("1"), path)
+    assert dates() == ["1"]
+    # An unfinished new table isn't taken for one.
+    fs, p = stored._fs(spark, path)
+    fs.rename(p, stored._fs(spark, path + ".old")[1])
+    fs.mkdirs(stored._fs(spark, path + ".new")[1])
+    assert dates() == ["1"]
+
+
+def test_state_of_feeds_is_kept(spark, tmp_path):
+    path = f"file://{tmp_path}/state"
+    assert stored.read_state(spark, path) == {}
+    rows = spark.createDataFrame([("a", 200, None, "e1", None, []), ("b", 304, None, None, "m", []), ("c", 200, None, None, None, [])], feeds.SCHEMA)
+    stored.replace_table(feeds.next_state(rows), path)
+    state = stored.read_state(spark, path)
+    assert state == {"a": {"etag": "e1", "last_modified": None}, "b": {"etag": None, "last_modified": "m"}}
+    row = feeds.fetch_one({"id": "b", "url": "u"}, state, get=lambda url, headers, timeout: (304 if headers["If-Modified-Since"] == "m" else 200, {}, b""))
+    assert row[1] == 304 and row[4] == "m"

@@ -200,3 +200,39 @@ def test_retention(spark):
     assert [r.cluster_id for r in archive.carry_forward(d, AS_OF).collect()] == ["a"]
     assert tuple(archive.retention_audit(d, AS_OF).first()) == (3, 1, False)
     assert text.masthead(F.lit(""), F.lit("x")) is not None
+
+
+def test_tfidf_pairs_are_those_of_all_products(spark):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join(rng.choice(words[: rng.choice([8, 40])]) for _ in range(rng.randint(1, 9)))) for k in range(120)]
+    at = [(k, datetime(2024, 1, 1) + timedelta(hours=rng.randint(0, 90))) for k, _ in rows]
+    weights = similarity.tfidf(spark.createDataFrame(rows, "id long, text string"), extra_stop_words=("w3",))
+    times = spark.createDataFrame(at, "id long, published_at timestamp")
+    by = {}
+    for r in weights.collect():
+        by.setdefault(r.id, {})[r.term] = r.w
+    dot = lambda a, b: sum(w * by[b].get(t, 0.0) for t, w in by[a].items())
+    want = {(a, b): s for a in by for b in by if a < b and (s := dot(a, b)) >= 0.42}
+    got = {(r.a, r.b): r.sim for r in similarity.tfidf_pairs(weights, 0.42).collect()}
+    assert got == pytest.approx(want)
+    near = {p for p in want if abs(at[p[0]][1] - at[p[1]][1]) <= timedelta(hours=18)}
+    assert {(r.a, r.b) for r in similarity.tfidf_pairs(weights, 0.42, times).collect()} == near and near < set(want)
+
+
+def test_vectors_that_are_null_or_shorter_take_no_part(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [1.0]), (5, [1.0, None]), (6, [0.0, 0.0])]
+    d = spark.createDataFrame(rows, "id long, v array<double>")
+    assert [(r.a, r.b) for r in similarity.cosine_pairs(d, 0.9).collect()] == [(1, 2)]
+    assert similarity.cosine_pairs(d.where("id = 3"), 0.9).count() == 0
+
+
+def test_accents_are_stripped(spark):
+    d = spark.createDataFrame([("Élan naïve façade é ạ",)], "t string")
+    assert d.select(similarity.without_accents(F.lower("t"))).first()[0] == "elan naive facade e a"
+
+
+def test_cap_counts(spark):
+    rows = [(f"s{k % 2}", f"p{k % 2}", None if k else "bad") for k in range(9)]
+    d = spark.createDataFrame(rows, "source_id string, publisher string, drop_reason string")
+    assert sorted((r.n_kept, r.n_capped) for r in normalize.cap_counts(d, 3).collect()) == [(4, 1), (4, 1)]
