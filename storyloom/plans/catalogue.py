@@ -147,6 +147,14 @@ def drop_reason_counts(spark, sf_dir):
     return normalize.drop_counts(normalize.judge(entries(spark, sf_dir), as_of(articles(spark, sf_dir)), EXCLUDES))
 
 
+@query(
+    JUDGED_SQL + """SELECT publisher AS masthead, count(*) AS n_kept, greatest(count(*) - 75, 0) AS n_capped
+    FROM judged j JOIN articles a USING (id) WHERE reason IS NULL GROUP BY publisher"""
+)
+def cap_counts(spark, sf_dir):
+    return normalize.cap_counts(normalize.judge(entries(spark, sf_dir), as_of(articles(spark, sf_dir)), EXCLUDES))
+
+
 @query(JUDGED_SQL + "SELECT substr(sha1(url), 1, 16) AS id, url, title FROM judged WHERE reason IS NULL")
 def normalized_articles(spark, sf_dir):
     judged = normalize.judge(entries(spark, sf_dir), as_of(articles(spark, sf_dir)), EXCLUDES)
@@ -171,8 +179,30 @@ def retention_window(spark, sf_dir):
 
 @query("SELECT source_id, id FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY published_at DESC, id) AS rn FROM articles) WHERE rn <= 40")
 def feed_head_slice(spark, sf_dir):
-    w = Window.partitionBy("source_id").orderBy(F.desc("published_at"), "id")
-    return articles(spark, sf_dir).withColumn("rn", F.row_number().over(w)).where("rn <= 40").select("source_id", "id")
+    return normalize.head_slice(_in_feed_order(spark, sf_dir).withColumn("max_entries", F.lit(40))).select("source_id", "id")
+
+
+def _in_feed_order(spark, sf_dir):
+    """Articles with entry_pos, by which the newest of a source is its feed's first."""
+    return articles(spark, sf_dir).withColumn("entry_pos", F.struct((-F.unix_micros("published_at")).alias("k"), "id"))
+
+
+@query(
+    """SELECT source_id, source_name, entry_pos, title, link FROM (
+      SELECT source_id, 'Name of ' || source_id AS source_name, row_number() OVER (PARTITION BY source_id ORDER BY published_at DESC, id) - 1 AS entry_pos, title, url AS link,
+        CAST(substr(source_id, 4) AS INT) AS n FROM articles) WHERE n % 5 <> 0 AND entry_pos < 10 + n % 7"""
+)
+def feed_entries(spark, sf_dir):
+    """Feeds of at most 100 entries, some failed, flattened under their sources' settings."""
+    a = normalize.head_slice(_in_feed_order(spark, sf_dir).withColumn("max_entries", F.lit(100)))
+    one = F.struct("entry_pos", F.col("title").alias("title"), F.col("url").alias("link"))
+    n = F.substring("source_id", 4, 9).cast("int")
+    feeds = a.groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda e: F.struct(e["title"].alias("title"), e["link"].alias("link"))).alias("entries"))
+    feeds = feeds.withColumn("error", F.when(n % 5 == 0, "HTTP 500"))
+    settings = feeds.select(F.col("source_id").alias("id"), F.concat(F.lit("Name of "), "source_id").alias("name"), F.lit("major").alias("tier"), (10 + n % 7).alias("max_entries"))
+    settings = normalize.with_defaults(settings, {"snippet_max_words": 40, "default_tz": "UTC", "max_entries": 40})
+    out = normalize.flatten(feeds, settings)
+    return out.select("source_id", "source_name", F.col("entry_pos").cast("long").alias("entry_pos"), "title", "link")
 
 
 @query("SELECT publisher, id FROM capped")
@@ -257,6 +287,38 @@ def tfidf_similarity(spark, sf_dir):
 
 # --- stories ------------------------------------------------------------------------------------
 
+_REACH_SQL = """, reach2 AS (SELECT id, id AS other FROM vertex
+  UNION SELECT r.id, CASE WHEN p.a = r.other THEN p.b ELSE p.a END FROM reach2 r JOIN alike p ON r.other IN (p.a, p.b))
+SELECT id, min(other) AS story FROM reach2 GROUP BY id"""
+
+
+def _stories_of(rows, found):
+    return stories.assign_stories(rows, found.select("a", "b")).select("id", "story")
+
+
+@query(
+    TFIDF_SQL + """, vertex AS (SELECT id FROM articles), alike AS (SELECT a.id AS a, b.id AS b FROM weights a JOIN weights b ON a.term = b.term AND a.id < b.id
+      JOIN articles x ON x.id = a.id JOIN articles y ON y.id = b.id WHERE abs(epoch_us(x.published_at) - epoch_us(y.published_at)) <= 64800000000
+      GROUP BY a.id, b.id HAVING sum(a.w * b.w) >= 0.42)""" + _REACH_SQL
+)
+def tfidf_stories(spark, sf_dir):
+    """Stories of all articles at the default threshold of terms, within 18 hours."""
+    rows = articles(spark, sf_dir)
+    return _stories_of(rows, similarity.tfidf_pairs(_weights(spark, sf_dir), 0.42, rows.select("id", "published_at")))
+
+
+@query(
+    """WITH RECURSIVE vertex AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, ts FROM embeddings JOIN events ON event_id = vec_id
+    ), alike AS (SELECT a.id AS a, b.id AS b FROM vertex a JOIN vertex b ON a.id < b.id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 64800000000 AND list_cosine_similarity(a.v, b.v) >= 0.78)"""
+    + _REACH_SQL, staged=False,
+)
+def embedding_stories(spark, sf_dir):
+    """Stories of all embeddings at the default threshold of vectors, within 18 hours."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("published_at"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")).join(e, "id")
+    return _stories_of(rows, similarity.cosine_pairs(rows, 0.78, similarity.WINDOW_HOURS))
+
+
 
 @query("SELECT id, story FROM component")
 def story_components(spark, sf_dir):
@@ -405,11 +467,8 @@ RULES = (
 )
 MARKERS = ("with", "from", "avec", "nicht")
 
-#: A record with nesting, made of the first turns of a conversation.
-RECORD_DDL = (
-    "headline string, hook string, gist array<string>, what_happened string, bull_case struct<argument:string,depends_on:array<string>>, "
-    "bear_case struct<argument:string,depends_on:array<string>>, variables_to_watch array<struct<variable:string,when:string>>, market_reaction string"
-)
+#: A whole conversation: its first turns under a record's names, all others in order.
+RECORD_DDL = "headline string, hook string, bull_case struct<argument:string>, bear_case struct<argument:string>, turns array<string>"
 
 
 def record_type() -> T.StructType:
@@ -417,29 +476,23 @@ def record_type() -> T.StructType:
 
 
 def records(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("turn < 4").groupBy("conv_id").agg(*(F.max(F.when(F.col("turn") == k, F.col("text"))).alias(f"t{k}") for k in range(4)))
-    t = lambda k, n: F.array_join(F.slice(text.tokens(F.coalesce(f"t{k}", F.lit("none")), n), 1, n), " ")
-    case = lambda k: F.struct(t(k, 12).alias("argument"), F.array(t(k, 2), t(k, 3)).alias("depends_on"))
+    """A record per conversation, of the whole text of every turn."""
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(ordered, lambda x: x["text"]).alias("all_"))
+    case = lambda k: F.struct(F.coalesce(F.get("all_", F.lit(k)), F.lit("none")).alias("argument"))
     return c.select(
-        "conv_id", t(0, 8).alias("headline"), t(1, 9).alias("hook"), F.array(t(0, 3), F.concat(F.lit("Why it matters: "), t(1, 4)), t(2, 5)).alias("gist"), t(1, 30).alias("what_happened"),
-        case(2).alias("bull_case"), case(3).alias("bear_case"), F.array(F.struct(t(1, 2).alias("variable"), t(2, 2).alias("when"))).alias("variables_to_watch"), t(3, 6).alias("market_reaction"),
+        "conv_id", F.get("all_", F.lit(0)).alias("headline"), F.get("all_", F.lit(1)).alias("hook"), case(2).alias("bull_case"), case(3).alias("bear_case"),
+        F.slice("all_", F.lit(5), F.size("all_")).alias("turns"),
     )
 
 
 RECORD_SQL = """
-WITH c AS (SELECT conv_id, max(text) FILTER (WHERE turn = 0) AS t0, max(text) FILTER (WHERE turn = 1) AS t1, max(text) FILTER (WHERE turn = 2) AS t2,
-  max(text) FILTER (WHERE turn = 3) AS t3 FROM conversations WHERE turn < 4 GROUP BY conv_id
-), w AS (SELECT conv_id, """ + ", ".join(
-    f"list_filter(string_split_regex(coalesce(t{k}, 'none'), '\\s+'), lambda x: x <> '') AS w{k}" for k in range(4)
-) + """ FROM c), leaf AS (SELECT conv_id, unnest([""" + ", ".join(
-    f"{{'o': {o}, 'path': '{p}', 'text': {pre}array_to_string(w{k}[1:{n}], ' ')}}"
-    for o, (p, k, n, pre) in enumerate(
-        [("headline", 0, 8, ""), ("hook", 1, 9, ""), ("gist[0]", 0, 3, ""), ("gist[1]", 1, 4, "'Why it matters: ' || "), ("gist[2]", 2, 5, ""), ("what_happened", 1, 30, ""),
-         ("bull_case.argument", 2, 12, ""), ("bull_case.depends_on[0]", 2, 2, ""), ("bull_case.depends_on[1]", 2, 3, ""), ("bear_case.argument", 3, 12, ""),
-         ("bear_case.depends_on[0]", 3, 2, ""), ("bear_case.depends_on[1]", 3, 3, ""), ("variables_to_watch[0].variable", 1, 2, ""), ("variables_to_watch[0].when", 2, 2, ""),
-         ("market_reaction", 3, 6, "")]
-    )
-) + "]) AS x FROM w), leaves AS (SELECT conv_id, x.o AS o, x.path AS path, x.text AS text FROM leaf)\n"
+WITH c AS (SELECT conv_id, list(text ORDER BY turn, text) AS t FROM conversations GROUP BY conv_id
+), leaf AS (SELECT conv_id, unnest(list_concat([{'o': 0, 'path': 'headline', 'text': t[1]}, {'o': 1, 'path': 'hook', 'text': t[2]},
+  {'o': 2, 'path': 'bull_case.argument', 'text': coalesce(t[3], 'none')}, {'o': 3, 'path': 'bear_case.argument', 'text': coalesce(t[4], 'none')}],
+  list_transform(range(5, len(t) + 1), lambda i: {'o': i - 1, 'path': 'turns[' || (i - 5) || ']', 'text': t[i]}))) AS x FROM c
+), leaves AS (SELECT conv_id, x.o AS o, x.path AS path, x.text AS text FROM leaf WHERE x.text IS NOT NULL)
+"""
 
 
 @query(RECORD_SQL + "SELECT conv_id, path, text FROM leaves", staged=False)
@@ -451,46 +504,19 @@ _RULES_SQL = sql_values([(s, p.replace(r"\w", r"[\pL\pN_]"), r) for s, p, r in R
 
 
 @query(
-    RECORD_SQL + f""", hit AS (SELECT l.conv_id, l.path AS field, v.severity, v.rule, regexp_extract(l.text, '(?i)' || v.pattern) AS quote, l.text,
+    RECORD_SQL + f""", strings AS (SELECT 'conversations' AS source, conv_id AS id, path, text FROM leaves
+      UNION ALL SELECT 'documents', doc_id, 'text', text FROM documents WHERE text IS NOT NULL),
+    hit AS (SELECT l.source, l.id, l.path AS field, v.severity, v.rule, regexp_extract(l.text, '(?i)' || v.pattern) AS quote, l.text,
       length(regexp_extract(l.text, '(?is)^(.*?)(?:' || v.pattern || ')', 1)) + 1 AS p
-      FROM leaves l JOIN {_RULES_SQL} ON regexp_matches(l.text, '(?i)' || v.pattern)),
-    spot AS (SELECT * FROM hit)
-    SELECT conv_id, field, severity, rule, quote,
-      CASE WHEN greatest(0, p - 1 - 70) > 0 THEN '…' ELSE '' END || trim(substr(text, greatest(0, p - 71) + 1, least(length(text), p - 1 + length(quote) + 70) - greatest(0, p - 71)))
-      || CASE WHEN p - 1 + length(quote) + 70 < length(text) THEN '…' ELSE '' END AS context FROM spot""",
+      FROM strings l JOIN {_RULES_SQL} ON regexp_matches(l.text, '(?i)' || v.pattern))
+    SELECT source, id, field, severity, rule, quote,
+      CASE WHEN greatest(0, p - 1 - 70) > 0 THEN '…' ELSE '' END || trim(substr(text, greatest(0, p - 71) + 1, least(length(text), p - 1 + length(quote) + 70) - greatest(0, p - 71)), E' \\t\\n\\r')
+      || CASE WHEN p - 1 + length(quote) + 70 < length(text) THEN '…' ELSE '' END AS context FROM hit""",
     staged=False,
 )
 def compliance_scan(spark, sf_dir):
-    return compliance.scan(records(spark, sf_dir), "conv_id", json.leaves(record_type()), RULES)
-
-
-#: A whole conversation: its first turns under a record's names, all others in order.
-WHOLE_DDL = "headline string, hook string, bull_case struct<argument:string>, bear_case struct<argument:string>, turns array<string>"
-
-
-def whole_type() -> T.StructType:
-    return T.StructType.fromDDL(WHOLE_DDL)
-
-
-def whole_records(spark, sf_dir):
-    """A record per conversation, of the whole text of every turn."""
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(ordered, lambda x: x["text"]).alias("all_"))
-    case = lambda k: F.struct(F.coalesce(F.get("all_", F.lit(k)), F.lit("none")).alias("argument"))
-    return c.select(
-        "conv_id", F.get("all_", F.lit(0)).alias("headline"), F.get("all_", F.lit(1)).alias("hook"), case(2).alias("bull_case"), case(3).alias("bear_case"),
-        F.slice("all_", F.lit(5), F.size("all_")).alias("turns"),
-    )
-
-
-@query()
-def flatten_leaves_whole(spark, sf_dir):
-    return whole_records(spark, sf_dir).select("conv_id", F.explode(json.leaves(whole_type())).alias("x")).select("conv_id", "x.*")
-
-
-@query()
-def compliance_scan_whole(spark, sf_dir):
-    c = compliance.scan(whole_records(spark, sf_dir), "conv_id", json.leaves(whole_type()), RULES).withColumnRenamed("conv_id", "id")
+    """Every string of whole conversations and documents."""
+    c = compliance.scan(records(spark, sf_dir), "conv_id", json.leaves(record_type()), RULES).withColumnRenamed("conv_id", "id")
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     d = compliance.scan(d, "id", json.leaves(T.StructType.fromDDL("text string")), RULES)
     return c.select(F.lit("conversations").alias("source"), "*").unionByName(d.select(F.lit("documents").alias("source"), "*"))
@@ -522,22 +548,12 @@ def _acronyms_sql(x: str) -> str:
       CASE WHEN trim(regexp_replace(g, '(?i)^\\s*(what happened|why it matters|what to watch|watch(?: for)?)\\s*[:\\-–—]\\s*', '')) = '' THEN g
         ELSE trim(regexp_replace(g, '(?i)^\\s*(what happened|why it matters|what to watch|watch(?: for)?)\\s*[:\\-–—]\\s*', '')) END AS bullet
     FROM (SELECT doc_id, {_acronyms_sql("t")} AS x, CASE WHEN doc_id % 3 = 0 THEN 'What to watch: ' ELSE '' END || t AS g
-      FROM (SELECT doc_id, 'the ai and api of ' || lower(array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[1:12], ' ')) AS t FROM documents WHERE lang = 'en'))""",
+      FROM (SELECT doc_id, 'the ai and api of ' || lower(text) AS t FROM documents WHERE lang = 'en'))""",
     staged=False,
 )
 def casing_repair(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return _repaired(d, F.lower(F.array_join(F.slice(text.tokens(F.col("text"), 12), 1, 12), " ")))
-
-
-@query()
-def casing_repair_whole(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return _repaired(d, F.lower("text"))
-
-
-def _repaired(d, low):
-    d = d.select("doc_id", F.concat(F.lit("the ai and api of "), low).alias("t"))
+    """Whole English documents, as the acronyms are English."""
+    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.concat(F.lit("the ai and api of "), F.lower("text")).alias("t"))
     bullet = F.concat(F.when(F.col("doc_id") % 3 == 0, "What to watch: ").otherwise(""), "t")
     return d.select("doc_id", text.currency_and_capital(text.upper_acronyms(F.col("t"))).alias("fixed"), text.strip_gist_label(bullet).alias("bullet"))
 
@@ -548,32 +564,32 @@ def casing_contextual(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", text.fix_casing(t).alias("fixed"))
 
 
+_BLOCKS = "regexp_matches(text, '(?i)\\bthe that\\b') OR regexp_matches(text, '(?i)(^|[.!?;]\\s+)(and|of)\\s+(the|a)\\b')"
+
+
 @query(
-    RECORD_SQL + """, flags AS (SELECT conv_id,
-      bool_or(regexp_matches(text, '(?i)\\bthe that\\b') OR regexp_matches(text, '(?i)(^|[.!?;]\\s+)(and|of)\\s+(the|a)\\b')) AS hit,
-      bool_or(regexp_matches(text, '(?i)\\bthe that\\b') OR regexp_matches(text, '(?i)(^|[.!?;]\\s+)(and|of)\\s+(the|a)\\b')) FILTER (WHERE path <> 'headline' OR conv_id % 4 <> 1) AS hit_rewritten,
-      bool_and(contains(lower(text), 'with') OR contains(lower(text), 'from') OR contains(lower(text), 'avec') OR contains(lower(text), 'nicht') OR contains('bulls argue that ', 'with'))
-        FILTER (WHERE path IN ('bull_case.argument', 'bear_case.argument')) AS attributed FROM leaves GROUP BY conv_id)
-    SELECT conv_id, CASE WHEN hit THEN 'regex' WHEN conv_id % 10 = 3 THEN 'reviewer' WHEN NOT attributed THEN 'unattributed' END AS blocked_by FROM flags""",
+    RECORD_SQL + f""", after AS (SELECT conv_id, o, path, CASE WHEN path = 'headline' AND conv_id % 4 = 1 THEN 'A plain headline' ELSE text END AS text FROM leaves
+    ), flags AS (SELECT conv_id, bool_or({_BLOCKS}) AS hit,
+      bool_and(contains(lower(text), 'with') OR contains(lower(text), 'from') OR contains(lower(text), 'avec') OR contains(lower(text), 'nicht'))
+        FILTER (WHERE path IN ('bull_case.argument', 'bear_case.argument')) AS attributed FROM leaves GROUP BY conv_id
+    ), small AS (SELECT conv_id, list(rule ORDER BY o, place) AS rules FROM (
+      SELECT conv_id, o, 3 AS place, 'third rule' AS rule FROM after WHERE regexp_matches(text, '(?i)\\b(of|in|to|is|and) the\\b')
+      UNION ALL SELECT conv_id, o, 4, 'fourth rule' FROM after WHERE regexp_matches(text, '(?i)\\b[\\pL\\pN_]+tion and\\b')) GROUP BY conv_id)
+    SELECT conv_id, CASE WHEN hit THEN 'regex' WHEN conv_id % 10 = 3 THEN 'reviewer' WHEN NOT attributed THEN 'unattributed' END AS blocked_by,
+      coalesce(array_to_string(rules[1:3], '|'), '') AS minor, CASE WHEN conv_id % 4 = 1 THEN 'A plain headline' END AS rewritten
+    FROM flags LEFT JOIN small USING (conv_id)""",
     staged=False,
 )
 def enforce_pipeline(spark, sf_dir):
-    return _enforced(records(spark, sf_dir), record_type())
-
-
-@query()
-def enforce_pipeline_whole(spark, sf_dir):
-    return _enforced(whole_records(spark, sf_dir), whole_type())
-
-
-def _enforced(rows, schema):
+    """The whole chain over whole conversations: what blocks a record, its minor flags, its rewritten headline."""
     c = F.col("conv_id")
     severity = F.when(c % 10 == 3, "blocking").otherwise("minor")
-    rows = rows.select(
+    rows = records(spark, sf_dir).select(
         "*", F.array(F.struct(severity.alias("severity"))).alias("violations"), F.when(c % 4 == 1, F.create_map(F.lit("headline"), F.lit("A plain headline"), F.lit("a.b.c"), F.lit("no"))).alias("rewrites")
     )
     # The prefix holds no marker of this query, so that a case without one stays blocked.
-    return compliance.enforce(rows, schema, RULES, MARKERS).select("conv_id", "blocked_by")
+    out = compliance.enforce(rows, record_type(), RULES, MARKERS)
+    return out.select("conv_id", "blocked_by", F.array_join("minor", "|").alias("minor"), F.when(c % 4 == 1, F.col("headline")).alias("rewritten"))
 
 
 # --- ledger -------------------------------------------------------------------------------------
@@ -705,6 +721,19 @@ def feed_index(spark, sf_dir):
     return feed.join(cards, "cluster_id")
 
 
+@query(
+    ITEMS_SQL + """SELECT strftime(any_value(as_of), '%Y-%m-%d %H:%M:%S') AS generated_at, 24 AS retention_hours, 'not advice' AS disclaimer, CAST(count(*) AS INT) AS count,
+      string_agg(cluster_id || ' ' || title || ' story/' || cluster_id || '.html', '|' ORDER BY published_at DESC, cluster_id) AS items
+    FROM items, now WHERE published_at >= as_of - INTERVAL 24 HOURS"""
+)
+def feed_envelope(spark, sf_dir):
+    """The front page's one document, of the items within the retention window."""
+    now = as_of(articles(spark, sf_dir))
+    row = archive.feed_index(archive.carry_forward(items(spark, sf_dir), now), now, "not advice")
+    shown = F.transform("items", lambda x: F.concat_ws(" ", x["cluster_id"], x["headline"], x["url"]))
+    return row.select(stamp(F.col("generated_at").cast("timestamp")).alias("generated_at"), "retention_hours", "disclaimer", "count", F.array_join(shown, "|").alias("items"))
+
+
 @query(ITEMS_SQL + "SELECT count(*) AS n_items, count(*) FILTER (WHERE published_at < as_of - INTERVAL 24 HOURS) AS n_late, count(*) FILTER (WHERE published_at < as_of - INTERVAL 24 HOURS) = 0 AS ok FROM items, now")
 def retention_audit(spark, sf_dir):
     return archive.retention_audit(items(spark, sf_dir), as_of(articles(spark, sf_dir)))
@@ -764,12 +793,17 @@ def json_tolerant(spark, sf_dir):
     return found.select("k", "parsed", F.parse_json("parsed").isNotNull().alias("ok"))
 
 
+RANKINGS = ['{"ranked": [{"cluster_id": "x", "score": 1.5}, {"score": 3}]}', '[{"cluster_id": "y", "score": 2.0}, {"cluster_id": "z"}]', "nothing"]
+
+
 @query(
-    """SELECT story_id, s::DOUBLE AS score FROM (VALUES ('x', 1.5), ('y', 2.0), ('z', NULL)) AS v(story_id, s)""", staged=False
+    f"""SELECT row ->> '$.cluster_id' AS story_id, CAST(row ->> '$.score' AS DOUBLE) AS score FROM (
+      SELECT unnest(from_json(CASE WHEN json_type(reply) = 'ARRAY' THEN reply::JSON ELSE json_extract(reply, '$.ranked') END, '["JSON"]')) AS row
+      FROM {sql_values([(r,) for r in RANKINGS], "reply")} WHERE json_valid(reply)) WHERE row ->> '$.cluster_id' IS NOT NULL""",
+    staged=False,
 )
 def triage_rows(spark, sf_dir):
-    replies = [('{"ranked": [{"cluster_id": "x", "score": 1.5}, {"score": 3}]}',), ('[{"cluster_id": "y", "score": 2.0}, {"cluster_id": "z"}]',), ("nothing",)]
-    rows = values(spark, replies, "reply string").select(F.explode(json.ranked_rows(F.col("reply"))).alias("r"))
+    rows = values(spark, [(r,) for r in RANKINGS], "reply string").select(F.explode(json.ranked_rows(F.col("reply"))).alias("r"))
     return rows.select(F.col("r.cluster_id").alias("story_id"), F.col("r.score").alias("score"))
 
 
@@ -777,11 +811,17 @@ DATES = [
     (1, "Tue, 11 Aug 2026 10:30:00 GMT"), (2, "Tue, 11 Aug 2026 10:30:00"), (3, "11 Aug 2026 10:30:00 +0530"), (4, "2026-08-11T10:30:00Z"), (5, "2026-08-11T10:30:00+05:30"),
     (6, "2026-08-11T10:30:00"), (7, "2026-08-11 10:30:00"), (8, "Tue, 11 Aug 2026 10:30 EST"), (9, "11 Aug 26 10:30:00 IST"), (10, "yesterday"), (11, "31 Feb 2026 10:30:00"), (12, "Tue, 11 Aug 2026 10:30:00 -0000"),
 ]
-PARSED = {1: "2026-08-11 10:30:00", 2: "2026-08-11 05:00:00", 3: "2026-08-11 05:00:00", 4: "2026-08-11 10:30:00", 5: "2026-08-11 05:00:00", 6: "2026-08-11 05:00:00",
-          7: "2026-08-11 05:00:00", 8: "2026-08-11 15:30:00", 9: "2026-08-11 05:00:00", 12: "2026-08-11 05:00:00"}
 
 
-@query("SELECT k, CAST(utc AS VARCHAR) AS utc FROM " + sql_values([(k, PARSED.get(k)) for k, _ in DATES], "k, utc"), staged=False)
+@query(
+    f"""SELECT k, strftime(local - to_minutes(CASE WHEN zone IN ('GMT', 'Z') THEN 0 WHEN zone = 'EST' THEN -300 WHEN zone IN ('', 'IST', '-0000') THEN 330
+        ELSE (CASE WHEN zone[1:1] = '-' THEN -1 ELSE 1 END) * (CAST(replace(zone, ':', '')[2:3] AS INT) * 60 + CAST(replace(zone, ':', '')[4:5] AS INT)) END), '%Y-%m-%d %H:%M:%S') AS utc
+    FROM (SELECT k, regexp_extract(raw, '(GMT|EST|IST|Z|[+-][0-9]{{2}}:?[0-9]{{2}})$') AS zone,
+      try_strptime(trim(regexp_replace(regexp_replace(raw, '(GMT|EST|IST|Z|[+-][0-9]{{2}}:?[0-9]{{2}})$', ''), '^[A-Za-z]+, ', '')),
+        ['%d %b %y %H:%M:%S', '%d %b %Y %H:%M:%S', '%d %b %Y %H:%M', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S']) AS local
+      FROM {sql_values(DATES, "k, raw")})""",
+    staged=False,
+)
 def date_ladder(spark, sf_dir):
     rows = values(spark, DATES, "k int, raw string")
     return rows.select("k", stamp(dates.parse_date(F.col("raw"), F.lit("Asia/Kolkata"))).alias("utc"))

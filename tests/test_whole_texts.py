@@ -21,26 +21,26 @@ def tables(spark, tmp_path_factory):
 
 def test_every_turn_is_a_leaf_with_its_whole_text(spark, tables):
     path, turns, _ = tables
-    got = sorted((r.conv_id, r.text) for r in catalogue.flatten_leaves_whole(spark, path).collect() if r.text != "none")
+    got = sorted((r.conv_id, r.text) for r in catalogue.flatten_leaves(spark, path).collect() if r.text != "none")
     assert got == sorted((c, t) for c, _, t in turns if t is not None)
 
 
 def test_scan_reads_all_turns_and_documents(spark, tables):
     path, turns, docs = tables
-    got = sorted((r.source, r.id, r.rule, r.quote) for r in catalogue.compliance_scan_whole(spark, path).collect())
+    got = sorted((r.source, r.id, r.rule, r.quote) for r in catalogue.compliance_scan(spark, path).collect())
     texts = [("conversations", c, t) for c, _, t in turns] + [("documents", d, t) for d, t, _ in docs]
     want = [(s, k, rule, m[0]) for s, k, t in texts for _, p, rule in catalogue.RULES if t and (m := re.search("(?i)" + p, t))]
     assert got == sorted(want) and len(got) == 6 and ("conversations", 2, "third rule", "of the") in got
 
 
 def test_chain_blocks_by_what_stands_late(spark, tables):
-    got = {r.conv_id: r.blocked_by for r in catalogue.enforce_pipeline_whole(spark, tables[0]).collect()}
+    got = {r.conv_id: r.blocked_by for r in catalogue.enforce_pipeline(spark, tables[0]).collect()}
     assert got == {1: "regex", 2: None, 4: "unattributed"}
 
 
 def test_casing_is_repaired_to_the_end(spark, tables):
     path, _, docs = tables
-    got = {r.doc_id: r for r in catalogue.casing_repair_whole(spark, path).collect()}
+    got = {r.doc_id: r for r in catalogue.casing_repair(spark, path).collect()}
     late = next(t for k, t, _ in docs if k == 12).lower()
     assert set(got) == {7, 8, 12} and got[8].fixed is None
     assert got[12].fixed == "The AI and API of " + late.replace(" ai api", " AI API")
