@@ -7,7 +7,11 @@ packed with the remainders of others. Items are dealt by hash to shards of about
 several islands. An island keeps a small population of whole packings: crossover injects whole
 well-filled bins of one parent into another, removes the bins that hold duplicates, and
 best-fits the displaced documents, largest first. Between epochs the elite of each island
-migrates to the next of its shard. An island ends early at the lower bound on bins.
+migrates to the next of its shard. An island ends early at the lower bound on bins. Each shard's
+least filled sequence is given up and its items are packed again with those of the other shards, in
+shards of their own, until there is one: so not every shard keeps a sequence that isn't full.
+
+The vocabulary is read on the driver and broadcast (two files of a fixed size).
 
 Defined results: a null or empty text is one piece of the end id alone. Repeated rows are
 packed each by itself. Equal lengths are told apart by a row number that is written before
@@ -22,7 +26,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import one_thread, per_worker, table
+from storyloom.llm.common import one_thread, per_worker, received, send, table
 from storyloom.shared import materialize
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -37,6 +41,14 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.path(RANKS)
 
 
+def read_files(*paths: str) -> list[bytes]:
+    found = []
+    for path in paths:
+        with open(path, "rb") as f:
+            found.append(f.read())
+    return found
+
+
 class Encoder:
     """Ids of a text as the vocabulary's own library gives them, without special tokens added.
 
@@ -44,7 +56,7 @@ class Encoder:
     string goes through the vocabulary's library, which reads it as that token.
     """
 
-    def __init__(self, vocabulary: str, ranks: str) -> None:
+    def __init__(self, vocabulary: bytes, ranks: bytes) -> None:
         import base64
 
         import public_tokenizers
@@ -52,8 +64,7 @@ class Encoder:
 
         one_thread()
         self.vocabulary, self.whole = vocabulary, None
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
@@ -62,7 +73,7 @@ class Encoder:
         if self.whole is None:
             from tokenizers import Tokenizer
 
-            self.whole = Tokenizer.from_file(self.vocabulary)
+            self.whole = Tokenizer.from_buffer(self.vocabulary)
         return self.whole.encode(text, add_special_tokens=False).ids
 
 
@@ -79,6 +90,8 @@ def tokenise(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_id:
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"),
         F.col(text_col).alias("text"),
     )
+    files = read_files(vocabulary, ranks)
+    held, key = send(docs.sparkSession, files), f"encoder {zlib.crc32(files[0])} {zlib.crc32(files[1])}"
     schema = (
         f"id {dict(source.dtypes)['id']}, text_hash long, piece int, start long, length long, ids_crc32 long"
         + ", ids array<int>" * with_ids
@@ -88,7 +101,7 @@ def tokenise(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_id:
         import numpy as np
         import pyarrow as pa
 
-        encoder = per_worker(f"encoder {vocabulary} {ranks}", lambda: Encoder(vocabulary, ranks))
+        encoder = per_worker(key, lambda: Encoder(*received(held)))
         for b in batches:
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             for i, text in enumerate(b.column("text")):
@@ -292,46 +305,43 @@ def island_row(shard, island, uids, lengths, packings, epoch, capacity, generati
     )
 
 
-def unpack(batches):
-    """A row per item of each shard's best packing: uid, bin and offset in it."""
-    import numpy as np
-    import pyarrow as pa
+def unpack(capacity: int, level: int):
+    """A row per item of each shard's best packing: uid, length, sequence, offset in it, and whether it is in
+    the shard's least filled one."""
 
-    for b in batches:
-        for r in b.to_pylist():
-            uids, lengths = np.frombuffer(r["uids"], np.int64), np.frombuffer(r["lengths"], np.int32)
-            bins = np.frombuffer(r["best"], np.int32)
-            order = np.argsort(bins, kind="stable")
-            ends = np.cumsum(lengths[order].astype(np.int64))
-            starts = ends - lengths[order]
-            first = np.concatenate(([True], np.diff(bins[order]) != 0))
-            offset = starts - np.maximum.accumulate(np.where(first, starts, 0))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(uids[order]), pa.array((np.int64(r["shard"]) << 32) | bins[order].astype(np.int64)), pa.array(offset)],
-                ["uid", "sequence_id", "offset"],
-            )
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
+        for b in batches:
+            for r in b.to_pylist():
+                uids, lengths = np.frombuffer(r["uids"], np.int64), np.frombuffer(r["lengths"], np.int32)
+                bins = np.frombuffer(r["best"], np.int32)
+                order = np.argsort(bins, kind="stable")
+                ends = np.cumsum(lengths[order].astype(np.int64))
+                starts = ends - lengths[order]
+                first = np.concatenate(([True], np.diff(bins[order]) != 0))
+                offset = starts - np.maximum.accumulate(np.where(first, starts, 0))
+                fill = np.bincount(bins, lengths)
+                loose = bins[order] == fill.argmin() if fill.min() < capacity else np.zeros(len(bins), bool)
+                sequence = (np.int64(level) << 56) | (np.int64(r["shard"]) << 32) | bins[order].astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(uids[order]), pa.array(lengths[order].astype(np.int64)), pa.array(sequence), pa.array(offset), pa.array(loose)],
+                    ["uid", "length", "sequence_id", "offset", "loose"],
+                )
 
-def pack(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0,
-    vocabulary: str | None = None, ranks: str | None = None, with_ids: bool = False, shard_items: int = 8192,
-    islands: int = 2, members: int = 4, epochs: int = 2, generations: int = 12,
-) -> DataFrame:
-    """A row per piece: id_col, text_hash, piece, start, length, ids_crc32 (and ids), sequence_id, offset."""
-    standard = default_vocabulary() if not (vocabulary and ranks) else ("", "")
-    pieces = materialize(
-        tokenise(docs, id_col, text_col, capacity, end_id, vocabulary or standard[0], ranks or standard[1], with_ids)
-        .withColumn("uid", F.monotonically_increasing_id()),
-        "pieces",
-    )
-    short = pieces.where(F.col("length") < capacity).select("uid", "length")
-    shards = max(1, -(-short.count() // shard_items))
-    items = short.select(
+    return run
+
+
+def place(items: DataFrame, capacity: int, shard_items: int, islands: int, members: int, epochs: int, generations: int, level: int = 0) -> DataFrame:
+    """(uid, sequence_id, offset) of items (uid, length)."""
+    shards = max(1, -(-items.count() // shard_items))
+    dealt = items.select(
         F.pmod(F.xxhash64("uid"), F.lit(shards)).alias("shard"), "uid", "length",
         F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"),
     )
     state = materialize(
-        items.groupBy("shard", "island").applyInArrow(found_island(capacity, generations, members), ISLAND), "islands"
+        dealt.groupBy("shard", "island").applyInArrow(found_island(capacity, generations, members), ISLAND), "islands"
     )
     for epoch in range(1, epochs):
         elite = state.select(
@@ -343,7 +353,30 @@ def pack(
     best = state.groupBy("shard").agg(
         F.min_by(F.struct("uids", "lengths", F.col("packings")[0].alias("best")), F.struct("bins", "island")).alias("s")
     )
-    places = best.select("shard", "s.*").mapInArrow(unpack, "uid long, sequence_id long, offset long")
+    schema = "uid long, length long, sequence_id long, offset long, loose boolean"
+    placed = best.select("shard", "s.*").mapInArrow(unpack(capacity, level), schema)
+    columns = ["uid", "sequence_id", "offset"]
+    if shards == 1:
+        return placed.select(columns)
+    placed = materialize(placed, "places")
+    again = place(placed.where("loose").select("uid", "length"), capacity, shard_items, islands, members, epochs, generations, level + 1)
+    return placed.where("not loose").select(columns).unionAll(again)
+
+
+def pack(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0,
+    vocabulary: str | None = None, ranks: str | None = None, with_ids: bool = False, shard_items: int = 8192,
+    islands: int = 2, members: int = 4, epochs: int = 2, generations: int = 12,
+) -> DataFrame:
+    """A row per piece: id_col, text_hash, piece, start, length, ids_crc32 (and ids), sequence_id, offset."""
+    standard = default_vocabulary() if not (vocabulary and ranks) else ("", "")
+    pieces = materialize(
+        tokenise(docs, id_col, text_col, capacity, end_id, vocabulary or standard[0], ranks or standard[1], with_ids)
+        .withColumn("uid", F.monotonically_increasing_id()),
+        "pieces",
+    )
+    short = pieces.where(F.col("length") < capacity).select("uid", "length")
+    places = place(short, capacity, shard_items, islands, members, epochs, generations)
     packed = pieces.where(F.col("length") < capacity).join(places, "uid")
     full = pieces.where(F.col("length") >= capacity).select(
         "*", (-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")

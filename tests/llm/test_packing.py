@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from storyloom.llm import packing as m
 
-ENCODER = m.Encoder(*m.default_vocabulary())
+ENCODER = m.Encoder(*m.read_files(*m.default_vocabulary()))
 PLAIN = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
 
 
@@ -84,3 +84,11 @@ def test_evolution_improves_on_its_founders():
     founder.best_fit(sorted(range(180), key=lambda i: -sizes[i]))
     best = m.evolve(sizes, 100, [], 1, 300, 6)[0]
     assert len(best.bins) <= len(founder.bins) and best.fitness() > founder.fitness()
+
+
+def test_many_shards_share_their_last_sequences(spark):
+    rng = random.Random(16)
+    docs = [(k, "word " * rng.choice([1, 5, 9, 30])) for k in range(600)]
+    rows = m.pack(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), capacity=64, shard_items=25).collect()
+    n, bound = check(rows, docs, 64)
+    assert n <= bound + 3  # 24 shards
