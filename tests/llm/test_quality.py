@@ -65,3 +65,48 @@ def test_statistics_are_finite():
     for text in (None, "", "\n", " ", "é" * 10, "a" * 100_000, "\x00!?"):
         stats = m.statistics(text)
         assert len(stats) == m.N_STATISTICS and all(map(math.isfinite, stats))
+
+
+def plain_scores(docs, labels, features=256, bins=4096, ridge=1e-3, seed=7):
+    """Scores by dense matrices and an isotonic fit by its minimax formula."""
+    import numpy as np
+
+    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 4
+    stats = {i: np.array(m.statistics(t), np.float32).astype(float) for i, t in docs}
+    used = [(i, q) for i, q in labels if q is not None and i in stats and fold(i) != 2]
+    x, y = np.array([stats[i] for i, _ in used]), np.array([float(q) for _, q in used])
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
+    rng = np.random.default_rng(seed)
+    w, b = rng.normal(size=(x.shape[1], features)) / x.shape[1] ** 0.5, rng.uniform(0, 2 * np.pi, features)
+    z = lambda s: np.append(np.cos(np.clip((s - mean) / scale, -8, 8) @ w + b) * (2 / features) ** 0.5, 1.0)
+    fit = np.array([fold(i) != 3 for i, _ in used])
+    a = np.array([z(s) for s in x])
+    penalty = np.diag([ridge * fit.sum() / features] * features + [1e-9])
+    beta = np.linalg.solve(a[fit].T @ a[fit] + penalty, a[fit].T @ y[fit])
+    points = {}
+    for raw, q in zip(a[~fit] @ beta, y[~fit], strict=True):
+        k = int(np.clip((raw + 0.5) / 2 * bins, 0, bins - 1))
+        n, s = points.get(k, (0, 0.0))
+        points[k] = (n + 1, s + q)
+    ks = sorted(points)
+    mean_of = lambda i, j: sum(points[k][1] for k in ks[i : j + 1]) / sum(points[k][0] for k in ks[i : j + 1])
+    level = [max(min(mean_of(i, j) for j in range(k, len(ks))) for i in range(k + 1)) for k in range(len(ks))]
+    knots = []
+    for v in sorted(set(round(v, 9) for v in level)):
+        held = [k for k, u in zip(ks, level, strict=True) if round(u, 9) == v]
+        n = sum(points[k][0] for k in held)
+        knots.append((sum(points[k][0] * (-0.5 + (k + 0.5) * 2 / bins) for k in held) / n, v))
+    at, values = zip(*knots, strict=True)
+    return {i: float(np.clip(np.interp(z(s) @ beta, at, values), 0, 1)) for i, s in stats.items()}
+
+
+def test_scores_match_a_plain_version(spark):
+    rows, labels = corpus(240)
+    rng = random.Random(6)
+    rows += [(500, None), (501, "")]
+    labels = [(i, 1 - q if rng.random() < 0.25 else q) for i, q in labels] + [(3, None), (999, 1)]  # so that there are levels to pool
+    scored, _ = m.classify(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int"))
+    want = plain_scores(rows, labels)
+    assert len(set(want.values())) > 3
+    got = {r.doc_id: r.score for r in scored.collect()}
+    assert got == pytest.approx(want, abs=1e-6)
