@@ -5,12 +5,14 @@
    holds whatever the corpus. No other word is frequent, so later joins have no hot word.
 2. Codes: the most frequent words are head words, in classes; other words fall into classes by
    their last two bytes. Within such a class a word has its smoothed relative frequency, so every
-   token, seen or not, has a probability, and a text's probability is that of its tokens.
+   token, seen or not, has a probability, and a text's probability is that of its tokens. All
+   texts are written as codes once (two bytes a token), with what needs no network; from there on
+   texts aren't read again.
 3. Training: the corpus is dealt by hash to ``rounds``; in each, every partition trains on all of
    its documents from the current weights, and the weights are averaged by tokens (summed in
    Spark in two levels). One pass over all training rows, truncated backpropagation.
-4. Scoring: one pass over all texts carries the state through each whole document. Words that
-   aren't common leave it as (row, word) and meet their counts by a join on the word.
+4. Scoring: one pass over all codes carries the state through each whole document. Words that
+   aren't common are written as (row, word) and meet their counts by a join on the word.
 
 Defined results: a null text is empty and has one token, the end. A null id counts as empty text
 for the split. Repeated rows are scored each by itself (and counted each in training). With no
@@ -146,29 +148,6 @@ def class_totals(held):
     return run
 
 
-def indexed(batches, vocab, columns=()):
-    """Blocks of (indices of each text's words, with columns: its words that aren't common, and the
-    columns' values)."""
-    import numpy as np
-
-    index, common = vocab.indexer(), len(vocab.index)
-    docs, rare, others, size = [], [], [], 0
-    for b in batches:
-        rest = list(zip(*(b.column(c).to_pylist() for c in columns), strict=True)) if columns else []
-        for i, w in enumerate(words_of(b.column("text"))):
-            at = np.array(list(map(index, w)), np.int32)
-            docs.append(at)
-            if columns:
-                rare.append([w[k] for k in np.flatnonzero(at >= common).tolist()])
-                others.append(rest[i])
-            size += len(w) + 1
-            if size >= BLOCK_TOKENS:
-                yield docs, rare, others
-                docs, rare, others, size = [], [], [], 0
-    if docs:
-        yield docs, rare, others
-
-
 def sums(values, docs):
     """Sum of values[indices] for each array of indices."""
     import numpy as np
@@ -184,6 +163,88 @@ def with_end(codes, at):
     return np.append(codes[at], np.int16(END))
 
 
+def encode_partition(held):
+    """Per row: codes, tokens, and the parts of both scores that common words and classes give; words that
+    aren't common with their numbers."""
+
+    def run(batches):
+        import math
+        from itertools import chain
+
+        import numpy as np
+        import pyarrow as pa
+
+        vocab = received(held)
+        index, common, logs = vocab.indexer(), len(vocab.index), np.log10(vocab.counts + ALPHA)
+        logs[common:] = 0.0
+        end = math.log10(vocab.ends + ALPHA)
+        # What turns log10(c + 0.1) into a word's share of its class; head words are predicted whole.
+        norm = np.zeros(vocab.shape.codes)
+        norm[vocab.heads :] = np.log10(np.array(vocab.class_n) + ALPHA * (np.array(vocab.class_v) + 1))
+        share = np.where(vocab.codes < vocab.heads, 0.0, logs - norm[vocab.codes])
+
+        def out(batch, first, docs, rare):
+            part = batch.slice(first, len(docs))
+            offsets = np.cumsum([0, *map(len, rare)])
+            # The lists of words, without a Python list of all of them as objects of their own.
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(chain.from_iterable(rare), pa.binary()))
+            known = [len(at) - len(m) + (vocab.ends > 0) for at, m in zip(docs, rare, strict=True)]
+            codes = pa.array([with_end(vocab.codes, d).tobytes() for d in docs], pa.binary())
+            return pa.RecordBatch.from_arrays(
+                [*(part.column(c) for c in ("id", "held_out", "round")), pa.array([len(d) + 1 for d in docs], pa.int64()),
+                 pa.array(known, pa.int64()), pa.array(sums(logs, docs) + end), pa.array(sums(share, docs)), codes, lists],
+                [x.split()[0] for x in ENCODED.split(", ")],
+            )
+
+        for b in batches:
+            first, docs, rare, size = 0, [], [], 0
+            for i, w in enumerate(words_of(b.column("text"))):
+                at = np.array(list(map(index, w)), np.int32)
+                docs.append(at)
+                rare.append([w[k] for k in np.flatnonzero(at >= common).tolist()])
+                size += len(w) + 1
+                if size >= BLOCK_TOKENS:
+                    yield out(b, first, docs, rare)
+                    first, docs, rare, size = i + 1, [], [], 0
+            if docs:
+                yield out(b, first, docs, rare)
+        release()
+
+    return run
+
+
+ENCODED = "id long, held_out boolean, round int, n_tokens long, known long, base double, share double, codes binary, rare array<binary>"
+
+
+def blocks_of(batches):
+    """(batch, first row, codes of each text) for blocks of about BLOCK_TOKENS."""
+    import numpy as np
+
+    for b in batches:
+        first, docs, size = 0, [], 0
+        for i, raw in enumerate(b.column("codes")):
+            docs.append(np.frombuffer(raw.as_py(), np.int16))
+            size += len(docs[-1])
+            if size >= BLOCK_TOKENS:
+                yield b, first, docs
+                first, docs, size = i + 1, [], 0
+        if docs:
+            yield b, first, docs
+
+
+def gathered(batches):
+    """Codes of texts in blocks of about BLOCK_TOKENS, across batches: many texts run side by side."""
+    held, size = [], 0
+    for _, _, docs in blocks_of(batches):
+        held += docs
+        size += sum(map(len, docs))
+        if size >= BLOCK_TOKENS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def train_partition(held, rate: float):
     """Trains on all texts of the partition; yields the weights times the tokens seen, in chunks."""
 
@@ -191,10 +252,10 @@ def train_partition(held, rate: float):
         import numpy as np
         import pyarrow as pa
 
-        vocab, weights = received(held)
-        trainer = recurrent.Trainer(weights, vocab.shape, rate)
-        for docs, _, _ in indexed(batches, vocab):
-            trainer.learn([with_end(vocab.codes, d) for d in docs])
+        shape, weights = received(held)
+        trainer = recurrent.Trainer(weights, shape, rate)
+        for docs in gathered(batches):
+            trainer.learn(docs)
         if trainer.tokens:
             flat = recurrent.pack(trainer.w).astype(np.float64) * trainer.tokens
             parts = [flat[k : k + CHUNK] for k in range(0, len(flat), CHUNK)]
@@ -220,7 +281,7 @@ def add_up(table):
 
 
 def train(rows: DataFrame, vocab: Vocabulary, rounds: int, rate: float) -> dict:
-    """rows: (key, text); key is the hash that deals rows to rounds."""
+    """rows: (round, codes), dealt to rounds by hash."""
     import numpy as np
 
     by_code = np.zeros(vocab.shape.codes)
@@ -229,8 +290,8 @@ def train(rows: DataFrame, vocab: Vocabulary, rounds: int, rate: float) -> dict:
     weights = recurrent.initial(vocab.shape, by_code)
     schema = "chunk int, sums array<double>, tokens long"
     for k in range(rounds):
-        held = send(rows.sparkSession, (vocab, weights))
-        part = rows.where(F.pmod("key", F.lit(rounds)) == k).select("text").mapInArrow(train_partition(held, rate * 0.5**k), schema)
+        held = send(rows.sparkSession, (vocab.shape, weights))
+        part = rows.where(F.col("round") == k).select("codes").mapInArrow(train_partition(held, rate * 0.5**k), schema)
         # Two levels: no task adds up more than a part of the partitions' weights.
         some = part.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("chunk", "g")
         sums = some.applyInArrow(add_up, schema).groupBy("chunk").applyInArrow(add_up, schema).orderBy("chunk").collect()
@@ -242,44 +303,27 @@ def train(rows: DataFrame, vocab: Vocabulary, rounds: int, rate: float) -> dict:
 
 
 def score_partition(held):
-    """Per row: tokens, and the parts of both scores that common words and classes give; words that
-    aren't common with their numbers."""
+    """Per row of codes: what encode_partition gave, with the network's part of the score added."""
 
     def run(batches):
         import math
-        from itertools import chain
 
-        import numpy as np
         import pyarrow as pa
 
-        vocab, weights = received(held)
-        common, logs = len(vocab.index), np.log10(vocab.counts + ALPHA)
-        logs[common:] = 0.0
-        end = math.log10(vocab.ends + ALPHA)
-        # What turns log10(c + 0.1) into a word's share of its class; head words are predicted whole.
-        norm = np.zeros(vocab.shape.codes)
-        norm[vocab.heads :] = np.log10(np.array(vocab.class_n) + ALPHA * (np.array(vocab.class_v) + 1))
-        is_head = vocab.codes < vocab.heads
-        share = np.where(is_head, 0.0, logs - norm[vocab.codes])
-        for docs, missing, others in indexed(batches, vocab, ("id", "held_out")):
-            ll = recurrent.log_likelihoods(weights, vocab.shape, [with_end(vocab.codes, d) for d in docs]) / math.log(10)
-            base = sums(logs, docs) + end
-            model = ll + sums(share, docs)
-            known = [len(at) - len(m) + (vocab.ends > 0) for at, m in zip(docs, missing, strict=True)]
-            # The lists of words, without a Python list of all of them as objects of their own.
-            offsets = np.cumsum([0, *map(len, missing)])
-            rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(chain.from_iterable(missing), pa.binary()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in others], pa.int64()), pa.array([o[1] for o in others], pa.bool_()),
-                 pa.array([len(d) + 1 for d in docs], pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(model),
-                 rare],
-                ["id", "held_out", "n_tokens", "known", "base", "model", "rare"],
-            )
+        shape, weights = received(held)
+        for b, first, docs in blocks_of(batches):
+            part = b.slice(first, len(docs))
+            ll = recurrent.log_likelihoods(weights, shape, docs) / math.log(10)
+            kept = [part.column(c) for c in KEPT]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(ll + part.column("share").to_numpy())], [*KEPT, "model"])
         release()
 
     return run
 
 
+KEPT = ("row", "id", "held_out", "n_tokens", "known", "base")
+
+
 def log_likelihoods(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_out: int = 0, common_words: int = 200_000,
     heads: int = 24, width: int = 32, rest: int = 64, hidden: int = 16, rounds: int = 3, rate: float = 0.01,
@@ -288,7 +332,7 @@ def log_likelihoods(
     spark = docs.sparkSession
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), (remainder(F.col(id_col), folds) == held_out).alias("held_out"),
-        F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("key"),
+        F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(rounds)).cast("int").alias("round"), F.col(text_col).alias("text"),
     )
     training = rows.where(~F.col("held_out"))
     ends = training.count()
@@ -297,16 +341,19 @@ def log_likelihoods(
     held = send(spark, vocab)
     totals = counts.mapInArrow(class_totals(held), "k int, n long, v long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
     by_class = {r.k: r for r in totals.collect()}
+    held.destroy()
     vocab.class_n = [by_class[k].n if k in by_class else 0 for k in range(rest)]
     vocab.class_v = [by_class[k].v if k in by_class else 0 for k in range(rest)]
-    weights = train(training.select("key", "text"), vocab, rounds, rate)
-    schema = "id long, held_out boolean, n_tokens long, known long, base double, model double, rare array<binary>"
+    held = send(spark, vocab)
+    encoded = materialize(rows.mapInArrow(encode_partition(held), ENCODED).withColumn("row", F.monotonically_increasing_id()), "codes")
+    held.destroy()
+    weights = train(encoded.where(~F.col("held_out")), vocab, rounds, rate)
+    schema = "row long, id long, held_out boolean, n_tokens long, known long, base double, model double"
     scored = materialize(
-        rows.select("id", "held_out", "text").mapInArrow(score_partition(send(spark, (vocab, weights))), schema)
-        .withColumn("row", F.monotonically_increasing_id()), "scored",
-    )
+        encoded.select(*KEPT, "share", "codes").mapInArrow(score_partition(send(spark, (vocab.shape, weights))), schema), "scored"
+    )
     rare = (
-        scored.select("row", F.explode("rare").alias("word"))
+        encoded.select("row", F.explode("rare").alias("word"))
         .join(counts, "word", "left")
         .groupBy("row").agg(
             F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(ALPHA))).alias("log_sum"),
@@ -315,7 +362,7 @@ def log_likelihoods(
     )
     log_sum, seen = F.coalesce("log_sum", F.lit(0.0)), F.coalesce("seen", F.lit(0))
     norm = F.log10(F.lit(float(vocab.n)) + F.lit(ALPHA) * F.lit(float(vocab.v + 1)))
-    return scored.drop("rare").join(rare, "row", "left").select(
+    return scored.join(rare, "row", "left").select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + seen).alias("n_known"),
         F.lit(vocab.n).cast("long").alias("train_tokens"), (F.col("base") + log_sum - F.col("n_tokens") * norm).alias("base_score"),
         (F.col("model") + log_sum).alias("score"),
