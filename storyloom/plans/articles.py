@@ -1,7 +1,7 @@
 """The articles view over the tables ``documents`` and ``events``, and the stages that follow it.
 
 A document is an article, published when the event of the same number happened; its title is its
-first twelve words. Sources belong to eight publishers, and to four tiers.
+first twelve words. Every thousand documents belong to eight publishers, and sources to four tiers.
 """
 
 from __future__ import annotations
@@ -42,10 +42,12 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("published_at"))
     n = F.substring("source", 4, 9).cast("int")
     words = text.tokens(F.col("text"), 12)
+    # Eight publishers to every thousand documents, so that capped tables grow with the corpus.
+    publisher = F.concat(F.lit("pub"), (n % 8).cast("string"), F.lit("-"), F.floor(F.col("doc_id") / 1000).cast("string"))
     return d.join(e, "doc_id").select(
         F.col("doc_id").alias("id"), F.array_join(F.slice(words, 1, 12), " ").alias("title"), text.cap_words(F.col("text"), 40).alias("snippet"),
         F.concat(F.lit("https://pub"), (n % 8).cast("string"), F.lit(".example/a/"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("source_id"),
-        F.concat(F.lit("Source "), n.cast("string")).alias("source_name"), F.concat(F.lit("pub"), (n % 8).cast("string")).alias("publisher"),
+        F.concat(F.lit("Source "), n.cast("string")).alias("source_name"), publisher.alias("publisher"),
         F.element_at(F.array(*map(F.lit, TIERS)), n % 4 + 1).alias("source_tier"), "published_at",
     )
 
@@ -113,7 +115,7 @@ WITH RECURSIVE articles AS (
   SELECT d.doc_id AS id, array_to_string(w[1:12], ' ') AS title,
          CASE WHEN len(w) <= 40 THEN text ELSE rtrim(array_to_string(w[1:40], ' '), ',;:. ') || '…' END AS snippet,
          'https://pub' || (n % 8) || '.example/a/' || d.doc_id AS url, source AS source_id, 'Source ' || n AS source_name,
-         'pub' || (n % 8) AS publisher, ['wire', 'major', 'sectoral', 'aggregator'][n % 4 + 1] AS source_tier, e.ts AS published_at
+         'pub' || (n % 8) || '-' || (d.doc_id // 1000) AS publisher, ['wire', 'major', 'sectoral', 'aggregator'][n % 4 + 1] AS source_tier, e.ts AS published_at
   FROM (SELECT *, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w, CAST(substr(source, 4) AS INT) AS n FROM documents) d
   JOIN events e ON e.event_id = d.doc_id
 ), now AS (SELECT max(published_at) + INTERVAL 1 MINUTE AS as_of FROM articles
