@@ -1,5 +1,6 @@
 """A whole run from the command line.
 
+    python -m storyloom --free-models URL
     python -m storyloom --settings DIR [--no-llm] [--dump DIR] [--limit N] [--site DIR] [--ledger PATH]
                         [--push REMOTE --branch NAME] [--landed GLOB] [--state PATH]
 
@@ -28,7 +29,8 @@ from storyloom.sources import feeds, inference, settings, stored
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="storyloom")
-    p.add_argument("--settings", required=True)
+    p.add_argument("--settings", default=".")
+    p.add_argument("--free-models", metavar="URL", help="list what a provider offers at no cost, and end")
     p.add_argument("--no-llm", action="store_true")
     p.add_argument("--dump")
     p.add_argument("--limit", type=int)
@@ -42,6 +44,9 @@ def main(argv: list[str] | None = None) -> int:
     args = p.parse_args(argv)
     settings.dotenv(os.path.join(args.settings, ".env"))
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if args.free_models:
+        found = [r.asDict() for r in inference.free_models(spark, args.free_models).collect()]
+        return report({"ok": bool(found), "models": found})
     as_of = F.lit(args.as_of or datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
     load = lambda name: settings.load(os.path.join(args.settings, name))
     conf = load("sources.yml")

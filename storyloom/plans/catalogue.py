@@ -257,8 +257,12 @@ def cosine_pairs(spark, sf_dir):
 
 STOP = ("the", "of", "and", "to", "in", "is", "that", "de", "la", "le")
 EXTRA = ("this", "was")
-TFIDF_SQL = f"""
-, tw AS (SELECT id, list_filter(regexp_extract_all(lower(title || ' ' || title || ' ' || snippet), '[\\pL\\pN_]{{2,}}'), lambda x: x NOT IN {STOP}) AS w FROM articles
+
+
+def _tfidf_sql(texts: str) -> str:
+    """Stages that end with weights, of texts (id, text)."""
+    return f"""
+tw AS (SELECT id, list_filter(regexp_extract_all(lower(text), '[\\pL\\pN_]{{2,}}'), lambda x: x NOT IN {STOP}) AS w FROM ({texts})
 ), tt AS (SELECT id, unnest(w) AS term FROM tw UNION ALL SELECT id, w[i] || ' ' || w[i + 1] FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM tw)
 ), tf AS (SELECT id, term, count(*) AS c FROM tt GROUP BY id, term
 ), dn AS (SELECT count(*) AS n FROM tw
@@ -269,15 +273,25 @@ TFIDF_SQL = f"""
 """
 
 
+TFIDF_SQL = ", " + _tfidf_sql("SELECT id, title || ' ' || title || ' ' || snippet AS text FROM articles")
+
+
 def _weights(spark, sf_dir):
     rows = articles(spark, sf_dir).select("id", F.concat_ws(" ", "title", "title", "snippet").alias("text"))
     return similarity.tfidf(rows, stop_words=STOP, extra_stop_words=EXTRA)
 
 
-@query(TFIDF_SQL + "SELECT id, term, round(w, 6) AS w FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(w, 9) DESC, term) AS rn FROM weights) WHERE rn <= 5")
+@query(
+    "WITH " + _tfidf_sql("SELECT doc_id AS id, coalesce(text, '') AS text FROM documents")
+    + "SELECT id, term, round(w, 6) AS w FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(w, 9) DESC, term) AS rn FROM weights) WHERE rn <= 5",
+    staged=False,
+)
 def tfidf_topterms(spark, sf_dir):
+    """The five heaviest terms of each whole document."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = similarity.tfidf(rows, stop_words=STOP, extra_stop_words=EXTRA)
     w = Window.partitionBy("id").orderBy(F.desc(F.round("w", 9)), "term")
-    return _weights(spark, sf_dir).withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("id", "term", F.round("w", 6).alias("w"))
+    return found.withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("id", "term", F.round("w", 6).alias("w"))
 
 
 @query(TFIDF_SQL + "SELECT a.id AS a, b.id AS b, round(sum(a.w * b.w), 6) AS sim FROM weights a JOIN weights b ON a.term = b.term AND a.id < b.id GROUP BY a.id, b.id HAVING sum(a.w * b.w) >= 0.42")

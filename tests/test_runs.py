@@ -116,3 +116,16 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert feed["count"] == 3 and {i["hook"] for i in feed["items"]} == {"A new hook"}
     assert [r.value for r in spark.read.parquet(f"{tmp_path}/ledger").collect()] == ["25bps"]
     assert inference.probe(Fake([inference.Provider("p", "u", "m", "KEY"), inference.Provider("q", "u", "m", "NONE")])) == [("p", "m", "OK"), ("q", "m", "no key")]
+
+
+def test_models_at_no_cost(spark):
+    from storyloom.sources import inference
+
+    listed = {"data": [
+        {"id": "a", "pricing": {"prompt": "0", "completion": "0"}, "context_length": 8}, {"id": "b", "pricing": {"prompt": "0.1", "completion": "0"}, "context_length": 99},
+        {"id": "c", "pricing": {"prompt": 0, "completion": 0.0}, "context_length": 32}, {"id": "d"}, {"id": "e", "pricing": {"prompt": "free", "completion": "0"}},
+    ]}
+    asked = []
+    got = inference.free_models(spark, "https://p/v1", lambda url: asked.append(url) or listed).collect()
+    assert [r.model for r in got] == ["c", "a"] and asked == ["https://p/v1/models"]
+    assert inference.free_models(spark, "u", lambda url: {"data": []}).count() == 0
