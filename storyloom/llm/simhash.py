@@ -4,14 +4,16 @@ Fingerprints are linked at 2 or fewer differing bits of 64. Cut into 2 segments
 one segment differs by at most one bit. Each distinct fingerprint is indexed under its first
 segment with each bit made a wildcard (32 variants); where the first segment takes both
 differing bits, the second is equal, so one exact key of the second segment covers the rest.
-Equal keys meet by a shuffle, and fingerprints that share a key are verified on all 64 bits.
+Equal keys meet by a range shuffle on key and fingerprint, so that a key which very many share is
+split between tasks, and fingerprints that share a key are verified on all 64 bits.
 A pair is reported under one key only: the wildcard at its differing bit.
 
 Copies never meet as pairs: documents are grouped by fingerprint first (partial aggregation).
 A key with more than ``max_bucket`` distinct fingerprints isn't verified pair by pair: its
 members get a second wildcard (32 variants, or 496 where the key's segment is equal), under
 which all members are within 2 bits of each other, so linking each to the smallest keeps every
-component. Rows of such a key are streamed, never collected.
+component. Rows of such a key are streamed, never collected. The keys at a task's ends, which may go
+on in its neighbours, are treated alike, whatever their size.
 
 Defined results: a null or empty text has fingerprint zero, linked like any other. Repeated
 rows get equal results. Rows with a null id get their class; a class of null ids only has a
@@ -101,7 +103,8 @@ def variant_keys(batches):
 
 
 def verify(max_bucket: int):
-    """Over rows sorted by key: links of pairs in small buckets (key -1), rows of others as they are."""
+    """Over a range of rows sorted by key: links of pairs in small buckets (key -1), rows of others, and of
+    the first and last key, as they are."""
 
     def run(batches):
         import numpy as np
@@ -128,11 +131,14 @@ def verify(max_bucket: int):
                     yield out(np.full(ok.sum(), -1), a[ok], b[ok])
 
         keys, fps, hot = np.empty(0, np.int64), np.empty(0, np.int64), None
+        begun = False
         for batch in batches:
             keys = np.concatenate([keys, batch.column("key").to_numpy()])
             fps = np.concatenate([fps, batch.column("fp").to_numpy()])
             if not len(keys):
                 continue
+            if not begun:
+                hot, begun = keys[0], True
             starts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1))
             sizes = np.diff(np.concatenate((starts, [len(keys)])))
             large = sizes > max_bucket
@@ -149,7 +155,7 @@ def verify(max_bucket: int):
                 done[-tail:] = False
             yield from links(keys[done], fps[done])
             keys, fps = (keys[-tail:], fps[-tail:]) if tail else (keys[:0], fps[:0])
-        yield from links(keys, fps)
+        yield out(keys, fps, fps)
 
     return run
 
@@ -207,7 +213,7 @@ def fingerprint_links(distinct: DataFrame, max_bucket: int = 64) -> DataFrame:
     or fewer differing bits."""
     found = materialize(
         distinct.mapInArrow(variant_keys, "key long, fp long")
-        .repartition("key")
+        .repartitionByRange("key", "fp")
         .sortWithinPartitions("key", "fp")
         .mapInArrow(verify(max_bucket), "key long, a long, b long"),
         "links",

@@ -74,6 +74,37 @@ def test_links_give_the_components_of_all_pairs(spark, max_bucket):
     assert got == {f: want[f] for f in linked}
 
 
+def test_a_key_that_many_share_is_split_between_tasks(spark):
+    """Fingerprints with one second segment, and with one first segment, over tasks of a few rows."""
+    rng = random.Random(3)
+    half = rng.getrandbits(32)
+    fps = {half << 32 | rng.getrandbits(12) for _ in range(200)} | {rng.getrandbits(12) << 32 | half for _ in range(200)}
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        links = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in signed], "fp long"), 64).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    root = {f: f for f in signed}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for a, b in links:
+        assert ((a ^ b) & (2**64 - 1)).bit_count() <= 2
+        root[find(a)] = find(b)
+    want = plain_components({f & (2**64 - 1): f for f in signed})
+    groups = {}
+    for f in signed:
+        groups.setdefault(find(f), set()).add(want[f & (2**64 - 1)])
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want.values()))
+
+
 def test_nulls_ties_copies_and_clashing_columns(spark):
     rows = [(5, None, "x"), (3, "", "y"), (None, "One two three four", "z"), (9, "one TWO three four", "z"),
             (9, "one TWO three four", "z"), (2, "quite another text here", "z")]
