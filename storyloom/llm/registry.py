@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storyloom.llm import decontaminate, language, language_model, line_dedup, nearest, packing, quality, simhash, tool_calls, warc
+from storyloom.llm import decontaminate, language, language_model, line_dedup, nearest, packing, quality, simhash, token_files, tool_calls, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_tool_calls": tool_calls.op8_tool_calls,
     "op9_quality": quality.op9_quality,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_token_files": token_files.op11_token_files,
 }
 
 SQL = {
