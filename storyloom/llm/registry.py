@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storyloom.llm import decontaminate, divergence, language, language_model, line_dedup, nearest, packing, quality, simhash, token_files, tool_calls, warc
+from storyloom.llm import decontaminate, divergence, language, language_model, line_dedup, nearest, packing, quality, search, simhash, token_files, tool_calls, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_token_files": token_files.op11_token_files,
+    "op12_ranked_search": search.op12_ranked_search,
     "op13_source_divergence": divergence.op13_source_divergence,
 }
 
@@ -24,5 +25,6 @@ SQL = {
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op8_tool_calls": tool_calls.OP8_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
+    "op12_ranked_search": search.OP12_SQL,
     "op13_source_divergence": divergence.OP13_SQL,
 }
