@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions import text
-from storyloom.operators.components import connected_components
+from storyloom.operators.claims import greedy_losers
 from storyloom.operators.normalize import RETENTION_HOURS, within_retention
 
 VERSION = "1.0"
@@ -38,34 +38,18 @@ def upsert(previous: DataFrame, new: DataFrame, key: str = "cluster_id") -> Data
     return previous.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def merge(new: DataFrame, previous: DataFrame) -> DataFrame:
+def merge(new: DataFrame, previous: DataFrame, fold_owners: int = 100_000) -> DataFrame:
     """Items of both runs, newer ones in the place of older ones of the same id or with a shared URL.
 
     Newest update first, an item goes if it shares a URL with one that is kept; what goes claims
-    nothing. Items that share URLs, directly or through others, are one component; components don't
-    bear on each other, so each is folded by itself, and items without URLs aren't folded at all.
+    nothing. Decided in parallel rounds, see ``claims``; items without URLs always stay. An item without a time of
+    its update comes first.
     """
     both = upsert(previous, new)
-    urls = both.select("cluster_id", F.explode(F.array_distinct(F.transform("sources", lambda s: s["url"]))).alias("url")).where(F.col("url") != "")
-    # Items meet on the smallest id of a URL, so a URL that many share makes no pairs.
-    first = urls.groupBy("url").agg(F.min("cluster_id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    edges = urls.join(first, "url").select(F.col("first").alias("a"), F.col("cluster_id").alias("b"))
-    found = connected_components(edges, "a", "b").select(F.col("id").alias("cluster_id"), "component")
-    own = urls.groupBy("cluster_id").agg(F.collect_set("url").alias("urls"))
-    rows = found.join(own, "cluster_id").join(both.select("cluster_id", "updated_at"), "cluster_id")
+    urls = both.select("cluster_id", "updated_at", F.explode(F.transform("sources", lambda s: s["url"])).alias("key")).where(F.col("key") != "")
     micros = F.unix_micros(F.col("updated_at").cast("timestamp"))
-    ordered = F.array_sort(F.collect_list(F.struct((-micros).alias("age"), "cluster_id", "urls")))
-    state = F.struct(F.array().cast("array<string>").alias("kept"), F.array().cast("array<string>").alias("claimed"))
-
-    def step(s, x):
-        clash = F.arrays_overlap(s["claimed"], x["urls"])
-        kept = F.when(clash, s["kept"]).otherwise(F.concat(s["kept"], F.array(x["cluster_id"])))
-        claimed = F.when(clash, s["claimed"]).otherwise(F.concat(s["claimed"], x["urls"]))
-        return F.struct(kept.alias("kept"), claimed.alias("claimed"))
-
-    kept = rows.groupBy("component").agg(ordered.alias("all_")).select(F.explode(F.aggregate("all_", state, step, lambda s: s["kept"])).alias("cluster_id"))
-    gone = found.join(kept, "cluster_id", "left_anti").select("cluster_id")
-    return both.join(gone, "cluster_id", "left_anti").orderBy(F.desc("published_at"), "cluster_id")
+    gone = greedy_losers(urls.withColumnRenamed("cluster_id", "owner"), [(-micros).alias("age")], fold_owners=fold_owners)
+    return both.join(gone.withColumnRenamed("owner", "cluster_id"), "cluster_id", "left_anti").orderBy(F.desc("published_at"), "cluster_id")
 
 
 def feed_items(items: DataFrame) -> DataFrame:
