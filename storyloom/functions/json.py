@@ -54,21 +54,25 @@ def _repaired(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-def outermost(text: Column) -> Column:
-    """From the first { to the last }, or null."""
-    start = F.position(F.lit("{"), text)
-    end = F.length(text) - F.position(F.lit("}"), F.reverse(text)) + 1
-    return F.when((start > 0) & text.contains("}") & (end > start), F.substr(text, start, end - start + 1))
+#: Where the JSON of a reply may be, in the order of trial: as the first group of a pattern, and whether it is
+#: mended before it is read. A whole reply, in a fence or not; else from the first brace to the last one.
+SPANS = (
+    (r"(?s)^\s*(?:```(?:json)?\s*)?(.*?)(?:\s*```)?\s*$", False),
+    (r"(?s)^[^{]*(\{.*\})", False),
+    (r"(?s)^[^{]*(\{.*\})", True),
+)
+
+
+def spans(reply: str):
+    """The texts in a reply that may be its JSON."""
+    for pattern, mended in SPANS:
+        if found := re.search(pattern, reply):
+            yield repair(found[1]) if mended else found[1]
 
 
 def tolerant_json(reply: Column) -> Column:
-    """The JSON in a model's reply as text, or null: without fences, else the outermost object,
-    else that object repaired. Only what the built-in parser refuses is handed to the repair, other rows
-    as nulls."""
-    text = F.regexp_replace(reply, r"(?U)^\s+|\s+$", "")
-    fenced = F.regexp_replace(F.regexp_replace(text, r"^```(?:json)?\s*", ""), r"\s*```$", "")
-    text = F.when(text.startswith("```"), fenced).otherwise(text)
-    span = outermost(text)
+    """The JSON in a model's reply as text, or null: the first of its spans that is JSON. Only what the built-in
+    parser refuses is handed to the repair, other rows as nulls."""
 
     def ok(c: Column) -> Column:
         # The parser stops after one value; as an array's only element, it must be the whole text.
@@ -76,7 +80,11 @@ def tolerant_json(reply: Column) -> Column:
         whole = F.try_parse_json(alone).isNotNull() & (F.json_array_length(alone) == 1)
         return F.when(F.try_parse_json(c).isNotNull() & whole, c)
 
-    return F.coalesce(ok(text), ok(span), _repaired(F.when(ok(text).isNull() & ok(span).isNull(), span)))
+    found = None
+    for pattern, mended in SPANS:
+        span = F.nullif(F.regexp_extract(reply, "(?U)" + pattern, 1), F.lit(""))
+        found = ok(span) if found is None else F.coalesce(found, _repaired(F.when(found.isNull(), span)) if mended else ok(span))
+    return found
 
 
 def leaves(schema: T.StructType, row: Column | None = None) -> Column:
