@@ -6,26 +6,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import text
+from storyloom.operators.claims import greedy_losers
 from storyloom.shared import materialize
 
 NEAR_DUPLICATE = 0.82
 WINDOW_HOURS = 18
 
 
-def near_duplicates(articles: DataFrame, threshold: float = NEAR_DUPLICATE, title: str = "title") -> DataFrame:
+def near_duplicates(articles: DataFrame, threshold: float = NEAR_DUPLICATE, title: str = "title", fold_articles: int = 500) -> DataFrame:
     """Articles less those whose title repeats a kept, earlier one of their masthead.
 
     The comparison is with kept articles only, so of A like B like C, with A unlike C, both A and C
-    stay. A masthead's articles are one group: cap them first (publisher_cap), as the pipeline does.
+    stay. The articles of a masthead with at most fold_articles are one row, in which they are compared in order. In
+    a larger one, similar titles are found by similar_sets, and who stays by parallel greedy claims: an article claims
+    all its similar pairs, and of equal titles only the first can stay.
     """
     grams = articles.select(
         "id", "published_at", text.masthead(F.col("publisher"), F.col("source_id")).alias("masthead_"), text.word_grams(F.col(title)).alias("grams")
     )
+    grams = materialize(grams, "grams")
+    large = grams.groupBy("masthead_").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fold_articles).select("masthead_")
+    if large.isEmpty():
+        return articles.join(_folded(grams, threshold), "id", "left_semi")
+    large = materialize(large, "large")
+    same = F.col("masthead_").eqNullSafe(F.col("large_"))
+    named = large.withColumnRenamed("masthead_", "large_")
+    kept = _folded(grams.join(named, same, "left_anti"), threshold)
+    gone = _repeated(materialize(grams.join(named, same, "left_semi"), "large"), threshold)
+    lost = grams.join(named, same, "left_semi").select("id").join(gone, "id", "left_anti")
+    return articles.join(kept.unionAll(lost), "id", "left_semi")
+
+
+def _folded(grams: DataFrame, threshold: float) -> DataFrame:
+    """(id) of those that stay; a masthead is a row."""
     ordered = F.array_sort(F.collect_list(F.struct("published_at", "id", "grams")))
-    kind = dict(articles.dtypes)
+    kind = dict(grams.dtypes)
     start = F.array().cast(f"array<struct<published_at:{kind['published_at']},id:{kind['id']},grams:array<string>>>")
-    grouped = materialize(grams, "grams").groupBy("masthead_").agg(ordered.alias("all_"))
-    kept = grouped.select(
+    return grams.groupBy("masthead_").agg(ordered.alias("all_")).select(
         F.explode(
             F.aggregate(
                 "all_", start,
@@ -35,7 +52,20 @@ def near_duplicates(articles: DataFrame, threshold: float = NEAR_DUPLICATE, titl
             )
         ).alias("k")
     ).select("k.id")
-    return articles.join(kept, "id", "left_semi")
+
+
+def _repeated(grams: DataFrame, threshold: float) -> DataFrame:
+    """(id) of those that go, of mastheads of any size."""
+    # Classes take the place of their first articles, whose number stands for their time, too.
+    at = F.struct("published_at", "id")
+    members, pairs = similar_sets(grams, threshold, within_cols=("masthead_",))
+    members, pairs = materialize(members, "members"), materialize(pairs, "pairs")
+    rows = members.join(grams.select("id", "published_at"), "id")
+    first = materialize(rows.groupBy("class_id").agg(F.min(at).alias("first")), "firsts")
+    copies = rows.join(first, "class_id").where(at != F.col("first")).select("id")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id"), F.struct("a", "b").alias("key")).join(first, "class_id")
+    gone = greedy_losers(ends.select(F.col("class_id").alias("owner"), "key", "first"), [F.col("first")])
+    return copies.unionAll(gone.join(first, F.col("owner") == F.col("class_id")).select("first.id"))
 
 
 def within(a: Column, b: Column, hours: int = WINDOW_HOURS) -> Column:
@@ -43,36 +73,114 @@ def within(a: Column, b: Column, hours: int = WINDOW_HOURS) -> Column:
     return F.abs(micros(a) - micros(b)) <= hours * 3_600_000_000
 
 
+def similar_sets(rows: DataFrame, threshold: float, hours: int | None = None, within_cols: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Classes of rows (id, grams, with hours published_at, and within_cols), and the similar ones among them.
+
+    Returns members (id, class_id, n: the class's rows) and pairs (a, b, sim, n_a, n_b) of class ids with a < b.
+    Rows are similar from the threshold on and, with hours, if they are no further apart in time; without grams they
+    are similar to none and in no class; those of different within_cols are never compared.
+
+    A class is a set of rows with equal grams, its id their smallest one. With hours, it is a run of these: in order of
+    time, no row is further from the next than the hours. So all of a class are connected, and two classes have
+    similar rows in reach of each other exactly if they have similar grams and the gap between their times isn't
+    longer than the hours. Copies cost a row each in the members, and no pair.
+
+    The join is exact and over classes. Grams are numbered, the rarest first, and two sets that are so similar share one
+    of the first few of either (prefix filter). Sets that share a gram at some place have no more in common than
+    what follows there, in the set with less left (positional filter), nor than is left without what a signature
+    of 64 bits shows the other to lack (suffix filter). Each pair is verified where it meets for the first time, on the
+    numbers that both sides bring along, so no pair is shuffled to be counted or compared.
+    """
+    span = hours * 3_600_000_000 if hours else None
+    at = F.unix_micros(F.col("published_at").cast("timestamp")) if hours else F.lit(0).cast("long")
+    grams = F.array_sort(F.array_compact(F.array_distinct("grams")))
+    slot = F.floor(at / span).cast("long") if hours else F.lit(0).cast("long")
+    base = materialize(
+        rows.select("id", F.struct(F.lit(0).alias("_"), *within_cols).alias("scope"), grams.alias("grams"), at.alias("at"), slot.alias("slot")).where(F.size("grams") > 0), "grams"
+    )
+    # Rows of one slot are within the hours of each other; what a set has in one is summed up before the shuffle.
+    in_slot = base.groupBy("scope", "grams", "slot").agg(F.min("id").alias("id"), F.min("at").alias("start"), F.max("at").alias("end"), F.count(F.lit(1)).alias("n"))
+    if hours:
+        by_time = Window.partitionBy("scope", "grams").orderBy("slot")
+        new = F.coalesce(F.col("start") - F.lag("end").over(by_time) > span, F.lit(True))
+        in_slot = in_slot.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(by_time))
+    else:
+        in_slot = in_slot.withColumn("run", F.lit(1).cast("long"))
+    in_slot = materialize(in_slot.select("scope", "grams", "slot", "run", "id", "start", "end", "n"), "slots")
+    classes = in_slot.groupBy("scope", "grams", "run").agg(
+        F.min("id").alias("class_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")
+    )
+    classes = materialize(classes, "classes")
+    home = in_slot.select("scope", "grams", "slot", "run").join(classes.select("scope", "grams", "run", "class_id", "n"), ["scope", "grams", "run"])
+    members = base.join(home.drop("run"), ["scope", "grams", "slot"]).select("id", "class_id", "n")
+    return members, _class_pairs(classes, threshold, span)
+
+
+def _class_pairs(classes: DataFrame, threshold: float, span: int | None) -> DataFrame:
+    df = classes.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # Written with numbers that follow the order of ranges and of rows in them.
+    numbered = materialize(df.repartitionByRange("df", "g").sortWithinPartitions("df", "g").select("g", F.monotonically_increasing_id().alias("k")), "numbers")
+    known = classes.select("class_id", F.explode("grams").alias("g")).join(numbered, "g").groupBy("class_id").agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    # Grams of one class only are the rarest: they come first, and as nothing shares them they need no number.
+    one = classes.join(known, "class_id").select("scope", "class_id", "n", "start", "end", F.size("grams").alias("m"), "ks")
+    bits = F.aggregate("ks", F.lit(0).cast("long"), lambda s, k: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(k), F.lit(64)).cast("int"))))
+    one = one.withColumns({"alone": F.col("m") - F.size("ks"), "bits": bits})
+    prefix = F.col("m") - F.ceil(F.col("m") * threshold - 1e-9).cast("int") + 1  # of all grams, those alone among them
+    keys = one.withColumn("prefix", F.slice("ks", F.lit(1), F.greatest(prefix - F.col("alone"), F.lit(0))))
+    keys = materialize(keys.select("*", F.posexplode("prefix").alias("i", "k")).drop("prefix"), "prefixes")
+    first = (lambda c: F.floor(c / span)) if span else (lambda c: F.lit(0))
+    reach = F.explode(F.sequence(first(F.col("start")), first(F.col("end")) + 1)) if span else F.lit(0).cast("long")
+    names = ["class_id", "n", "start", "end", "m", "ks", "bits", "i"]
+    left = keys.select("scope", "k", *(F.col(c).alias(f"{c}_x") for c in names)).withColumn("slot", F.lit(0).cast("long"))
+    if span:
+        left = keys.select("scope", "k", *(F.col(c).alias(f"{c}_x") for c in names), reach.alias("slot"))
+    right = keys.select("scope", "k", *(F.col(c).alias(f"{c}_y") for c in names), first(F.col("start")).cast("long").alias("slot"))
+    x, y = (lambda c: F.col(f"{c}_x")), (lambda c: F.col(f"{c}_y"))
+    # The one that begins first is on the left, and the other begins in one of its slots.
+    earlier = (x("start") < y("start")) | ((x("start") == y("start")) & (x("class_id") < y("class_id")))
+    near = (y("start") - x("end") <= span) if span else F.lit(True)
+    need = threshold / (1 + threshold) * (x("m") + y("m")) - 1e-9  # elements in common for the threshold
+    sized = F.least(x("m"), y("m")) >= threshold * F.greatest(x("m"), y("m")) - 1e-9
+    placed = F.least(F.size(x("ks")) - x("i"), F.size(y("ks")) - y("i")) >= need
+    lacks = lambda p, q: F.size(p("ks")) - F.bit_count(p("bits").bitwiseAND(F.bitwise_not(q("bits"))))
+    signed = F.least(lacks(x, y), lacks(y, x)) >= need
+    met = left.join(right, ["scope", "k", "slot"]).where(earlier & near & sized & placed & signed)
+    # A pair is compared at the first number that both have.
+    met = met.where(F.size(F.array_intersect(F.slice(x("ks"), F.lit(1), x("i")), F.slice(y("ks"), F.lit(1), y("i")))) == 0)
+    common = F.size(F.array_intersect(x("ks"), y("ks")))
+    met = met.withColumn("sim", common / (x("m") + y("m") - common)).where(F.col("sim") >= threshold)
+    swap = x("class_id") > y("class_id")
+    side = lambda c, p, q: F.when(swap, q(c)).otherwise(p(c))
+    return met.select(
+        side("class_id", x, y).alias("a"), side("class_id", y, x).alias("b"), "sim", side("n", x, y).alias("n_a"), side("n", y, x).alias("n_b")
+    )
+
+
+def class_links(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b): as few links as connect what is similar: between classes, and from each row to its class."""
+    return pairs.select("a", "b").unionAll(members.where("id <> class_id").select(F.col("class_id").alias("a"), F.col("id").alias("b")))
+
+
 def jaccard_pairs(rows: DataFrame, threshold: float, hours: int | None = None) -> DataFrame:
     """(a, b, sim) of rows (id, published_at, grams) with a < b, at the threshold or above, and no
     further apart in time than the hours.
 
-    Exact, by prefix filter: two sets that are so similar share one of the first few grams of
-    either, counted from the rarest; only these are joined on, together with the time slot, and
-    candidates are verified. A gram that nearly all rows hold is in no prefix but of rows that have
-    nothing rarer.
+    Every pair is a row, those of copies as well: as many as the square of a class's size. similar_sets() has the same
+    links without.
     """
-    base = materialize(rows.where(F.size("grams") > 0).select("id", "published_at", "grams"), "grams")
-    df = base.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    ranked = (
-        base.select("id", F.explode("grams").alias("g")).join(df, "g")
-        .groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("by"))
-    )
-    m = F.size("by")
-    prefix = F.slice("by", F.lit(1), m - F.ceil(m * threshold - 1e-9).cast("int") + 1)
-    slot = F.floor(F.unix_micros(F.col("published_at").cast("timestamp")) / (hours * 3_600_000_000)) if hours else F.lit(0)
-    keys = materialize(base.join(ranked, "id").select("id", "published_at", slot.alias("slot"), m.alias("m"), F.explode(prefix).alias("p")).select("id", "slot", "m", "p.g"), "prefixes")
-    left = keys.select(F.col("id").alias("a"), "g", F.col("m").alias("ma"), F.explode(F.array("slot", F.col("slot") + 1) if hours else F.array("slot")).alias("slot"), F.col("slot").alias("sa"))
-    right = keys.select(F.col("id").alias("b"), "g", F.col("m").alias("mb"), "slot")
-    # Neighbouring slots are joined one way; pairs of one slot once.
-    once = (F.col("sa") < F.col("slot")) | (F.col("a") < F.col("b"))
-    sized = F.least("ma", "mb") >= threshold * F.greatest("ma", "mb") - 1e-9
-    found = left.join(right, ["g", "slot"]).where((F.col("a") != F.col("b")) & once & sized)
-    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda k: base.select(F.col("id").alias(k), F.col("grams").alias(f"g{k}"), F.col("published_at").alias(f"t{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = within(F.col("ta"), F.col("tb"), hours) if hours else F.lit(True)
-    return both.withColumn("sim", text.jaccard(F.col("ga"), F.col("gb"))).where(near & (F.col("sim") >= threshold)).select("a", "b", "sim")
+    members, pairs = similar_sets(rows, threshold, hours)
+    members, pairs = materialize(members, "members"), materialize(pairs, "pairs")
+    of = lambda k: members.select(F.col("id").alias(k), F.col("class_id").alias(f"c{k}"))
+    every = pairs.select(F.col("a").alias("cx"), F.col("b").alias("cy"), "sim").unionAll(
+        members.select(F.col("class_id").alias("cx"), F.col("class_id").alias("cy"), F.lit(1.0).alias("sim")).distinct()
+    )
+    met = every.join(of("x"), "cx").join(of("y"), "cy").where((F.col("cx") != F.col("cy")) | (F.col("x") < F.col("y")))
+    out = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "sim")
+    if not hours:
+        return out
+    times = rows.select("id", "published_at")
+    side = lambda k: times.select(F.col("id").alias(k), F.col("published_at").alias(f"t{k}"))
+    return out.join(side("a"), "a").join(side("b"), "b").where(within(F.col("ta"), F.col("tb"), hours)).select("a", "b", "sim")
 
 
 def cosine_pairs(rows: DataFrame, threshold: float, hours: int | None = None, block_rows: int = 2048) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from storyloom.functions import text
 from storyloom.operators import normalize, similarity, stories
 from storyloom.operators.stories import Label
+from storyloom.shared import materialize
 
 TIERS = ("wire", "major", "sectoral", "aggregator")
 
@@ -64,13 +65,18 @@ def fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(rows: DataFrame) -> DataFrame:
+    """As few links (a, b) as connect the articles of a story."""
+    return similarity.class_links(*title_classes(rows, similarity.WINDOW_HOURS))
+
+
+def title_classes(rows: DataFrame, hours: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Members of classes of equal titles' grams, and pairs of similar classes; see similar_sets."""
     grams = rows.select("id", "published_at", text.word_grams(F.col("title")).alias("grams"))
-    return similarity.jaccard_pairs(grams, PAIR_THRESHOLD, similarity.WINDOW_HOURS)
+    members, pairs = similarity.similar_sets(grams, PAIR_THRESHOLD, hours)
+    return materialize(members, "members"), pairs
 
 
 def story_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from storyloom.shared import materialize
-
     rows = materialize(fresh(spark, sf_dir), "fresh")
     return stories.stories(stories.assign_stories(rows, pairs(rows)))
 
@@ -87,8 +93,6 @@ def published(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from storyloom.shared import materialize
-
     rows = materialize(tagged(spark, sf_dir), "tagged")
     now = as_of(articles(spark, sf_dir))
     return stories.score(stories.seen_before(rows, *published(rows)), now, NOISE)

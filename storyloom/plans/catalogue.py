@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from storyloom.functions import dates, json, text
 from storyloom.operators import archive, compliance, ledger, normalize, similarity, stories
 from storyloom.plans.articles import (
-    NOISE, SQL_STAGES, WATCHLIST, articles, as_of, fresh, pairs, published, scored, story_rows, table, tagged,
+    NOISE, SQL_STAGES, WATCHLIST, articles, as_of, fresh, pairs, published, scored, story_rows, table, tagged, title_classes,
 )
 from storyloom.shared import materialize
 
@@ -219,25 +219,40 @@ def title_ngrams(spark, sf_dir):
 # --- similarity ---------------------------------------------------------------------------------
 
 
+def _classes_sql(near: str) -> str:
+    """Pairs of classes and their members, of classes (class_id, gs, run, n, s, e)."""
+    return f""", x AS (SELECT class_id, n, s, e, unnest(gs) AS g, len(gs) AS m FROM cls)
+    SELECT 'pair' AS part, a.class_id AS a, b.class_id AS b, round(count(*) / (a.m + b.m - count(*)), 6) AS sim, a.n AS n_a, b.n AS n_b
+    FROM x a JOIN x b ON a.g = b.g AND a.class_id < b.class_id {near}
+    GROUP BY a.class_id, b.class_id, a.m, b.m, a.n, b.n HAVING count(*) / (a.m + b.m - count(*)) >= 0.3
+    UNION ALL SELECT 'member', c.class_id, r.id, CAST(1 AS DOUBLE), c.n, 1 FROM runs r JOIN cls c ON c.gs = r.gs AND c.run = r.run"""
+
+
+def _classes(members, pairs):
+    """Both tables in one: a pair of classes, or a class and a member."""
+    one = members.select(F.lit("member").alias("part"), F.col("class_id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim"), F.col("n").alias("n_a"), F.lit(1).cast("long").alias("n_b"))
+    return pairs.select(F.lit("pair").alias("part"), "a", "b", F.round("sim", 6).alias("sim"), "n_a", "n_b").unionByName(one)
+
+
 @query(
-    """, x AS (SELECT id, unnest(grams) AS g, len(grams) AS n FROM grams)
-    SELECT a.id AS a, b.id AS b, round(count(*) / (a.n + b.n - count(*)), 6) AS sim FROM x a JOIN x b ON a.g = b.g AND a.id < b.id
-    GROUP BY a.id, b.id, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.3"""
+    """, runs AS (SELECT id, list_sort(grams) AS gs, 1 AS run FROM grams WHERE len(grams) > 0)
+    , cls AS (SELECT gs, run, min(id) AS class_id, count(*) AS n, 0 AS s, 0 AS e FROM runs GROUP BY gs, run)""" + _classes_sql("")
 )
 def jaccard_pairs(spark, sf_dir):
-    rows = articles(spark, sf_dir).select("id", "published_at", text.word_grams(F.col("title")).alias("grams"))
-    return similarity.jaccard_pairs(rows, 0.3).select("a", "b", F.round("sim", 6).alias("sim"))
+    """Similar titles: pairs of classes of equal ones, and the classes' members."""
+    return _classes(*title_classes(articles(spark, sf_dir)))
 
 
 @query(
-    """, x AS (SELECT id, published_at, unnest(grams) AS g, len(grams) AS n FROM grams)
-    SELECT a.id AS a, b.id AS b, round(count(*) / (a.n + b.n - count(*)), 6) AS sim FROM x a JOIN x b ON a.g = b.g AND a.id < b.id
-      AND abs(epoch_us(a.published_at) - epoch_us(b.published_at)) <= 64800000000
-    GROUP BY a.id, b.id, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.3"""
-)
+    """, r AS (SELECT id, list_sort(grams) AS gs, epoch_us(published_at) AS us FROM grams WHERE len(grams) > 0)
+    , steps AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY gs ORDER BY us, id) <= 64800000000 THEN 0 ELSE 1 END AS step FROM r)
+    , runs AS (SELECT *, sum(step) OVER (PARTITION BY gs ORDER BY us, id ROWS UNBOUNDED PRECEDING) AS run FROM steps)
+    , cls AS (SELECT gs, run, min(id) AS class_id, count(*) AS n, min(us) AS s, max(us) AS e FROM runs GROUP BY gs, run)"""
+    + _classes_sql("AND greatest(a.s, b.s) - least(a.e, b.e) <= 64800000000")
+)
 def time_window_pairs(spark, sf_dir):
-    rows = articles(spark, sf_dir).select("id", "published_at", text.word_grams(F.col("title")).alias("grams"))
-    return similarity.jaccard_pairs(rows, 0.3, 18).select("a", "b", F.round("sim", 6).alias("sim"))
+    """Similar titles within 18 hours: pairs of classes, which are runs of equal ones, and the classes' members."""
+    return _classes(*title_classes(articles(spark, sf_dir), similarity.WINDOW_HOURS))
 
 
 @query("SELECT id FROM fresh")

@@ -63,6 +63,45 @@ def test_jaccard_pairs_match_all_pairs(spark, hours, threshold):
     assert got == {k: pytest.approx(v) for k, v in want.items()}
 
 
+def test_near_duplicates_of_large_mastheads_match_the_fold(spark):
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(12)]
+    rows = [article(f"a{k:03}", " ".join(words[j : j + 9]) + rng.choice(["", " x", " y z"]) if k % 4 else rng.choice(["", "é", "same old title"]), rng.randint(0, 50), "s", f"p{k % 2}" if k % 9 else None)
+            for k in range(160) for j in [rng.randint(0, 4)]]
+    d = spark.createDataFrame(rows, ARTICLE).repartition(3)
+    kept = lambda n: sorted(r.id for r in similarity.near_duplicates(d, 0.7, fold_articles=n).collect())
+    assert kept(60) == kept(500) == kept(1) and 20 < len(kept(500)) < 140
+
+
+@pytest.mark.parametrize("hours", [None, 18])
+def test_similar_classes_connect_what_pairs_do(spark, hours):
+    rng = random.Random(9)
+    rows = [(k, T0 + timedelta(hours=rng.randint(0, 200)), rng.choice(["hot", "a", "b"]), [rng.choice("abcdef") for _ in range(rng.randint(0, 5))] + [None] * (k % 2)) for k in range(150)]
+    rows += [(1000 + k, T0 + timedelta(hours=k), "hot", ["x", "y", "z"]) for k in range(300)]
+    d = spark.createDataFrame(rows, "id long, published_at timestamp, scope string, grams array<string>").repartition(3)
+    members, pairs = similarity.similar_sets(d, 0.6, hours, ("scope",))
+    members, pairs = members.collect(), pairs.collect()
+    sets = {r[0]: frozenset(x for x in r[3] if x) for r in rows}
+    at, scope = {r[0]: r[1] for r in rows}, {r[0]: r[2] for r in rows}
+    links = {(a, b) for a in sets for b in sets if a < b and scope[a] == scope[b] and sets[a] and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])
+             and (not hours or abs(at[a] - at[b]) <= timedelta(hours=hours))}
+    of = {r.id: r.class_id for r in members}
+    assert sorted(of) == sorted(i for i in sets if sets[i])
+    held = {c: [i for i in of if of[i] == c] for c in of.values()}
+    assert all(min(held[c]) == c and r.n == len(held[c]) for r in members for c in [r.class_id])
+    # Rows of one class have equal grams, and classes are paired exactly if some of their rows are linked.
+    assert all(sets[i] == sets[c] for i, c in of.items())
+    got = {(r.a, r.b): (r.sim, r.n_a, r.n_b) for r in pairs}
+    assert len(got) == len(pairs)
+    want = {tuple(sorted((of[a], of[b]))) for a, b in links if of[a] != of[b]}
+    assert set(got) == want
+    assert got == {(a, b): (pytest.approx(len(sets[a] & sets[b]) / len(sets[a] | sets[b])), len(held[a]), len(held[b])) for a, b in want}
+    # Equal ones in different classes aren't linked through others of their grams.
+    for a, b in links:
+        if sets[a] == sets[b]:
+            assert of[a] == of[b]
+
+
 def test_cosine_pairs_match_all_pairs(spark):
     rng = random.Random(3)
     rows = [(k, [rng.gauss(0, 1) for _ in range(4)], T0 + timedelta(hours=rng.randint(0, 60))) for k in range(90)] + [(100, [0.0] * 4, T0)]
