@@ -258,32 +258,105 @@ def without_accents(value: Column) -> Column:
 
 
 def tfidf(
-    rows: DataFrame, *, stop_words=(), extra_stop_words=(), max_df: float = 0.6, bigrams: bool = True, strip_accents: bool = False
+    rows: DataFrame, *, stop_words=(), extra_stop_words=(), max_df: float = 0.6, bigrams: bool = True, strip_accents: bool = False, frequent: int = 200_000
 ) -> DataFrame:
-    """(id, term, w): sublinear term frequency, smooth inverse document frequency, unit length.
+    """(id, term, w): sublinear term frequency, smooth inverse document frequency, unit length; see tfidf_arrays()."""
+    weights, terms = tfidf_arrays(
+        rows, stop_words=stop_words, extra_stop_words=extra_stop_words, max_df=max_df, bigrams=bigrams, strip_accents=strip_accents, frequent=frequent
+    )
+    return sparse_rows(weights).withColumnRenamed("term", "k").join(terms, "k").select("id", "term", "w")
+
+
+def sparse_rows(weights: DataFrame) -> DataFrame:
+    """(id, term, w) of the arrays, terms by their numbers."""
+    return weights.select("id", F.explode("weights").alias("x")).select("id", F.col("x.k").alias("term"), F.col("x.w").alias("w"))
 
-    rows: (id, text). Terms are words of two or more characters less the stop words, and pairs of
+
+def tfidf_arrays(
+    rows: DataFrame, *, stop_words=(), extra_stop_words=(), max_df: float = 0.6, bigrams: bool = True, strip_accents: bool = False, frequent: int = 200_000
+) -> tuple[DataFrame, DataFrame]:
+    """Weights (id, weights: array of k, w) and the terms (k, term) behind the numbers, which are in the terms' order.
+
+    rows: (id, text), with an id each. Terms are words of two or more characters less the stop words, and pairs of
     these; terms in more than max_df of the rows go. Extra stop words go after rows have been made
     unit length, so such a row is shorter; pairs that hold them stay.
+
+    Terms are counted inside their row. Their rows are counted with partial sums, where a term is shuffled
+    once for each task; then terms are numbers. The numbers of at most ``frequent`` terms, those in most rows, are
+    broadcast, so only a row's rare terms, which no hot key is among, are shuffled to meet theirs.
     """
     low = F.lower("text")
     words = F.regexp_extract_all(without_accents(low) if strip_accents else low, F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     if stop_words:
         words = F.filter(words, lambda x: ~x.isin(*stop_words))
-    base = materialize(rows.select("id", words.alias("w")), "words")
-    terms = F.col("w")
-    if bigrams:
-        two = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 2), " "))
-        terms = F.when(F.size("w") >= 2, F.concat("w", two)).otherwise(F.col("w"))
-    n = base.count()
-    tf = base.select("id", F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("c"))
-    tf = materialize(tf, "terms")
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= max_df * n)
-    raw = tf.join(df, "term").select("id", "term", ((1 + F.log("c")) * (F.log((1 + n) / (1 + F.col("df"))) + 1)).alias("x"))
-    raw = materialize(raw, "weights")
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    out = raw.join(norm, "id").select("id", "term", (F.col("x") / F.col("norm")).alias("w"))
-    return out.where(~F.col("term").isin(*extra_stop_words)) if extra_stop_words else out
+    source = rows.select("id", words.alias("w"))
+    counted = materialize(source.mapInArrow(_count_terms(bigrams), f"id {dict(source.dtypes)['id']}, terms array<string>, counts array<int>"), "terms")
+    n = counted.count()
+    df = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= max_df * n)
+    terms = df.repartitionByRange("term").sortWithinPartitions("term").select("term", F.monotonically_increasing_id().alias("k"), "df")
+    terms = materialize(terms, "numbers")
+    # The least number of rows at which not more than ``frequent`` terms have as many; a row for each such number is in order here.
+    upto = F.sum("c").over(Window.orderBy(F.desc("df")))
+    least = terms.groupBy("df").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", upto).where(F.col("upto") <= frequent).agg(F.min("df")).first()[0]
+    least = least if least is not None else n + 1
+    each = counted.select("id", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("id", F.col("t.terms").alias("term"), F.col("t.counts").alias("c"))
+    common = terms.where(F.col("df") >= least)
+    met = each.join(F.broadcast(common), "term", "left")
+    x = lambda d: d.select("id", "k", ((1 + F.log("c")) * (F.log((1 + n) / (1 + F.col("df"))) + 1)).alias("x"))
+    rare = met.where("k is null").select("id", "term", "c").join(terms.where(F.col("df") < least), "term")
+    found = x(met.where("k is not null")).unionAll(x(rare)).groupBy("id").agg(F.collect_list(F.struct("k", "x")).alias("xs"))
+    norm = F.sqrt(F.aggregate("xs", F.lit(0.0), lambda s, t: s + t["x"] * t["x"]))
+    unit = found.select("id", norm.alias("norm"), F.array_sort("xs").alias("xs"))
+    weights = F.transform("xs", lambda t: F.struct(t["k"].alias("k"), (t["x"] / F.col("norm")).alias("w")))
+    if extra_stop_words:
+        gone = [r.k for r in terms.where(F.col("term").isin(*extra_stop_words)).select("k").collect()]  # a few numbers
+        weights = F.filter(weights, lambda t: ~t["k"].isin(*gone)) if gone else weights
+    return materialize(unit.select("id", weights.alias("weights")), "weights"), terms.select("k", "term")
+
+
+def _count_terms(bigrams: bool, slice_words: int = 1_000_000):
+    """Rows (id, terms, counts) from (id, w): each distinct word, and pair of neighbouring ones, of a row."""
+
+    def counts(ids, lists):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        coded = lists.flatten().dictionary_encode()
+        known, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+        size = len(known)
+        rows, terms = [row], [codes]
+        if bigrams and len(codes) > 1:
+            same = row[1:] == row[:-1]
+            rows.append(row[1:][same])
+            terms.append((size + codes[:-1] * size + codes[1:])[same])
+        rows, terms = np.concatenate(rows), np.concatenate(terms)
+        distinct, place = np.unique(terms, return_inverse=True)
+        found, number = np.unique(rows * max(1, len(distinct)) + place, return_counts=True)
+        rows, place = np.divmod(found, max(1, len(distinct)))
+        one = distinct < size
+        first, second = np.where(one, distinct, (distinct - size) // max(1, size)), np.where(one, 0, (distinct - size) % max(1, size))
+        pairs = pc.binary_join_element_wise(known.take(pa.array(first)), known.take(pa.array(second)), " ")
+        texts = pc.if_else(pa.array(one), known.take(pa.array(first)), pairs)
+        ends = pa.array(np.searchsorted(rows, np.arange(len(lists) + 1)).astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.ListArray.from_arrays(ends, texts.take(pa.array(place))), pa.ListArray.from_arrays(ends, pa.array(number.astype(np.int32)))],
+            ["id", "terms", "counts"],
+        )
+
+    def run(batches):
+        import numpy as np
+        import pyarrow.compute as pc
+
+        for b in batches:
+            if b.num_rows:
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(b.column("w")), 0).to_numpy().astype(np.int64))
+                cuts = [0, *(np.flatnonzero(np.diff(ends // slice_words)) + 1).tolist(), b.num_rows]
+                for a, z in zip(cuts, cuts[1:], strict=False):
+                    yield counts(b.column("id").slice(a, z - a), b.column("w").slice(a, z - a))
+
+    return run
 
 
 def tfidf_pairs(weights: DataFrame, threshold: float, times: DataFrame | None = None, hours: int = WINDOW_HOURS) -> DataFrame:

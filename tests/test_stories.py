@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -241,6 +242,28 @@ def test_retention(spark):
     assert text.masthead(F.lit(""), F.lit("x")) is not None
 
 
+@pytest.mark.parametrize("frequent", [0, 7, 200_000])
+def test_tfidf_by_numbers_matches_counting(spark, frequent):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(30)] + ["the", "été", "日本"]
+    rows = [(k, " ".join(rng.choice(words[: rng.choice([3, 33])]) for _ in range(rng.randint(0, 20)))) for k in range(60)] + [(100, None), (101, "a . !"), (102, "long words " * 30_000)]
+    weights, terms = similarity.tfidf_arrays(spark.createDataFrame(rows, "id long, text string").repartition(3), stop_words=("the",), extra_stop_words=("w1",), max_df=0.4, frequent=frequent)
+    name = {r.k: r.term for r in terms.collect()}
+    assert [name[k] for k in sorted(name)] == sorted(name.values(), key=str.encode)
+    counts = {}
+    for k, text in rows:
+        w = [x for x in (text or "").split() if len(x) > 1 and x != "the"]
+        counts[k] = Counter(w + [f"{x} {y}" for x, y in itertools.pairwise(w)])
+    df = Counter(t for c in counts.values() for t in c)
+    want = {}
+    for k, c in counts.items():
+        x = {t: (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for t, n in c.items() if df[t] <= 0.4 * len(rows)}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        if x:
+            want[k] = {t: pytest.approx(v / norm) for t, v in x.items() if t != "w1"}
+    assert {r.id: {name[x.k]: x.w for x in r.weights} for r in weights.collect()} == want
+
+
 def test_tfidf_pairs_are_those_of_all_products(spark):
     rng = random.Random(6)
     words = [f"w{k}" for k in range(40)]
