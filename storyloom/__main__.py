@@ -13,6 +13,7 @@ ask them with, so that unchanged ones aren't sent again. Prints one JSON object
 from __future__ import annotations
 
 import argparse
+import functools
 import json
 import os
 import sys
@@ -21,6 +22,7 @@ from datetime import UTC, datetime
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from storyloom.functions import bounds
 from storyloom.operators import compliance, ledger, stories
 from storyloom.plans import run
 from storyloom.shared import materialize
@@ -90,7 +92,7 @@ def main(argv: list[str] | None = None) -> int:
     selected = materialize(selected, "selected")
     facts = stored.read_ledger(spark, args.ledger)
     asked = stories.analysis_payload(selected, ledger.related_facts(ledger.related(facts, selected)))
-    valid = lambda x: None if isinstance(x, dict) and isinstance(x.get("gist"), list) and len(x["gist"]) == 3 else "gist must have three items"
+    valid = functools.partial(bounds.complaint, compliance.ANALYSIS)
     analyses = materialize(inference.analyze(asked, router("quality"), settings.prompt(args.settings, "analysis.txt"), valid), "analyses")
     reviews = inference.review(analyses.withColumnRenamed("reply", "payload"), router("cheap"), settings.prompt(args.settings, "review.txt"))
     rules, markers = settings.rules(load("compliance.yml"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storyloom.functions import json, text
+from storyloom.functions.bounds import Items, Record, Text
 
 #: Fixed values: (severity, pattern, rule).
 RULES = (
@@ -129,6 +130,29 @@ def enforce(rows: DataFrame, schema: T.StructType, rules=RULES, markers=MARKERS)
     return step.withColumns({k: v for k, v in polish().items() if k in names})
 
 
+#: Bounds of an analysis.
+ANALYSIS = Record(
+    {
+        "headline": Text(most=140),
+        "hook": Text(),
+        "gist": Items(Text(), least=3, most=3),
+        "what_happened": Text(),
+        "who_is_affected": Items(Record({"group": Text(), "effect": Text()})),
+        "sectors": Items(Record({"sector": Text(), "direction": Text(one_of=("tailwind", "headwind", "mixed", "neutral")), "why": Text()})),
+        "transmission_mechanism": Record(
+            {"chain": Items(Text(), least=2, most=6), "explanation": Text(), "time_horizon": Text(one_of=("days", "weeks", "months", "quarters"))}
+        ),
+        "market_reaction": Text(),
+        "bull_case": Record({"argument": Text(), "depends_on": Items(Text(), optional=True)}),
+        "bear_case": Record({"argument": Text(), "depends_on": Items(Text(), optional=True)}),
+        "variables_to_watch": Items(Record({"variable": Text(), "why_it_matters": Text(), "when": Text()})),
+        "confidence": Text(one_of=("high", "medium", "low")),
+        "confidence_reason": Text(),
+        "jargon": Items(Record({"term": Text(), "plain_meaning": Text()}), optional=True),
+    }
+)
+
+
 def valid_analysis() -> Column:
     """Whether a parsed analysis keeps its bounds: lengths, numbers of items, closed vocabularies."""
     closed = lambda c, values: c.isin(*values)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.functions import dates, json, text
+from storyloom.functions import bounds, dates, json, text
 from storyloom.operators import archive, compliance, ledger, normalize, similarity, stories
 from storyloom.plans.articles import (
     NOISE, SQL_STAGES, WATCHLIST, articles, as_of, fresh, pairs, published, scored, story_rows, table, tagged, title_classes,
@@ -530,6 +530,44 @@ def flatten_leaves(spark, sf_dir):
     return records(spark, sf_dir).select("conv_id", F.explode(json.leaves(record_type())).alias("x")).select("conv_id", "x.*")
 
 
+#: What a conversation's JSON has to keep, with bounds that some break.
+TALK = bounds.Record(
+    {
+        "opening": bounds.Record({"role": bounds.Text(one_of=("user", "system")), "text": bounds.Text(most=350)}),
+        "gist": bounds.Items(bounds.Text(), least=3, most=3),
+        "turns": bounds.Items(bounds.Record({"role": bounds.Text(), "text": bounds.Text(most=1700)}), least=1, most=7),
+        "close": bounds.Text(one_of=("assistant",), optional=True),
+    }
+)
+
+
+@query(
+    """WITH c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS t FROM conversations GROUP BY conv_id
+    ), checks AS (SELECT conv_id, list_concat(
+      CASE WHEN t[1].role NOT IN ('user', 'system') THEN [{'path': 'opening.role', 'problem': 'must be one of: user, system'}] ELSE [] END,
+      CASE WHEN t[1].text IS NULL THEN [{'path': 'opening.text', 'problem': 'is missing'}]
+        WHEN length(t[1].text) > 350 THEN [{'path': 'opening.text', 'problem': 'has ' || length(t[1].text) || ' characters, at most 350 may be'}] ELSE [] END,
+      CASE WHEN len(t) < 4 THEN [{'path': 'gist', 'problem': 'has ' || (len(t) - 1) || ' items, at least 3 must be'}] ELSE [] END,
+      CASE WHEN len(t) > 7 THEN [{'path': 'turns', 'problem': 'has ' || len(t) || ' items, at most 7 may be'}] ELSE [] END,
+      list_filter(list_transform(range(1, len(t) + 1), lambda i: {'path': 'turns[' || (i - 1) || '].text', 'problem': CASE WHEN t[i].text IS NULL THEN 'is missing'
+        WHEN length(t[i].text) > 1700 THEN 'has ' || length(t[i].text) || ' characters, at most 1700 may be' END}), lambda x: x.problem IS NOT NULL),
+      CASE WHEN t[len(t)].role <> 'assistant' THEN [{'path': 'close', 'problem': 'must be one of: assistant'}] ELSE [] END) AS x FROM c)
+    SELECT conv_id, x[1].path AS path, x[1].problem AS problem FROM checks""",
+    staged=False,
+)
+def first_problems(spark, sf_dir):
+    """Of each conversation, as JSON of its whole turns, the first broken bound and its path, or nulls."""
+    turn = F.struct("turn", "role", "text")
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    said = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    talk = F.struct(
+        F.get(said, F.lit(0)).alias("opening"), F.transform(F.slice("t", 2, 3), lambda x: x["text"]).alias("gist"), said.alias("turns"),
+        F.element_at("t", -1)["role"].alias("close"),
+    )
+    found = c.select("conv_id", F.parse_json(F.to_json(talk)).alias("v"))
+    return found.select("conv_id", bounds.first_problem(TALK, F.col("v")).alias("p")).select("conv_id", "p.path", "p.problem")
+
+
 _RULES_SQL = sql_values([(s, p.replace(r"\w", r"[\pL\pN_]"), r) for s, p, r in RULES], "severity, pattern, rule").replace("\\b", "\\b")
 
 

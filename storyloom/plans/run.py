@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storyloom import schemas
-from storyloom.functions import json
+from storyloom.functions import bounds, json
 from storyloom.operators import archive, compliance, ledger, normalize, similarity, stories
 from storyloom.shared import materialize
 
@@ -58,8 +58,10 @@ def publish_analyses(
     reviews: (story_id, violations, rewrites) of a reviewer, if there was one.
     """
     schema = T.StructType.fromDDL(schemas.ANALYSIS)
-    parsed = analyses.select("story_id", F.from_json(json.tolerant_json(F.col("reply")), schema).alias("a")).select("story_id", "a.*")
-    valid = parsed.where(compliance.valid_analysis())
+    # Written, so that replies are mended once.
+    found = materialize(analyses.select("story_id", json.tolerant_json(F.col("reply")).alias("found")), "replies")
+    broken = bounds.first_problem(compliance.ANALYSIS, F.try_parse_json("found"))
+    valid = found.where(broken.isNull()).select("story_id", F.from_json("found", schema).alias("a")).select("story_id", "a.*")
     if reviews is None:
         none = F.lit(None)
         valid = valid.withColumns({"violations": none.cast("array<struct<severity:string>>"), "rewrites": none.cast("map<string,string>")})
