@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import text
 from storyloom.operators.claims import greedy_losers
-from storyloom.shared import materialize
+from storyloom.shared import materialize, spread
 
 NEAR_DUPLICATE = 0.82
 WINDOW_HOURS = 18
@@ -95,9 +95,9 @@ def similar_sets(rows: DataFrame, threshold: float, hours: int | None = None, wi
     at = F.unix_micros(F.col("published_at").cast("timestamp")) if hours else F.lit(0).cast("long")
     grams = F.array_sort(F.array_compact(F.array_distinct("grams")))
     slot = F.floor(at / span).cast("long") if hours else F.lit(0).cast("long")
-    base = materialize(
-        rows.select("id", F.struct(F.lit(0).alias("_"), *within_cols).alias("scope"), grams.alias("grams"), at.alias("at"), slot.alias("slot")).where(F.size("grams") > 0), "grams"
-    )
+    scope = F.struct(F.lit(0).alias("_"), *within_cols).alias("scope")
+    # Rows without grams go as the table is read: a condition on what is made here would be moved to where texts are read.
+    base = materialize(rows.select("id", scope, grams.alias("grams"), at.alias("at"), slot.alias("slot")), "grams").where(F.size("grams") > 0)
     # Rows of one slot are within the hours of each other; what a set has in one is summed up before the shuffle.
     in_slot = base.groupBy("scope", "grams", "slot").agg(F.min("id").alias("id"), F.min("at").alias("start"), F.max("at").alias("end"), F.count(F.lit(1)).alias("n"))
     if hours:
@@ -258,7 +258,7 @@ def without_accents(value: Column) -> Column:
 
 
 def tfidf(
-    rows: DataFrame, *, stop_words=(), extra_stop_words=(), max_df: float = 0.6, bigrams: bool = True, strip_accents: bool = False, frequent: int = 200_000
+    rows: DataFrame, *, stop_words=(), extra_stop_words=(), max_df: float = 0.6, bigrams: bool = True, strip_accents: bool = False, frequent: int = 500_000
 ) -> DataFrame:
     """(id, term, w): sublinear term frequency, smooth inverse document frequency, unit length; see tfidf_arrays()."""
     weights, terms = tfidf_arrays(
@@ -273,7 +273,7 @@ def sparse_rows(weights: DataFrame) -> DataFrame:
 
 
 def tfidf_arrays(
-    rows: DataFrame, *, stop_words=(), extra_stop_words=(), max_df: float = 0.6, bigrams: bool = True, strip_accents: bool = False, frequent: int = 200_000
+    rows: DataFrame, *, stop_words=(), extra_stop_words=(), max_df: float = 0.6, bigrams: bool = True, strip_accents: bool = False, frequent: int = 500_000
 ) -> tuple[DataFrame, DataFrame]:
     """Weights (id, weights: array of k, w) and the terms (k, term) behind the numbers, which are in the terms' order.
 
@@ -282,31 +282,39 @@ def tfidf_arrays(
     unit length, so such a row is shorter; pairs that hold them stay.
 
     Terms are counted inside their row. Their rows are counted with partial sums, where a term is shuffled
-    once for each task; then terms are numbers. The numbers of at most ``frequent`` terms, those in most rows, are
-    broadcast, so only a row's rare terms, which no hot key is among, are shuffled to meet theirs.
+    once for each task; then terms are numbers. A term of one row needs no join, as its row is known from the count.
+    Of the others, the numbers of at most ``frequent``, those in most rows, are broadcast, so only what is rarer,
+    which no hot key is among, is shuffled to meet its number.
     """
     low = F.lower("text")
     words = F.regexp_extract_all(without_accents(low) if strip_accents else low, F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     if stop_words:
         words = F.filter(words, lambda x: ~x.isin(*stop_words))
-    source = rows.select("id", words.alias("w"))
+    source = spread(rows.select("id", "text")).select("id", words.alias("w"))
     counted = materialize(source.mapInArrow(_count_terms(bigrams), f"id {dict(source.dtypes)['id']}, terms array<string>, counts array<int>"), "terms")
     n = counted.count()
-    df = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= max_df * n)
-    terms = df.repartitionByRange("term").sortWithinPartitions("term").select("term", F.monotonically_increasing_id().alias("k"), "df")
+    each = counted.select("id", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("id", F.col("t.terms").alias("term"), F.col("t.counts").alias("c"))
+    df = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("only"), F.min("c").alias("c")).where(F.col("df") <= max_df * n)
+    terms = df.repartitionByRange("term").sortWithinPartitions("term").withColumn("k", F.monotonically_increasing_id())
     terms = materialize(terms, "numbers")
     # The least number of rows at which not more than ``frequent`` terms have as many; a row for each such number is in order here.
-    upto = F.sum("c").over(Window.orderBy(F.desc("df")))
-    least = terms.groupBy("df").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", upto).where(F.col("upto") <= frequent).agg(F.min("df")).first()[0]
-    least = least if least is not None else n + 1
-    each = counted.select("id", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("id", F.col("t.terms").alias("term"), F.col("t.counts").alias("c"))
-    common = terms.where(F.col("df") >= least)
-    met = each.join(F.broadcast(common), "term", "left")
+    upto = F.sum("t").over(Window.orderBy(F.desc("df")))
+    by_df = terms.where("df > 1").groupBy("df").agg(F.count(F.lit(1)).alias("t")).withColumn("upto", upto)
+    found = by_df.agg(F.min(F.when(F.col("upto") <= frequent, F.col("df"))).alias("least"), F.min("df").alias("any")).first()
+    least = found.least if found.least is not None else n + 1
+    shared = terms.where("df > 1").select("term", "k", "df")
     x = lambda d: d.select("id", "k", ((1 + F.log("c")) * (F.log((1 + n) / (1 + F.col("df"))) + 1)).alias("x"))
-    rare = met.where("k is null").select("id", "term", "c").join(terms.where(F.col("df") < least), "term")
-    found = x(met.where("k is not null")).unionAll(x(rare)).groupBy("id").agg(F.collect_list(F.struct("k", "x")).alias("xs"))
-    norm = F.sqrt(F.aggregate("xs", F.lit(0.0), lambda s, t: s + t["x"] * t["x"]))
-    unit = found.select("id", norm.alias("norm"), F.array_sort("xs").alias("xs"))
+    weighed = x(terms.where("df = 1").withColumnRenamed("only", "id"))
+    if found.any is not None:
+        met = each.join(F.broadcast(shared.where(F.col("df") >= least)), "term", "left")
+        weighed = weighed.unionAll(x(met.where("k is not null")))
+        if found.any < least:
+            rare = met.where("k is null").select("id", "term", "c").join(shared.where(F.col("df") < least), "term")
+            weighed = weighed.unionAll(x(rare))
+    # The length is an aggregate of its own: within the arrays it would be worked out for every element.
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")
+    found = weighed.groupBy("id").agg(norm, F.collect_list(F.struct("k", "x")).alias("xs"))
+    unit = found.select("id", "norm", F.array_sort("xs").alias("xs"))
     weights = F.transform("xs", lambda t: F.struct(t["k"].alias("k"), (t["x"] / F.col("norm")).alias("w")))
     if extra_stop_words:
         gone = [r.k for r in terms.where(F.col("term").isin(*extra_stop_words)).select("k").collect()]  # a few numbers

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from storyloom.functions import text
 from storyloom.operators import normalize, similarity, stories
 from storyloom.operators.stories import Label
-from storyloom.shared import materialize
+from storyloom.shared import materialize, spread
 
 TIERS = ("wire", "major", "sectoral", "aggregator")
 
@@ -39,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("published_at"))
     n = F.substring("source", 4, 9).cast("int")
     words = text.tokens(F.col("text"), 12)

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Folders chosen for sessions that name none, by application.
 _DIRS: dict[str, str] = {}
@@ -58,6 +59,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return written
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, its rows dealt anew if fewer of its partitions hold any than the cluster has cores.
+
+    A file of one large row group is one task, whatever its size; what is expensive for each row should not be. Which
+    partitions hold rows is read without reading any column, and where enough do, nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    held = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return df if held >= cores else df.repartition(cores)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table that materialize() wrote, which nothing may read any more."""
     delete_path(df.sparkSession, df._storyloom_path)
