@@ -228,21 +228,12 @@ def fingerprint_links(distinct: DataFrame, max_bucket: int = 64) -> DataFrame:
     return found.where("key < 0").select("a", "b").unionAll(second)
 
 
-def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bucket: int = 64, similarity: float | None = None
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bucket: int = 64) -> DataFrame:
     """Per row of docs: id_col, text_hash (tells rows of one id apart), fp, component_fp (tells groups
     apart), component_id (the smallest id reachable over links, itself included).
 
-    With a similarity, links are texts whose sets of shingles have that Jaccard similarity at least, and
-    component_id is left out. Fingerprints can't find these: at 0.8 some 10 of 64 bits differ and up
-    to 21 would have to be allowed for, so one of 11 segments of 6 bits would differ by at most one
-    bit, and every key would hold a thirty-second of the corpus. Candidates come from near_copies.
+    Texts by the similarity of their sets of shingles are near_copies' work.
     """
-    if similarity is not None:
-        from storyloom.llm.near_copies import near_copies
-
-        return near_copies(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, similarity=similarity)
     each = materialize(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
     classes = each.groupBy("fp").agg(F.min("id").alias("first"))
     found = connected_components(fingerprint_links(classes.select("fp"), max_bucket), "a", "b")
