@@ -353,50 +353,82 @@ HISTORY = (
     "part int, seq long, url_key string, timestamp string, id {id}, url string, record_type string, payload_digest string, "
     "payload_bytes long, refers_to {id}, archive string, offset long, length long"
 )
-RANGE = "g long, part int, low string, high string, starts string"
+MARK = "g long, file string, k string, t string, no_id boolean, i {id}, at long, n double, plain string"
+#: The order of captures; null ids come last.
+BY_KEY = ["k", "t", "no_id", "i"]
 
 
-def plan_ranges(range_captures: int):
-    """For the files of a group of runs: its key ranges of about range_captures, and for each the files that
-    reach into it with the offset to start from."""
+def mark_rows(id_type: str):
+    """A row for each mark of a group's files with about how many captures follow it, and one for the last capture."""
 
-    def plan(rows):
-        import bisect
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string() if id_type == "string" else pa.int64(), pa.int64(), pa.float64(), pa.string()]
+        names = [x.split()[0] for x in MARK.split(", ")]
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                held = json.loads(r["marks"])
+                n = r["captures"] / len(held["marks"])
+                for key, at in [*held["marks"], [held["last"], None]]:
+                    rows.append((r["g"], r["file"], key[0], key[1], key[2] is None, key[2], at, 0.0 if at is None else n, json.dumps(key)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names)
+
+    return run
+
+
+def range_numbers(range_captures: int):
+    """Adds r to marks in order: a new range begins with each group, and after about range_captures."""
 
+    def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        base, r, size, last, group = TaskContext.get().partitionId() << 32, -1, 0.0, None, None
+        for b in batches:
+            out = []
+            for g, key, n in zip(b.column("g").to_pylist(), b.column("plain").to_pylist(), b.column("n").to_pylist(), strict=True):
+                if g != group or (size >= range_captures and key != last):
+                    r, size = r + 1, 0.0
+                group, last, size = g, key, size + n
+                out.append(base + r)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "r"])
+
+    return run
+
 
-        files, weights = [], []
-        for r in rows.select(["file", "captures", "marks"]).to_pylist():
-            held = json.loads(r["marks"])
-            marks = [(order(k), k, at) for k, at in held["marks"]]
-            files.append((r["file"], [m[0] for m in marks], [m[2] for m in marks], order(held["last"])))
-            weights += [(m[0], r["captures"] / len(marks), m[1]) for m in marks]
-        weights.sort(key=lambda w: w[0])
-        bounds, size = [], 0.0
-        for key, n, plain in weights:
-            if size >= range_captures and (not bounds or key > bounds[-1][0]):
-                bounds.append((key, plain))
-                size = 0.0
-            size += n
-        g = rows.column("g")[0].as_py()
-        out = []
-        for p in range(len(bounds) + 1):
-            low, high = (bounds[p - 1] if p else None), (bounds[p] if p < len(bounds) else None)
-            starts = []
-            for name, keys, offsets, last in files:
-                if (high is None or keys[0] < high[0]) and (low is None or last >= low[0]):
-                    starts.append((name, offsets[max(bisect.bisect_left(keys, low[0]) - 1, 0)] if low else offsets[0]))
-            out.append((g, p, low and json.dumps(low[1]), high and json.dumps(high[1]), json.dumps(starts)))
-        kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["g", "part", "low", "high", "starts"])
-
-    return plan
+def plan_ranges(grouped: DataFrame, range_captures: int, id_type: str, task_marks: int = 65_536) -> DataFrame:
+    """(g, part, low, high, starts) from the files of groups of runs (g, file, captures, marks): each group's key ranges
+    of about range_captures, and for each the files that reach into it with the offset to start from.
+
+    Marks are a table, dealt by ranges of their key; each task cuts its own. A file reaches from the range of one of its
+    marks to that of the next, so a range meets a file as a row, not by looking through all. Only a short row for each
+    range is put in order by one task.
+    """
+    marks = materialize(grouped.select("g", "file", "captures", "marks").mapInArrow(mark_rows(id_type), MARK.format(id=id_type)), "marks")
+    tasks = max(1, -(-marks.count() // task_marks))
+    in_order = marks.repartitionByRange(tasks, "g", *BY_KEY).sortWithinPartitions("g", *BY_KEY)
+    marks = materialize(in_order.mapInArrow(range_numbers(range_captures), MARK.format(id=id_type) + ", r long"), "marks")
+    ranges = marks.groupBy("g", "r").agg(F.min_by("plain", F.struct(*BY_KEY)).alias("low"))
+    by_group = Window.partitionBy("g").orderBy("r")
+    ranges = ranges.select(
+        "g", "r", (F.row_number().over(Window.orderBy("r")) - 1).alias("part"), F.when(F.lag("r").over(by_group).isNotNull(), F.col("low")).alias("low"),
+        F.lead("low").over(by_group).alias("high"),
+    )
+    ranges = materialize(ranges, "ranges")
+    of_file = Window.partitionBy("g", "file").orderBy(*BY_KEY, F.col("at").isNull())
+    reach = marks.join(ranges.select("r", "part"), "r").withColumn("to", F.lead("part").over(of_file)).where("at is not null")
+    reach = reach.select("g", "file", "at", F.explode(F.sequence("part", F.coalesce("to", "part"))).alias("part"))
+    starts = reach.groupBy("g", "part", "file").agg(F.min("at").alias("at")).groupBy("g", "part")
+    starts = starts.agg(F.to_json(F.array_sort(F.collect_list(F.struct("file", "at")))).alias("starts"))
+    return materialize(ranges.drop("r").join(starts, ["g", "part"]), "ranges")
 
 
 def merged(fs, root: str, row: dict):
     """(key, capture) of a range in order."""
     low, high = (None if x is None else order(json.loads(x)) for x in (row["low"], row["high"]))
-    return LoserTree([read_run(fs, f"{root}/{name}", at, low, high) for name, at in json.loads(row["starts"])])
+    return LoserTree([read_run(fs, f"{root}/{x['file']}", x["at"], low, high) for x in json.loads(row["starts"])])
 
 
 def group_merger(uri: str, every: int):
@@ -461,7 +493,7 @@ def merge_runs(
         named = names.select("run", F.pmod(F.xxhash64("run"), F.lit(groups)).alias("h"))
         rank = F.floor((F.row_number().over(_by("h", "run")) - 1) / fan_in) if groups > 1 else F.lit(0)
         grouped = materialize(runs.join(named.select("run", (F.col("h") + groups * rank).cast("long").alias("g")), "run"), "groups")
-        plan = materialize(grouped.groupBy("g").applyInArrow(plan_ranges(range_captures), RANGE), "ranges")
+        plan = plan_ranges(grouped, range_captures, id_type)
         tasks = plan.repartitionByRange(plan.count(), "g", "part")
         if groups == 1:
             return tasks.mapInArrow(range_merger(uri, schema), schema)

@@ -1,3 +1,4 @@
+import json
 import hashlib
 import io
 import random
@@ -117,3 +118,31 @@ def test_records_are_read_piece_by_piece():
 def test_url_keys():
     assert m.url_key("HTTP://user@WWW.Example.com:80/A?b#c") == "com,example)/a?b"
     assert m.url_key("https://x.org") == "org,x)/" and m.url_key(None) == "" and m.url_key("mailto:A") == "mailto:a"
+
+
+def test_ranges_are_those_of_looking_through_all_files(spark):
+    import random
+
+    rng, rows, files = random.Random(6), [], {}
+    for k in range(60):
+        n, where = rng.randint(1, 40), rng.random()
+        names = [f"k{int(where * 50) + j:03}" for j in range(30)] + ["hot"] * 10
+        keys = sorted(([rng.choice(names), "2020", rng.choice([None, rng.randint(0, 99)])] for _ in range(n + 1)), key=m.order)
+        marks, last = [[key, 100 * j] for j, key in enumerate(keys[:-1])], keys[-1]
+        rows.append((k % 2, f"f{k:02}", 10 * n, json.dumps({"marks": marks, "last": last})))
+        files[f"f{k:02}"] = (k % 2, [m.order(x) for x, _ in marks], m.order(last))
+    grouped = spark.createDataFrame(rows, "g long, file string, captures long, marks string").repartition(4)
+    plan = m.plan_ranges(grouped, 300, "long", task_marks=100).orderBy("part").collect()
+    key = lambda x: x and m.order(json.loads(x))
+    assert len(plan) > 20
+    for g in (0, 1):
+        own = [r for r in plan if r.g == g]
+        assert own[0].low is None and own[-1].high is None and all(a.high == b.low and key(a.high) > (key(a.low) or ()) for a, b in zip(own, own[1:], strict=False))
+        for r in own:
+            low, high = key(r.low), key(r.high)
+            want = []
+            for name, (group, keys, last) in sorted(files.items()):
+                if group == g and (high is None or keys[0] < high) and (low is None or last >= low):
+                    before = [j for j, k in enumerate(keys) if low is not None and k < low]
+                    want.append({"file": name, "at": 100 * (before[-1] if before else 0)})
+            assert json.loads(r.starts) == want
