@@ -49,20 +49,30 @@ def assign_stories(articles: DataFrame, pairs: DataFrame, key: str = "id") -> Da
 
 def stories(assigned: DataFrame) -> DataFrame:
     """A row per story: id from the earliest article, members in order of time, lead, newest_at,
-    and counts of publishers and feeds."""
+    counts of publishers and feeds, and tier_sum, the tier weights over publishers.
+
+    Two levels: first by story and masthead, where a masthead's tier is that of its newest article, then by story, so
+    that no publisher is looked for in a list.
+    """
     member = F.struct(
         "published_at", "id", "title", "snippet", "url", "source_id", "source_name", "source_tier",
         text.masthead(F.col("publisher"), F.col("source_id")).alias("masthead"),
     )
-    grouped = assigned.groupBy("story").agg(
-        F.array_sort(F.collect_list(member)).alias("articles"), F.max("published_at").alias("newest_at"),
-        F.countDistinct(text.masthead(F.col("publisher"), F.col("source_id"))).alias("n_publishers"),
-        F.countDistinct("source_id").alias("n_feeds"), F.count(F.lit(1)).alias("n_articles"),
+    by_masthead = assigned.groupBy("story", text.masthead(F.col("publisher"), F.col("source_id")).alias("masthead")).agg(
+        F.collect_list(member).alias("own"), F.max("published_at").alias("newest_at"), F.count(F.lit(1)).alias("n"),
+        F.max_by("source_tier", F.struct("published_at", "id")).alias("tier"),
+    )
+    # Weights as decimals: their sum is the same in any order.
+    weight = weight_of(F.col("tier"), 1.0, TIER_WEIGHTS).cast("decimal(12,4)")
+    grouped = by_masthead.groupBy("story").agg(
+        F.array_sort(F.flatten(F.collect_list("own"))).alias("articles"), F.max("newest_at").alias("newest_at"), F.count("masthead").alias("n_publishers"),
+        F.sum("n").alias("n_articles"), F.sum(weight).cast("double").alias("tier_sum"),
     )
+    feeds = F.size(F.array_distinct(F.filter(F.transform("articles", lambda a: a["source_id"]), lambda x: x.isNotNull()))).cast("long")
     lead = F.col("articles")[0]
     return grouped.select(
         text.story_id(lead["id"].cast("string")).alias("story_id"), lead["id"].alias("lead_id"), lead["title"].alias("headline"),
-        lead["published_at"].alias("published_at"), "newest_at", "n_publishers", "n_feeds", "n_articles", "articles",
+        lead["published_at"].alias("published_at"), "newest_at", "n_publishers", feeds.alias("n_feeds"), "n_articles", "tier_sum", "articles",
     )
 
 
@@ -105,12 +115,6 @@ def weight_sum(labels: Column, default: float, weights: dict[str, float] = LABEL
     return F.aggregate(labels, F.lit(0.0), lambda a, x: a + weight_of(x, default, weights))
 
 
-def tier_sum(articles: Column) -> Column:
-    """Tier weights over publishers, each by the tier of its newest article (articles in time order)."""
-    last = F.filter(articles, lambda a, i: ~F.exists(F.slice(articles, i + 2, F.size(articles)), lambda b: b["masthead"] == a["masthead"]))
-    return F.aggregate(last, F.lit(0.0), lambda s, a: s + weight_of(a["source_tier"], 1.0, TIER_WEIGHTS))
-
-
 def seen_before(rows: DataFrame, published_ids: DataFrame, published_urls: DataFrame) -> DataFrame:
     """Adds already_published: by story id, or by any article's URL. Two equality joins."""
     by_id = published_ids.select(F.col("story_id"), F.lit(True).alias("id_seen")).distinct()
@@ -128,7 +132,7 @@ def score(rows: DataFrame, as_of: Column, noise=NOISE_PHRASES, weights: dict[str
     """
     titles = F.array_join(F.transform("articles", lambda a: a["title"]), " ")
     terms = {
-        "corroboration": 4.0 * F.log1p(tier_sum(F.col("articles"))),
+        "corroboration": 4.0 * F.log1p("tier_sum"),
         "macro": weight_sum(F.col("themes"), DEFAULT_WEIGHTS["themes"], weights),
         "entities": weight_sum(F.col("entities"), DEFAULT_WEIGHTS["entities"], weights) * 0.6,
         "sectors": weight_sum(F.col("sectors"), DEFAULT_WEIGHTS["sectors"], weights) * 0.4,

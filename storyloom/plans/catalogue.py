@@ -398,8 +398,7 @@ def tag_weights(spark, sf_dir):
 
 @query("SELECT story_id, CAST(tier_sum AS DOUBLE) AS tier_sum, round(4.0 * ln(1 + CAST(tier_sum AS DOUBLE)), 6) AS corroboration FROM story JOIN tier_sums USING (story)")
 def tier_corroboration(spark, sf_dir):
-    t = stories.tier_sum(F.col("articles"))
-    return story_rows(spark, sf_dir).select("story_id", t.alias("tier_sum"), F.round(4.0 * F.log1p(t), 6).alias("corroboration"))
+    return story_rows(spark, sf_dir).select("story_id", "tier_sum", F.round(4.0 * F.log1p("tier_sum"), 6).alias("corroboration"))
 
 
 @query("SELECT id, round(12.0 * exp(-greatest(0.0, (epoch_us(as_of) - epoch_us(published_at)) / 3600000000.0) / 6.0), 6) AS recency FROM articles, now")
