@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from storyloom.operators import archive
-from storyloom.sources import stored
+from storyloom.shared import materialize
+from storyloom.sources import stored, versions
 
 
 def first_arrivals(entries: DataFrame, id_col: str = "id", ts_col: str = "published_at", window: str = "24 hours") -> DataFrame:
@@ -38,3 +39,38 @@ def publish_items(items: DataFrame, table: str, checkpoint: str, as_of: F.Column
         stored.replace_table(merged, table)
 
     return items.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def publish_changes(items: DataFrame, table: str, checkpoint: str, as_of: F.Column | None = None, compact: int = 20) -> StreamingQuery:
+    """Merges each batch of items into a table of versions (read_published), exactly once.
+
+    A batch reads the items that are still fresh, and writes what it changes: its items that stay, and the ids of those
+    they replace. Items that age out are rewritten by nobody: readers leave them out, and so does the next
+    whole state. A batch is known to the log by the checkpoint it belongs to, so it is committed once.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        change_items(batch, number, table, checkpoint, as_of, compact)
+
+    return items.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def change_items(batch: DataFrame, number: int, table: str, stream: str, as_of: F.Column | None = None, compact: int = 20) -> None:
+    spark = batch.sparkSession
+    entries = versions.log(spark, table)
+    if versions.committed(entries, stream, number):
+        return
+    now = as_of if as_of is not None else F.current_timestamp()
+    before = versions.read(spark, table, "cluster_id", entries)
+    fresh = archive.carry_forward(before, now) if before is not None else batch.limit(0)
+    fresh = materialize(fresh.select(*batch.columns), "fresh")
+    merged = materialize(archive.merge(batch, fresh), "merged")
+    kept = merged.join(batch.select("cluster_id").distinct(), "cluster_id", "left_semi")
+    gone = (before if before is not None else fresh).select("cluster_id").join(merged, "cluster_id", "left_anti")
+    versions.change(spark, table, "cluster_id", entries, stream, number, kept, gone, compact)
+
+
+def read_published(spark: SparkSession, table: str, as_of: F.Column | None = None) -> DataFrame | None:
+    """The items of a table of versions that are still fresh; None before the first batch."""
+    rows = versions.read(spark, table, "cluster_id")
+    return None if rows is None else archive.carry_forward(rows, as_of if as_of is not None else F.current_timestamp())
