@@ -89,3 +89,16 @@ def test_query_keeps_repeated_turns_and_null_conversations(spark, tmp_path):
     assert sorted((r.conv_id or 0, r.turn or 0, r.result_turn or 0, r.errors.split("; ")[-1]) for r in got) == [
         (0, 1, 2, ""), (1, 0, 2, "duplicate result"), (1, 1, 0, "duplicate id"), (1, 1, 0, "duplicate id"), (1, 1, 2, ""), (2, 0, 0, ""),
     ]
+
+
+def test_very_long_arguments_and_clashing_columns(spark):
+    text = "é " * 1_000_000
+    calls = [("a", "1", 0, "search", json.dumps({"query": text, "limit": 1}, ensure_ascii=False), []), ("a", "2", 1, "search", '{"query": "' + text, ["1"])]
+    extra = ["1 AS level", "2 AS position", "'x' AS errors", "3 AS row", "4 AS is_call", "5 AS needs", "6 AS content_", "7 AS record"]
+    c = spark.createDataFrame(calls, CALLS).selectExpr("*", *extra).repartition(2)
+    r = spark.createDataFrame([("a", "1", 3, text)], RESULTS).selectExpr("*", *extra)
+    got = {x.call_id: x for x in t.link(c, r, t.SCHEMAS).collect()}
+    first = json.loads(got["1"].record)
+    assert first["arguments"] == {"query": text, "limit": 1} and first["result"] == {"content": text, "turn": 3} and got["1"].errors == ""
+    assert got["2"].errors == "not an object" and json.loads(got["2"].record)["arguments_text"] == '{"query": "' + text
+    assert (got["1"].level, got["2"].level, got["1"].position, got["2"].position) == (0, 1, 0, 1)
