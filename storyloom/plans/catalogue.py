@@ -625,8 +625,28 @@ def casing_repair(spark, sf_dir):
     return d.select("doc_id", text.currency_and_capital(text.upper_acronyms(F.col("t"))).alias("fixed"), text.strip_gist_label(bullet).alias("bullet"))
 
 
-@query()
+_EDGE = r"[^\pL\pN_\pM]"
+
+
+def _contextual_sql(x: str) -> str:
+    """SQL has no lookaround: what stands beside a word is matched with it and put back."""
+    beside = (
+        ("(?i)", "", "us", rf"\s+(?:{text.COUNTRY_NOUNS})", "US"), ("", r"the\s", "us", "", "US"),
+        ("(?i)", "", "it", rf"\s+(?:{text.INDUSTRY_NOUNS})", "IT"), ("", r"Indian\s", "it", "", "IT"),
+    )
+    for flags, before, word, after, acronym in beside:
+        for _ in range(2):
+            x = rf"regexp_replace({x}, '{flags}((?:^|{_EDGE}){before}){word}({after}(?:$|{_EDGE}))', '\1{acronym}\2', 'g')"
+    return rf"regexp_replace({x}, '(?i)(^|{_EDGE})rs(\s+[\p{{Nd}}₹]|₹)', '\1Rs\2', 'g')"
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN regexp_matches(x, '^\\p{{Ll}}') THEN upper(x[1:1]) || x[2:] ELSE x END AS fixed
+    FROM (SELECT doc_id, {_contextual_sql(_acronyms_sql("'it services and the us, it was us dollars: ' || text"))} AS x FROM documents WHERE lang = 'en')""",
+    staged=False,
+)
 def casing_contextual(spark, sf_dir):
+    """Whole English documents, after words that are acronyms by what stands beside them, and such that aren't."""
     t = F.concat(F.lit("it services and the us, it was us dollars: "), F.col("text"))
     return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", text.fix_casing(t).alias("fixed"))
 
