@@ -5,7 +5,7 @@
    documents and how often they hold it. Nothing is shuffled, and no term's postings meet in one place.
 2. Numbers of documents and terms are summed up over shards, and the documents of the queries' terms by one
    aggregation over (term, number) rows.
-3. ``search``: queries are streamed in blocks of at most ``block_terms`` (query, term) rows; a block is sent to all
+3. ``search``: the index's files, of one shard each, are dealt to tasks, which read one after the other. Queries are streamed in blocks of at most ``block_terms`` (query, term) rows; a block is sent to all
    tasks, one block at a time. A task goes through its shards. It turns a shard's postings of the block's terms into
    impacts, which are whole numbers, and groups them by exact impact. For each query the groups of its
    terms are processed from the largest impact down, into an accumulator per document. When, of no term,
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from storyloom.llm.common import received, send, table, utf8
 from storyloom.llm.decontaminate import FOLD
+from storyloom.llm.warc import file_system
 from storyloom.shared import materialize
 
 UNIT = 1_000_000_000
@@ -84,10 +85,10 @@ def builder(shard_docs: int, shard_terms: int):
 
 
 def build(docs: DataFrame, id_col: str, text_col: str, shard_docs: int, shard_terms: int) -> DataFrame:
-    """The index, a row per shard; a written table."""
+    """The index, a row per shard; a written table, a shard a file, so that a task's memory doesn't grow with its shards."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = source.mapInArrow(builder(shard_docs, shard_terms), SHARD.format(id=dict(source.dtypes)["id"]))
-    return materialize(found, "shards")
+    return materialize(found, "shards", file_rows=1)
 
 
 def term_rows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -227,8 +228,17 @@ class Impacts:
         return found, scores[found], done
 
 
+def shards_of(uri: str):
+    """The shards of a file of the index, one by one."""
+    import pyarrow.parquet as pq
+
+    fs, path = file_system(uri)
+    with fs.open_input_file(path) as f:
+        yield from pq.ParquetFile(f).iter_batches(batch_size=1)
+
+
 def searcher(held, k: int, n_docs: int, n_terms: int):
-    """Rows (query, id, score): each query's first k in the task's shards."""
+    """Rows (query, id, score) from rows (file): each query's first k in the task's shards, of which one is held at a time."""
 
     def run(batches):
         import numpy as np
@@ -236,10 +246,10 @@ def searcher(held, k: int, n_docs: int, n_terms: int):
         import pyarrow.compute as pc
 
         block, best, kind = received(held), {}, None
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = {c: batch.column(c)[r].values for c in ("ids", "lengths", "terms", "dfs")}
-                row |= {c: batch.column(c)[r].as_py() for c in ("docs", "tfs")}
+        for uri in (u for batch in batches for u in batch.column("file").to_pylist()):
+            for batch in shards_of(uri):
+                row = {c: batch.column(c)[0].values for c in ("ids", "lengths", "terms", "dfs")}
+                row |= {c: batch.column(c)[0].as_py() for c in ("docs", "tfs")}
                 kind = row["ids"].type
                 shard = Impacts(row, block, n_docs, n_terms)
                 for query, terms in block.queries.items():
@@ -279,11 +289,13 @@ def search(
     df = held.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
     weight = F.floor(1000 * F.log((F.lit(2.0) * n_docs + 2) / (2 * F.col("df") + 1))).cast("long")
     weighted = materialize(terms.join(df, "term").select("query", "term", weight.alias("w")).where("w > 0"), "weights")
+    files = shards.select(F.input_file_name().alias("file")).distinct()
+    files = materialize(files, "files").repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)
     found = []
     for block in blocks(weighted, block_terms):
         sent = send(docs.sparkSession, block)
         # Written before the next block is made, so that one block is held at a time.
-        found.append(materialize(shards.mapInArrow(searcher(sent, k, n_docs, n_terms), schema), "found"))
+        found.append(materialize(files.mapInArrow(searcher(sent, k, n_docs, n_terms), schema), "found"))
         sent.destroy()
     every = docs.sparkSession.createDataFrame([], schema)
     for rows in found:

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from storyloom.llm import search as m
 
@@ -56,6 +57,13 @@ def test_matches_plain_version(spark, options):
     assert run(spark, docs, items, **options) == plain(docs, items, options.get("k", 50))
 
 
+def test_a_file_holds_one_shard(spark):
+    docs = spark.createDataFrame([(k, "a b c") for k in range(9)], "doc_id long, text string").coalesce(1)
+    built = m.build(docs, "doc_id", "text", 1, 10)
+    sizes = [r["count"] for r in built.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 9 and max(sizes) == 1
+
+
 def test_empty_tables(spark):
     assert run(spark, [], [("a", "b")]) == []
     assert run(spark, [(1, "b")], []) == []
