@@ -298,3 +298,18 @@ def test_cap_counts(spark):
     rows = [(f"s{k % 2}", f"p{k % 2}", None if k else "bad") for k in range(9)]
     d = spark.createDataFrame(rows, "source_id string, publisher string, drop_reason string")
     assert sorted((r.n_kept, r.n_capped) for r in normalize.cap_counts(d, 3).collect()) == [(4, 1), (4, 1)]
+
+
+@pytest.mark.parametrize("hours", [None, 18])
+def test_pairs_by_blocks_of_any_size(spark, hours):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join(rng.choice(words[: rng.choice([8, 40])]) for _ in range(rng.randint(1, 9))), T0 + timedelta(hours=rng.randint(0, 90))) for k in range(120)]
+    d = spark.createDataFrame(rows, "id long, text string, published_at timestamp").repartition(3)
+    weights = similarity.tfidf(d.select("id", "text"))
+    times = d.select("id", "published_at") if hours else None
+    of = lambda n: {(r.a, r.b): r.sim for r in similarity.tfidf_pairs(weights, 0.42, times, block_rows=n).collect()}
+    assert len(of(7)) > 5 and of(7) == pytest.approx(of(1000))
+    found = similarity.cosine_pairs(d.select("id", F.array(*(F.rand(k) - 0.5 for k in range(3))).alias("v"), "published_at"), 0.8, hours, block_rows=7)
+    # Blocks are read from files: vectors aren't shuffled once for each block that they meet.
+    assert "CoGroup" not in found._jdf.queryExecution().toString()
