@@ -313,3 +313,13 @@ def test_pairs_by_blocks_of_any_size(spark, hours):
     found = similarity.cosine_pairs(d.select("id", F.array(*(F.rand(k) - 0.5 for k in range(3))).alias("v"), "published_at"), 0.8, hours, block_rows=7)
     # Blocks are read from files: vectors aren't shuffled once for each block that they meet.
     assert "CoGroup" not in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("hours", [None, 18])
+def test_a_gram_of_many_classes_is_dealt_to_parts(spark, hours):
+    rows = [(k, T0 + timedelta(hours=k % 50), ["x", "y", f"z{k % 37}", f"z{k % 31}"]) for k in range(120)]
+    d = spark.createDataFrame(rows, "id long, published_at timestamp, grams array<string>").selectExpr("id AS class_id", "struct(0 AS _) AS scope", "grams",
+        "unix_micros(published_at) AS start", "unix_micros(published_at) AS end", "1L AS n")
+    span = hours * 3_600_000_000 if hours else None
+    pairs = lambda n: sorted(tuple(r) for r in similarity._class_pairs(d, 0.3, span, part_rows=n).collect())
+    assert len(pairs(5)) > 1000 and pairs(5) == pairs(1000)
