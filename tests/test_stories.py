@@ -323,3 +323,19 @@ def test_a_gram_of_many_classes_is_dealt_to_parts(spark, hours):
     span = hours * 3_600_000_000 if hours else None
     pairs = lambda n: sorted(tuple(r) for r in similarity._class_pairs(d, 0.3, span, part_rows=n).collect())
     assert len(pairs(5)) > 1000 and pairs(5) == pairs(1000)
+
+
+def test_links_of_rows_follow_from_classes_and_times(spark, tmp_path):
+    from storyloom.plans import catalogue
+
+    rng = random.Random(5)
+    spark.createDataFrame([(k, " ".join(rng.choice("abc") for _ in range(4)), f"src{k % 5}") for k in range(80)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    at = [(k, T0 + timedelta(hours=rng.randint(0, 200))) for k in range(80)]
+    spark.createDataFrame(at, "event_id long, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    rows = catalogue.QUERIES["time_window_pairs"](spark, str(tmp_path)).collect()
+    members = {r.b: (r.a, r.at) for r in rows if r.part == "member"}
+    paired = {(r.a, r.b) for r in rows if r.part == "pair"}
+    got = {(a, b) for a, (c, s) in members.items() for b, (d, t) in members.items()
+           if a < b and abs(s - t) <= 18 * 3_600_000_000 and (c == d or (c, d) in paired or (d, c) in paired)}
+    grams = catalogue.articles(spark, str(tmp_path)).select("id", "published_at", text.word_grams(F.col("title")).alias("grams"))
+    assert got == {(r.a, r.b) for r in similarity.jaccard_pairs(grams, 0.3, 18).collect()} and len(got) > 50
