@@ -339,3 +339,11 @@ def test_links_of_rows_follow_from_classes_and_times(spark, tmp_path):
            if a < b and abs(s - t) <= 18 * 3_600_000_000 and (c == d or (c, d) in paired or (d, c) in paired)}
     grams = catalogue.articles(spark, str(tmp_path)).select("id", "published_at", text.word_grams(F.col("title")).alias("grams"))
     assert got == {(r.a, r.b) for r in similarity.jaccard_pairs(grams, 0.3, 18).collect()} and len(got) > 50
+
+
+def test_capped_articles_are_read_from_a_written_table(spark, tmp_path):
+    from storyloom.plans import catalogue
+
+    spark.createDataFrame([(k, f"title {k % 7} of", f"src{k % 5}") for k in range(20)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, T0) for k in range(20)], "event_id long, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    assert not any(f.endswith("documents.parquet") or "documents.parquet/" in f for f in catalogue.fresh(spark, str(tmp_path)).inputFiles())
