@@ -46,7 +46,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates stays: texts whose five-word
-    shingles have a Jaccard similarity of 0.8 or more, and what these link."""
+    shingles have a Jaccard similarity of 0.8 or more, and what these link. Candidates come from op4's fingerprints and
+    deletion variants, and, as these reach 2 bits only, what they leave apart from minimum hashes; all are checked exactly."""
     found = materialize(near_copies.near_copies(docs, shingle_words=5, similarity=0.8), "near-duplicates")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
     kept = materialize(found.groupBy("component_fp").agg(first.alias("s")).select("s.doc_id", "s.text_hash"), "kept")

@@ -1,13 +1,14 @@
-"""Near copies of documents by word shingles: MinHash bands for candidates, exact Jaccard for links.
-
-This is the near-duplicate operator for word shingles at a similarity, which fingerprints can't find: at 0.8 some 10
-of 64 bits differ and up to 21 would have to be allowed for, so one of 11 segments of 6 bits would differ by at most
-one bit, and every key would hold a thirty-second of the corpus (simhash finds texts that differ in 2 bits).
+"""Near copies of documents by word shingles: SimHash and MinHash bands for candidates, exact Jaccard for links.
 
 Two texts are linked if the sets of their five-word shingles have a Jaccard similarity of 0.8 or
-more; groups are the components of these links. Candidates share one of 32 bands of 4 minimum
-hashes: a pair at exactly 0.8 is missed with a chance of (1 - 0.8 ** 4) ** 32, or 5e-8, and a
-closer pair with less. Every link is verified on the whole shingle sets, as hashes of 64 bits.
+more; groups are the components of these links. Every link is verified on the whole shingle sets, as hashes of 64 bits.
+
+First come op4's fingerprints and deletion variants (simhash): each fingerprint meets the smallest that differs in 2 or
+fewer bits, and pairs whose texts are similar become groups. Fingerprints can't find all: at 0.8 some 10
+of 64 bits differ and up to 21 would have to be allowed for, so one of 11 segments of 6 bits would differ by at most
+one bit, and every key would hold a thirty-second of the corpus. So what isn't in a group together yet meets in one of 32 bands of 4 minimum
+hashes, too: a pair at exactly 0.8 is missed with a chance of (1 - 0.8 ** 4) ** 32, or 5e-8, and a
+closer pair with less.
 
 Texts with equal sets are one class before anything is compared. In a bucket, first every class
 meets one pivot, another in each band, so a large group of near copies becomes a component by
@@ -32,7 +33,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm.simhash import shingle_hashes
+from storyloom.llm.simhash import closest, fingerprint_of, shingle_hashes
 from storyloom.llm.warc import file_system
 from storyloom.operators.components import connected_components
 from storyloom.shared import materialize, new_path
@@ -68,7 +69,7 @@ def band_keys(hashes):
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id, text_hash, fp, n, keys) for each row; fp tells sets of n shingles apart."""
+    """(id, text_hash, fp, n, mark, keys) for each row; fp tells sets of n shingles apart, mark is the text's fingerprint."""
     source = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text")
     )
@@ -79,19 +80,31 @@ def classes(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
         from xxhash import xxh3_64_intdigest
 
         for b in batches:
-            fps, sizes, keys = [], [], []
+            fps, sizes, marks, keys = [], [], [], []
             for t in b.column("text"):
-                s = shingle_set(t.as_py(), n)
+                h = shingle_hashes(t.as_py(), n)
+                marks.append(fingerprint_of(h))
+                s = np.unique(h)
                 sizes.append(len(s))
                 fps.append(xxh3_64_intdigest(s.tobytes()))
                 keys.append(band_keys(s))
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
             ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
             out = [b.column("id"), b.column("text_hash"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()),
-                   pa.ListArray.from_arrays(ends, flat)]
-            yield pa.RecordBatch.from_arrays(out, ["id", "text_hash", "fp", "n", "keys"])
+                   pa.array(marks, pa.int64()), pa.ListArray.from_arrays(ends, flat)]
+            yield pa.RecordBatch.from_arrays(out, ["id", "text_hash", "fp", "n", "mark", "keys"])
+
+    return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, text_hash long, fp long, n long, mark long, keys array<long>")
+
 
-    return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, text_hash long, fp long, n long, keys array<long>")
+def fingerprint_pairs(marked: DataFrame) -> DataFrame:
+    """(a, b) of classes (fp, mark) with a < b: each with the first of its fingerprint, and these with the first of the
+    smallest fingerprint in 2 or fewer bits. As many rows as classes at most."""
+    first = materialize(marked.groupBy("mark").agg(F.min("fp").alias("first")), "marks")
+    equal = marked.join(first, "mark").where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    of = lambda end: first.select(F.col("mark").alias(end), F.col("first").alias(f"first_{end}"))
+    near = closest(first.select(F.col("mark").alias("fp"))).join(of("a"), "a").join(of("b"), "b")
+    return equal.unionAll(near.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b")))
 
 
 def stars(batches):
@@ -352,7 +365,7 @@ def near_copies(
     each = materialize(classes(docs, id_col, text_col, shingle_words), "classes")
     # A row per class, summed up before the shuffle; what follows never meets the rows of a large class again.
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("s")
-    firsts = materialize(each.groupBy("fp").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys")), "firsts")
+    firsts = materialize(each.groupBy("fp").agg(first, F.first("n").alias("n"), F.min("mark").alias("mark"), F.first("keys").alias("keys")), "firsts")
     keys = firsts.select("fp", F.explode("keys").alias("key"))
     # A range of keys a task, so that a key which very many share is split, a pivot for each part; these meet the least of theirs.
     order = ["key", F.xxhash64("fp", "key")]
@@ -371,7 +384,13 @@ def near_copies(
         )
         return materialize(both.select("a", "b", "set_a", "set_b").mapInArrow(similar(similarity), "a long, b long"), "links")
 
-    links = linked(materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"))
+    # What fingerprints find, each checked; bands needn't compare what is in one group already.
+    close = linked(materialize(fingerprint_pairs(firsts.select("fp", "mark")), "marked"))
+    group = materialize(connected_components(close, "a", "b"), "groups")
+    of = lambda end: group.select(F.col("id").alias(end), F.col("component").alias(f"group_{end}"))
+    apart = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
+    apart = apart.where(~F.coalesce(F.col("group_a") == F.col("group_b"), F.lit(False))).select("a", "b")
+    links = close.unionAll(linked(materialize(apart, "pairs")))
     found = connected_components(links, "a", "b")
     # Buckets of one class have no star; the others' classes are the ends of theirs and the least pivot.
     sizes = firsts.select("fp", "n")

@@ -53,10 +53,14 @@ def shingle_hashes(text: str | None, n: int = 3):
 
 
 def fingerprint(text: str | None, n: int = 3) -> int:
+    """Signed 64-bit fingerprint of a text's shingles."""
+    return fingerprint_of(shingle_hashes(text, n))
+
+
+def fingerprint_of(h) -> int:
     """Signed 64-bit fingerprint: a bit is 1 if set in over half the hashes."""
     import numpy as np
 
-    h = shingle_hashes(text, n)
     if not len(h):
         return 0
     counts = np.zeros(64, np.int64)
@@ -228,11 +232,20 @@ def fingerprint_links(distinct: DataFrame, max_bucket: int = 64) -> DataFrame:
     return found.where("key < 0").select("a", "b").unionAll(second)
 
 
+def closest(distinct: DataFrame) -> DataFrame:
+    """(a, b): each distinct fingerprint b with the smallest a that it is linked to, if that is smaller.
+
+    As many rows as fingerprints at most, of pairs at 2 or fewer differing bits, for a check on the texts to follow.
+    """
+    links = fingerprint_links(distinct).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return links.where("a < b").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bucket: int = 64) -> DataFrame:
     """Per row of docs: id_col, text_hash (tells rows of one id apart), fp, component_fp (tells groups
     apart), component_id (the smallest id reachable over links, itself included).
 
-    Texts by the similarity of their sets of shingles are near_copies' work.
+    Texts by the similarity of their sets of shingles are near_copies' work, which begins with these fingerprints.
     """
     each = materialize(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
     classes = each.groupBy("fp").agg(F.min("id").alias("first"))

@@ -125,3 +125,21 @@ def test_stars_over_parts_of_a_key():
     got = [tuple(r.values()) for b in near_copies.stars(iter(parts)) for r in b.to_pylist()]
     assert sorted(got) == [(1, 5, 5), (1, 5, 6), (2, 9, 8), (3, 4, 4), (3, 4, 7)]
     assert not list(near_copies.stars(iter(parts[:1])))
+
+
+def test_fingerprints_find_what_bands_are_kept_from(spark, monkeypatch):
+    """The stage has op4's method: what differs in 2 or fewer bits is found by fingerprints alone, and checked exactly."""
+    from storyloom.llm.simhash import fingerprint
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    texts = [" ".join(word() for _ in range(300)) for _ in range(12)]
+    texts += [t + " " + word() for t in texts]
+    texts += ["x " * 200 + " ".join(word() for _ in range(20)) for _ in range(2)]  # equal fingerprints, other sets
+    bits = lambda a, b: (fingerprint(texts[a], 5) ^ fingerprint(texts[b], 5)).bit_count() if a != b else 0
+    near = [k for k in range(12) if bits(k, k + 12) <= 2]
+    assert len(near) >= 6 and bits(24, 25) == 0
+    monkeypatch.setattr(near_copies, "stars", lambda batches: iter(()))
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOCS).repartition(3)
+    got = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()}
+    assert got == set(range(len(texts))) - {k + 12 for k in near}
