@@ -144,6 +144,34 @@ def test_tags_follow_the_watchlist(spark):
     assert not got["b"].themes and not got["b"].entities and not got["b"].sectors
 
 
+def test_tags_and_novelty_by_article_are_those_of_whole_stories(spark):
+    labels = [stories.Label("themes", "Inflation", ["CPI"]), stories.Label("companies", "ITC", ["ITC"], None, "ITC"), stories.Label("institutions", "Fed", ["FOMC"]), stories.Label("sectors", "Banks", [])]
+    rows = [article(f"a{k:02}", f"Title {k} {'ITC' if k == 3 else ''}", k, snippet="after FOMC" if k % 4 == 1 else "cpi" if k == 7 else "") for k in range(12)]
+    assigned = stories.assign_stories(spark.createDataFrame(rows, ARTICLE), spark.createDataFrame([(f"a{k:02}", f"a{k + 1:02}") for k in (0, 1, 2, 5, 6)], "a string, b string"))
+    whole, own = stories.stories(assigned), stories.with_lead(assigned)
+    names = ["story_id", "lead_id", "themes", "entities", "sectors", "tickers"]
+    want = stories.tag(whole, labels, stories.story_text(F.col("articles"))).select(names).collect()
+    got = stories.tag_by_article(own, labels, F.concat("title", F.lit(" "), "snippet")).select(names).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 7
+    published = whole.limit(1).select("story_id"), spark.createDataFrame([("https://x/a06",), ("",)], "url string")
+    flags = [stories.seen_before(*args).select("story_id", "already_published") for args in ((whole, *published), (whole.drop("articles"), *published, own.select("story_id", "url")))]
+    assert sorted(flags[0].collect()) == sorted(flags[1].collect()) and flags[0].where("already_published").count() >= 1
+
+
+def test_texts_are_cut_before_they_meet_their_times(spark, tmp_path):
+    from storyloom.plans.articles import articles
+
+    long = " ".join(f"w{k}" for k in range(5000))
+    spark.createDataFrame([(k, long, f"src{k}") for k in range(20)], "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(20).selectExpr("id AS event_id", "timestamp_seconds(1700000000 + id) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    got = articles(spark, str(tmp_path))
+    assert got.count() == 20 and got.first().title == " ".join(f"w{k}" for k in range(12)) and len(got.first().snippet.split()) == 40
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "w0" not in plan
+    above = plan[: plan.index("Join")]
+    assert "text#" not in above and "regexp" not in above
+
+
 def test_score_terms(spark):
     rows = [article("a", "One", 9, "s1", "p1", "wire"), article("b", "Sponsored two", 6, "s2", "p1", "aggregator"), article("c", "Three", 7, "s3", "p2", "other")]
     base = story_rows(spark, rows, [(0, 1), (1, 2)])
