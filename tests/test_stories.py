@@ -375,3 +375,46 @@ def test_capped_articles_are_read_from_a_written_table(spark, tmp_path):
     spark.createDataFrame([(k, f"title {k % 7} of", f"src{k % 5}") for k in range(20)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(k, T0) for k in range(20)], "event_id long, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
     assert not any(f.endswith("documents.parquet") or "documents.parquet/" in f for f in catalogue.fresh(spark, str(tmp_path)).inputFiles())
+
+
+def top_terms(rows, n, stop, extra, max_df):
+    """(id, term, w) by counting."""
+    counts = {}
+    for k, t in rows:
+        w = [x for x in (t or "").split() if len(x) > 1 and x not in stop]
+        counts[k] = Counter(w + [f"{x} {y}" for x, y in itertools.pairwise(w)])
+    df = Counter(t for c in counts.values() for t in c)
+    found = set()
+    for k, c in counts.items():
+        x = {t: (1 + math.log(m)) * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for t, m in c.items() if df[t] <= max_df * len(rows)}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        w = sorted((-round(v / norm, 9), t.encode(), t) for t, v in x.items() if t not in extra)
+        found |= {(k, t, round(-v, 6)) for v, _, t in w[:n]}
+    return found
+
+
+@pytest.mark.parametrize("sizes", [{}, {"chunk_words": 60, "range_bytes": 300, "sample_bytes": 64}, {"chunk_bytes": 1, "range_bytes": 1 << 20}])
+def test_heaviest_terms_by_chunks_and_ranges_of_any_size(spark, sizes):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(40)] + ["the", "été", "日本", "𝒳y", "z_"]
+    rows = [(k, " ".join(rng.choice(words[: rng.choice([4, 45])]) for _ in range(rng.randint(0, 25)))) for k in range(80)]
+    rows += [(100, None), (101, "a . !"), (102, "long words " * 5_000), (103, "w1"), (104, "the the"), (105, " ".join(f"u{k}" for k in range(300)))]
+    d = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    got = similarity.tfidf_top(d, 5, stop_words=("the",), extra_stop_words=("w1", "w2 w3", "none", "w5 none"), max_df=0.4, **sizes).collect()
+    want = top_terms(rows, 5, ("the",), ("w1", "w2 w3"), 0.4)
+    assert len(got) == len(want) and {(r.id, r.term, round(r.w, 6)) for r in got} == want
+    assert similarity.tfidf_top(d.where("id in (100, 101, 104)"), 5, stop_words=("the",)).count() == 0
+    assert similarity.tfidf_top(d.limit(0), 5).count() == 0
+
+
+def test_terms_of_whole_texts_are_no_rows(spark):
+    """Rows that share terms send them once for each chunk: what is shuffled are cuts of chunks, and no plan lists terms."""
+    from storyloom.plans import catalogue
+
+    rows = [(k, " ".join(f"w{(k * 7 + j) % 500}" for j in range(200))) for k in range(200)]
+    counted = similarity.counted_terms(spark.createDataFrame(rows, "id long, text string").repartition(4), chunk_words=5_000, range_bytes=1 << 14)
+    cuts = counted._by_range().applyInArrow(lambda t: t.select(["part", "file", "df"]), "part int, file string, df array<int>").collect()
+    assert 8 <= counted.n_files <= 12 and len(counted.bounds) > 2
+    assert len(cuts) <= counted.n_files * (len(counted.bounds) + 1) and sum(len(r.df) for r in cuts) < 200 * 399 / 4 and sum(sum(r.df) for r in cuts) == 200 * 399
+    plan = catalogue.QUERIES["tfidf_topterms"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Join" not in plan
