@@ -24,7 +24,7 @@ class Counted:
     """
 
     def __init__(
-        self, rows: DataFrame, *, stop_words=(), bigrams: bool = True, chunk_words: int = 2_000_000, chunk_bytes: int = 1 << 26, range_bytes: int = 1 << 25, sample_bytes: int = 1 << 18
+        self, rows: DataFrame, *, stop_words=(), bigrams: bool = True, chunk_words: int = 1_500_000, chunk_bytes: int = 1 << 26, range_bytes: int = 1 << 25, sample_bytes: int = 1 << 18
     ):
         spark = rows.sparkSession
         self.uri, self.id_type = new_path(spark, "chunks"), dict(rows.dtypes)["id"]
@@ -47,7 +47,7 @@ class Counted:
         n = min(self.n_files, 16 * self.files.sparkSession.sparkContext.defaultParallelism)
         held = self.files.select("file").repartition(max(1, n))
         dealt = held.mapInArrow(_dealer(self.uri, self.bounds), "part int, file string, terms string, df array<int>")
-        return dealt.repartition(len(self.bounds) + 1, "part").groupBy("part")
+        return dealt.repartitionById(len(self.bounds) + 1, F.col("part")).groupBy("part")
 
     def terms(self, max_df: float) -> DataFrame:
         """(k, term): the numbers, in the terms' order, of those in at most max_df of the rows."""
@@ -127,10 +127,12 @@ def _chunk_writer(uri: str, stop_words, bigrams: bool, chunk_words: int, chunk_b
     """Writes rows (id, w) to files of chunks; returns each file with its number of rows, its terms' size and a sample of them."""
 
     def distinct(ordered):
+        """The distinct ones of an array, which is put in order, and how often each is there."""
         import numpy as np
 
-        starts = np.flatnonzero(np.diff(ordered, prepend=-1))
-        return ordered[starts], np.diff(starts, append=len(ordered))
+        ordered.sort()
+        starts = np.flatnonzero(np.r_[len(ordered) > 0, ordered[1:] != ordered[:-1]][: len(ordered)])
+        return ordered[starts], np.diff(starts, append=len(ordered)).astype(np.int32)
 
     def count(held):
         import random
@@ -153,21 +155,26 @@ def _chunk_writer(uri: str, stop_words, bigrams: bool, chunk_words: int, chunk_b
         # order of the terms' texts: a space is less than whatever a word is made of.
         codes, words = _ranks(words)[codes], words.take(pc.sort_indices(words))
         wide = len(words) + 1
-        entries = [(row * wide + codes) * wide]
+        entries = (row * wide + codes) * wide
         if bigrams:
-            same = row[1:] == row[:-1]
-            entries.append(entries[0][:-1][same] + codes[1:][same] + 1)
-        entries, counts = distinct(np.sort(np.concatenate(entries)))
+            same = np.flatnonzero(row[1:] == row[:-1])
+            entries = np.concatenate([entries, entries[same] + codes[same + 1] + 1])
+            del same
+        del row, codes, coded
+        entries, counts = distinct(entries)
         row, entries = np.divmod(entries, wide * wide)
-        terms, df = distinct(np.sort(entries))
+        row_ends = np.searchsorted(row, np.arange(rows.num_rows), side="right").astype(np.int32)
+        del row
+        terms, df = distinct(entries.copy())
+        steps = np.diff(np.searchsorted(terms, entries), prepend=0).astype(np.int32)
+        del entries
         first, second = np.divmod(terms, wide)
         size = pc.binary_length(words).to_numpy().astype(np.int64)
         ends = np.cumsum(16 + size[first] + np.where(second > 0, 1 + size[second - 1], 0)) if len(terms) else np.zeros(0, np.int64)
         total = int(ends[-1]) if len(ends) else 0
         sample = np.searchsorted(ends, np.arange(random.randrange(sample_bytes), total, sample_bytes), side="right")
-        columns = {"ids": rows.column("id").combine_chunks(), "ends": np.searchsorted(row, np.arange(rows.num_rows), side="right").astype(np.int32),
-                   "steps": np.diff(np.searchsorted(terms, entries), prepend=0).astype(np.int32), "counts": counts.astype(np.int32),
-                   "words": words, "first": first.astype(np.int32), "second": second.astype(np.int32), "df": df.astype(np.int32)}
+        columns = {"ids": rows.column("id").combine_chunks(), "ends": row_ends, "steps": steps, "counts": counts,
+                   "words": words, "first": first.astype(np.int32), "second": second.astype(np.int32), "df": df}
         table = pa.table({c: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) for c, v in columns.items()})
         fs, root = files.FileSystem.from_uri(uri)
         name = f"{uuid.uuid4().hex}.chunk"
@@ -180,10 +187,18 @@ def _chunk_writer(uri: str, stop_words, bigrams: bool, chunk_words: int, chunk_b
 
     def run(batches):
         import numpy as np
+        import pyarrow as pa
         import pyarrow.compute as pc
 
         most = (chunk_words, chunk_bytes, chunk_rows)
         held, size = [], [0, 0, 0]
+
+        def done():
+            found = count(held)
+            held.clear()
+            pa.default_memory_pool().release_unused()
+            return found
+
         for b in batches:
             lists = b.column("w")
             words = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
@@ -195,14 +210,14 @@ def _chunk_writer(uri: str, stop_words, bigrams: bool, chunk_words: int, chunk_b
             while at < b.num_rows:
                 to = min(int(np.searchsorted(e, e[at] + m - s, side="right")) - 1 for e, m, s in zip(ends, most, size, strict=True))
                 if to <= at and held:
-                    yield count(held)
-                    held, size = [], [0, 0, 0]
+                    yield done()
+                    size = [0, 0, 0]
                     continue
                 to = max(to, at + 1)
                 held.append(b.slice(at, to - at))
                 size, at = [s + int(e[to] - e[at]) for s, e in zip(size, ends, strict=True)], to
         if held:
-            yield count(held)
+            yield done()
 
     return run
 
