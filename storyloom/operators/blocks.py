@@ -1,6 +1,6 @@
 """All pairs of rows, in a slot of time and with the next one, by files of blocks.
 
-Rows are written once, in the order of slot and id, to files of at most ``block_rows`` rows of one slot. A table of
+Rows are written once, in the order of slot and id (or another one), to files of at most ``block_rows`` rows of one slot. A table of
 files is joined to the pairs of files that meet, and a task reads the two files of each of its pairs. So nothing is
 shuffled more than once, whatever the number of pairs; only reading, and comparing, grow with their square. A task holds
 two blocks. Files are read and written through pyarrow.fs; those that a failed task leaves are in no table, and
@@ -75,9 +75,9 @@ def block_reader(uri: str, compare):
     return run
 
 
-def compare_blocks(rows: DataFrame, block_rows: int, compare, schema: str, *, next_slot: bool, prepare=lambda t: t) -> DataFrame:
+def compare_blocks(rows: DataFrame, block_rows: int, compare, schema: str, *, next_slot: bool, prepare=lambda t: t, order=("slot", "id")) -> DataFrame:
     """What compare yields, batches of the schema, for every two blocks of rows (slot, id, ...) of one slot, each block with itself
-    among them, and with next_slot of a slot and the one after it."""
+    among them, and with next_slot of a slot and the one after it. order: what blocks are cut by, the slot first."""
     spark = rows.sparkSession
     uri = new_path(spark, "blocks")
     from pyarrow import fs as files
@@ -85,7 +85,7 @@ def compare_blocks(rows: DataFrame, block_rows: int, compare, schema: str, *, ne
     fs, root = files.FileSystem.from_uri(uri)
     fs.create_dir(root, recursive=True)
     rows = rows.where(F.col("slot").isNotNull())
-    ordered = rows.repartitionByRange("slot", "id").sortWithinPartitions("slot", "id")
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     blocks = materialize(ordered.mapInArrow(block_writer(uri, block_rows, prepare), "slot long, file string"), "blocks")
     x, y = blocks.select("slot", F.col("file").alias("x")), blocks.select("slot", F.col("file").alias("y"))
     pairs = x.join(y, "slot").where("x <= y").select("x", "y")

@@ -63,14 +63,15 @@ class Counted:
 
         return self._by_range().applyInArrow(run, "k long, term string")
 
-    def weights(self, emit, schema: str, max_df: float, extra_stop_words=(), numbers: bool = False) -> DataFrame:
+    def weights(self, emit, schema: str, max_df: float, extra_stop_words=(), numbers: bool = False, by_rarity: bool = False) -> DataFrame:
         """What emit makes of a chunk: emit(ids, row, term, w, k, names), for each entry its row's and its term's place and its weight,
         in the order of rows and in them of terms, for the terms their numbers if asked for, and names(places), their texts.
 
         Terms in more than max_df of the rows are left out. Weights are sublinear frequency by smooth inverse document frequency, a
-        row's made unit length; extra stop words then get the weight 0.
+        row's made unit length; extra stop words then get the weight 0. Numbers are in the order of terms or, by_rarity, in that of the
+        logarithm (in quarters, base 2) of the number of their rows first, and -1 for terms of one row.
         """
-        answer = _answers(numbers)
+        answer = _answers(numbers, by_rarity)
         answers = self._by_range().applyInArrow(answer, "file string, part int, df array<int>" + (", k array<long>" if numbers else ""))
         weigh = _weigher(self.uri, self.n, max_df, extra_stop_words, emit)
         return answers.repartition(self.n_tasks, "file").groupBy("file").applyInArrow(weigh, schema)
@@ -123,6 +124,25 @@ def arrays(rows: Counted, max_df: float, extra_stop_words=()) -> DataFrame:
     return rows.weights(emit, f"id {rows.id_type}, weights array<struct<k: bigint, w: double>>", max_df, extra_stop_words, numbers=True)
 
 
+def shared(rows: Counted, max_df: float, extra_stop_words=()) -> DataFrame:
+    """(id, ks, ws, square) by numbers in the order of rarity, of the terms that are in more than one row; rows without such are left out."""
+
+    def emit(ids, row, term, w, k, names):
+        import numpy as np
+        import pyarrow as pa
+
+        ok = (w > 0) & (k[term] >= 0)
+        row, ks, ws = row[ok], k[term[ok]], w[ok]
+        order = np.lexsort((ks, row))
+        held, n = np.unique(row, return_counts=True)
+        ends = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
+        ks, ws = (pa.ListArray.from_arrays(ends, pa.array(v[order])) for v in (ks, ws))
+        # In the order of terms, so that equal rows have equal sums.
+        return pa.table({"id": ids.take(pa.array(held)), "ks": ks, "ws": ws, "square": pa.array(np.bincount(row, w[ok] ** 2, len(ids))[held])})
+
+    return rows.weights(emit, f"id {rows.id_type}, ks array<bigint>, ws array<double>, square double", max_df, extra_stop_words, numbers=True, by_rarity=True)
+
+
 def _chunk_writer(uri: str, stop_words, bigrams: bool, chunk_words: int, chunk_bytes: int, sample_bytes: int, chunk_rows: int = 1_000_000):
     """Writes rows (id, w) to files of chunks; returns each file with its number of rows, its terms' size and a sample of them."""
 
@@ -312,7 +332,7 @@ def _added(rows):
     return coded.dictionary, lists.offsets, codes, np.bincount(codes, df).astype(np.int64)
 
 
-def _answers(numbers: bool):
+def _answers(numbers: bool, by_rarity: bool):
     """To each chunk of a range, for its terms in its order, in how many rows they are, and their numbers."""
 
     def run(key, rows):
@@ -322,7 +342,10 @@ def _answers(numbers: bool):
         names, ends, codes, df = _added(rows)
         found = {"file": rows.column("file"), "part": rows.column("part"), "df": pa.ListArray.from_arrays(ends, pa.array(df[codes].astype(np.int32)))}
         if numbers:
-            found["k"] = pa.ListArray.from_arrays(ends, pa.array(((key[0].as_py() << 40) + _ranks(names))[codes]))
+            k = (key[0].as_py() << 40) + _ranks(names)
+            if by_rarity:
+                k = np.where(df > 1, k + (np.floor(4 * np.log2(df)).astype(np.int64) << 56), -1)
+            found["k"] = pa.ListArray.from_arrays(ends, pa.array(k[codes]))
         return pa.table(found)
 
     return run

@@ -343,6 +343,41 @@ def test_pairs_by_blocks_of_any_size(spark, hours):
     assert "CoGroup" not in found._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("hours", [None, 18])
+def test_copies_are_compared_once_and_paired_all(spark, hours):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(words[: rng.choice([8, 60])]) for _ in range(rng.randint(1, 9))) for _ in range(50)] + ["this this w9"]
+    rows = [(k, rng.choice(texts), T0 + timedelta(hours=rng.randint(0, 90))) for k in range(160)] + [(200 + k, "w1 w2 w50", T0) for k in range(40)]
+    d = spark.createDataFrame(rows, "id long, text string, published_at timestamp").repartition(3)
+    options = {"extra_stop_words": ("this", "w3"), "chunk_words": 150}
+    plain = similarity.tfidf(d.select("id", "text"), **options)
+    by, at = {}, {r[0]: r[2] for r in rows}
+    for r in plain.collect():
+        by.setdefault(r.id, {})[r.term] = r.w
+    dot = lambda a, b: sum(w * by[b].get(t, 0.0) for t, w in by[a].items())
+    near = lambda a, b: not hours or abs(at[a] - at[b]) <= timedelta(hours=hours)
+    want = {(a, b): s for a in by for b in by if a < b and near(a, b) and (s := dot(a, b)) >= 0.42}
+    shared, times = similarity.tfidf_shared(d.select("id", "text"), **options), d.select("id", "published_at") if hours else None
+    # Few heads, so that what isn't one is bounded as well.
+    for sizes in ({"block_rows": 7, "heads": 2}, {"heads": 20}):
+        assert {(r.a, r.b): r.sim for r in similarity.tfidf_pairs(shared, 0.42, times, **sizes).collect()} == pytest.approx(want)
+    members, pairs = similarity.weight_classes(shared, 0.42, times)
+    assert members.count() < len(by) + 1 and pairs.count() < len(want) / 4  # copies cost a row each, and no pair
+    if hours:
+        links = {(r.a, r.b) for r in similarity.tfidf_links(shared, 0.42, times).collect()}
+        assert all(dot(a, b) >= 0.42 - 1e-9 for a, b in links)
+        assert len(links) < len(want) / 2 and _components(by, links) == _components(by, want)
+
+
+def _components(ids, links):
+    of = {k: k for k in ids}
+    while any(of[a] != of[b] for a, b in links):
+        for a, b in links:
+            of[a] = of[b] = min(of[a], of[b])
+    return of
+
+
 @pytest.mark.parametrize("hours", [None, 18])
 def test_a_gram_of_many_classes_is_dealt_to_parts(spark, hours):
     rows = [(k, T0 + timedelta(hours=k % 50), ["x", "y", f"z{k % 37}", f"z{k % 31}"]) for k in range(120)]
