@@ -37,8 +37,8 @@ def rank_feeds(
         pairs = similarity.cosine_pairs(rows, threshold or 0.78, similarity.WINDOW_HOURS)
     else:
         rows = number.select(F.col("n_").alias("id"), F.concat_ws(" ", "title", "title", "snippet").alias("text"))
-        weights_of = similarity.sparse_rows(similarity.tfidf_arrays(rows, stop_words=stop_words, extra_stop_words=extra_stop_words, strip_accents=True)[0])
-        pairs = similarity.tfidf_pairs(weights_of, threshold or 0.42, number.select(F.col("n_").alias("id"), "published_at"))
+        weights_of = similarity.tfidf_shared(rows, stop_words=stop_words, extra_stop_words=extra_stop_words, strip_accents=True)
+        pairs = similarity.tfidf_links(weights_of, threshold or 0.42, number.select(F.col("n_").alias("id"), "published_at"))
     grouped = stories.stories(stories.assign_stories(number, pairs.select("a", "b"), "n_"))
     tagged = materialize(stories.tag(grouped, watchlist, stories.story_text(F.col("articles"))), "tagged")
     if previous is not None:
